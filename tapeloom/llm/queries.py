@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chunk_dedup, grammar_store, mixing, packing, store, token_cache
+from tapeloom.llm import chunk_dedup, dart_minhash, edit_embedding, grammar_store, merkle, mixing, packing, quality, store, token_cache
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_repair_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_store.token_shards_report(spark, _documents(spark, sf_dir))
 
 
+def op2_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return merkle.audit(pages, merkle.damaged_replica(pages))
+
+
+def op3_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edit_fingerprints(_documents(spark, sf_dir))
+
+
 def op5_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
@@ -27,6 +40,10 @@ def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "position")
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicate_classes(_documents(spark, sf_dir))
+
+
 def op9_token_count_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(_documents(spark, sf_dir), store.fresh_path(spark, "token-counts"))
 
@@ -78,11 +95,37 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(first_take +
 FROM x
 """
 
+#: The damage that the replica was given, found record by record; ranges are runs of 16 page ids.
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         strlen(CAST(page_id AS VARCHAR)) + strlen(coalesce(url, '')) + strlen(coalesce(html, '')) + 2 AS n FROM pages),
+l AS (
+  SELECT page_id // 16 AS leaf, sum(n) AS n FROM p GROUP BY 1),
+o AS (
+  SELECT leaf, n, coalesce(sum(n) OVER (ORDER BY leaf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS range_start FROM l)
+SELECT page_id,
+       CASE page_id % 211 WHEN 7 THEN 'missing' WHEN 11 THEN 'repeated' ELSE 'altered' END AS status,
+       sha256(page_id || chr(10) || url || chr(10) || html) AS primary_sha256,
+       CASE page_id % 211 WHEN 3 THEN sha256(page_id || chr(10) || url || chr(10) || '#' || substr(html, 2))
+                          WHEN 5 THEN sha256(page_id || chr(10) || url || chr(10) || substr(html, 1, length(html) // 2))
+                          WHEN 11 THEN sha256(page_id || chr(10) || url || chr(10) || html) END AS replica_sha256,
+       CAST(1 AS BIGINT) AS primary_copies,
+       CAST(CASE page_id % 211 WHEN 7 THEN 0 WHEN 11 THEN 2 ELSE 1 END AS BIGINT) AS replica_copies,
+       CAST(range_start AS BIGINT) AS range_start, CAST(range_start + o.n AS BIGINT) AS range_end
+FROM p JOIN o ON page_id // 16 = leaf
+WHERE page_id % 211 IN (3, 5, 7, 11)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_token_store": op1_repair_token_store,
+    "op2_merkle_fixity_audit": op2_merkle_fixity_audit,
+    "op3_discriminant_quality": op3_discriminant_quality,
+    "op4_edit_embedding": op4_edit_embedding,
     "op5_histogram_packing": op5_histogram_packing,
     "op7_curriculum_mixing": op7_curriculum_mixing,
+    "op8_dart_minhash": op8_dart_minhash,
     "op9_token_count_cache": op9_token_count_cache,
     "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
 }
-SQL: dict[str, str] = {"op7_curriculum_mixing": OP7_SQL, "op10_chunk_recipe_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_merkle_fixity_audit": OP2_SQL, "op7_curriculum_mixing": OP7_SQL, "op10_chunk_recipe_dedup": OP10_SQL}
