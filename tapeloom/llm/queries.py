@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chunk_dedup, dart_minhash, edit_embedding, grammar_store, merkle, mixing, packing, quality, store, token_cache
+from tapeloom.llm import chunk_dedup, dart_minhash, edit_embedding, grammar_store, license_rules, merkle, mixing, packing, quality, store, token_cache
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
 
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.license_scan(_documents(spark, sf_dir), with_spans=False)
+
+
 def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(mixing.mixture(_documents(spark, sf_dir)))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "position")
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_discriminant_quality": op3_discriminant_quality,
     "op4_edit_embedding": op4_edit_embedding,
     "op5_histogram_packing": op5_histogram_packing,
+    "op6_license_rules": op6_license_rules,
     "op7_curriculum_mixing": op7_curriculum_mixing,
     "op8_dart_minhash": op8_dart_minhash,
     "op9_token_count_cache": op9_token_count_cache,
