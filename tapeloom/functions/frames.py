@@ -55,14 +55,14 @@ def ewm(value: Column, alpha: float, series: WindowSpec, min_periods: int = 1) -
     """The recursive mean y = (1 - alpha) y + alpha x started at the first value, null before min_periods values.
 
     Spark's weighted mean E divides by the sum of weights; with n values so far the recursion is (1 - d) E + d x₀,
-    d = (1 - alpha)ⁿ. A series that has been constant so far is returned exactly, so differences of means of it are exactly 0.
+    d = (1 - alpha)ⁿ; missing values are passed over. A series that has been constant so far is returned exactly, so differences of means of it are exactly 0.
     """
     frame = so_far(series)
     n = F.count(value).over(frame)
     first = F.first(value, ignorenulls=True).over(frame)
     fade = F.pow(F.lit(1.0 - alpha), n)
     flat = F.min(value).over(frame) == F.max(value).over(frame)
-    mean = F.when(flat, first).otherwise((1 - fade) * InternalFunction.ewm(value, alpha, False).over(series) + fade * first)
+    mean = F.when(flat, first).otherwise((1 - fade) * InternalFunction.ewm(value, alpha, True).over(series) + fade * first)
     return F.when(n >= min_periods, mean)
 
 

@@ -102,6 +102,14 @@ class Archive:
         for place in before - set(now.values()):
             self._fs.delete(self._path(place), True)
 
+    def forget(self, tables: list[str]) -> None:
+        """Drop tables."""
+        now = self.manifest()
+        gone = [now.pop(t) for t in tables if t in now]
+        self._swap(now)
+        for place in gone:
+            self._fs.delete(self._path(place), True)
+
     def bytes(self) -> int:
         return int(self._fs.getContentSummary(self._path("")).getLength())
 
