@@ -28,64 +28,60 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return handed.unionByName(least.where("a != m").select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node that itself hangs on none."""
+    roles = links.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    roles = roles.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return roles.where("hangs + holds > 1").isEmpty()
+
+
 def smallest_labels(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b); label is the smallest node of its component."""
     now = store.written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
-    before = None
-    while True:
+    while not _settled(now):
         now = store.written(_star(store.written(_star(now, True), "star"), False), "star")
-        # settled when every node hangs on one smallest node that hangs on none
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def linked_classes(members: DataFrame, similar: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None, rounds: int = 3) -> DataFrame:
+SMALL_BAND = 32
+TILE = 256
+
+
+def tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """rows (band, node, label, n) of large bands, copied once for each pair of tiles that a row's tile is in: band, i, j, mine, node, label.
+
+    A band of n rows becomes (n / tile)² / 2 groups of at most two tiles each, so no group grows with its band.
+    """
+    count = F.greatest(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
+    placed = rows.withColumn("mine", F.pmod(F.xxhash64("node", "band"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    return placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label")
+
+
+def linked_classes(members: DataFrame, similar: Callable[[DataFrame], DataFrame], similar_in_tiles: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(node, label) of the classes of nodes that share a band (members: node, band) and are similar.
 
-    similar keeps those of the pairs (a, b) that are links; prepare sees the members of all bands with two nodes or more first. In
-    each round the member met most often of each band is compared with all others of other classes; bands within one class are done.
-    After the rounds, what is left of a band is compared in pairs of different classes.
+    similar keeps those of the pairs (a, b) that are links; similar_in_tiles finds the links between different labels inside each group (band, i, j) of
+    tiles(); prepare sees the members of all bands with two nodes or more first.
+    First the member met most often of each band is compared with all others. Bands that then lie in one class are done; of the rest,
+    small ones are compared in pairs of different classes, and large ones tile by tile, where only links become rows.
     """
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = store.written(members.join(crowded, "band"), "buckets")
     if prepare:
         prepare(members)
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    open_rows = members.join(met, "node").select("band", "node", "met", F.col("node").alias("label"))
-    tested = found = labels = None
-    for turn in range(rounds + 1):
-        last = turn == rounds
-        if not last:
-            leaders = open_rows.groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"), "label")).alias("top"))
-            leaders = leaders.select("band", (-F.col("top.minus")).alias("leader"), F.col("top.label").alias("leader_label"))
-            met_rows = open_rows.join(leaders, "band")
-            pairs = met_rows.where(F.col("label") != F.col("leader_label")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        else:
-            other = open_rows.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = open_rows.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = store.written(pairs, "pairs")
-        if not pairs.isEmpty():
-            good = store.written(similar(pairs), "links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = good if found is None else found.unionByName(good)
-            labels = smallest_labels(found)
-        if last:
-            break
-        # the leader has met everyone of its band
-        rest = met_rows.where(F.col("node") != F.col("leader")).select("band", "node", "met")
-        if labels is not None:
-            rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            rest = rest.withColumn("label", F.col("node"))
-        torn = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("band")
-        open_rows = store.written(rest.join(torn, "band"), "open")
-        if open_rows.isEmpty():
-            break
-    return labels if labels is not None else members.sparkSession.createDataFrame([], "node long, label long")
+    leaders = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("top"))
+    led = members.join(leaders.select("band", (-F.col("top.minus")).alias("leader")), "band")
+    pairs = led.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    found = store.written(similar(pairs), "links")
+    labels = smallest_labels(found)
+    rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    torn = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("band")
+    rows = store.written(rows.join(torn, "band"), "torn")
+    small = rows.where(F.col("n") <= SMALL_BAND)
+    other = small.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    pairs = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b").distinct()
+    more = similar(pairs).unionByName(similar_in_tiles(tiles(rows.where(F.col("n") > SMALL_BAND))))
+    more = store.written(more, "links")
+    return labels if more.isEmpty() else smallest_labels(found.unionByName(more))

@@ -9,10 +9,12 @@ coordinates are met, however long the document. (After Christiani, "DartMinHash:
 near_duplicate_classes() links documents of similarity 0.8 or more:
 1. rows with the same sequence of words become one node, by a 128-bit digest;
 2. nodes that share a band of the signature meet in a bucket;
-3. in each bucket one leader (the member met most often over all buckets) is compared with the others, exactly, by shingles; linked
-   nodes become one class; buckets whose members are all in one class are done, the others elect again;
-4. after a few rounds the pairs left between different classes of a bucket are compared one by one, so no link between classes is lost.
-A group of n near copies costs about n comparisons, not n squared.
+3. in each bucket one leader (the member met most often over all buckets) is compared with the others; linked nodes become one class, and
+   buckets whose members are all in one class are done;
+4. what is left of small buckets is compared in pairs of different classes, of large ones in tiles of bounded size inside Python workers, where
+   only links become rows; so no link between classes is lost.
+A pair is first held against the estimate from the signatures (EST_SLACK below the threshold, more than five deviations), then compared
+exactly by its shingles.
 
 Defined cases: a null, empty or wordless text has no shingles, links with nothing and is its own class; a text of one to four words is
 one shingle; rows with equal doc_id are one document to the linker and share a class; a null doc_id has a null class unless a copy
@@ -25,6 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,7 @@ from tapeloom.llm.kernels import U64, mix64, occurrence_cells, shingle_hashes, t
 
 BANDS, BAND_ROWS = 24, 5
 WIDTH, LEAST = 5, 0.8
+EST_SLACK = 0.2
 
 
 def regions(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +109,11 @@ def _sketch(bands: int, band_rows: int, width: int):
                 stops = np.cumsum(counts)
                 digests = [hashlib.blake2b(words[x - n : x].tobytes(), digest_size=16).digest() if n else None for x, n in zip(stops, counts)]
                 elements, rows = shingle_hashes(words, counts, width)
-                keys = band_keys(dart_signatures(occurrence_cells(elements, rows), rows, b - a, bands * band_rows), bands, band_rows)
+                signature = dart_signatures(occurrence_cells(elements, rows), rows, b - a, bands * band_rows)
+                keys = band_keys(signature, bands, band_rows)
+                short = [row.tobytes() for row in (signature >> U64(48)).astype("<u2")]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), lists], names=["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), lists, pa.array(short, pa.binary())], names=["doc_id", "digest", "bands", "signature"])
 
     return run
 
@@ -120,55 +126,102 @@ def _cells(width: int):
                 words, counts = word_hashes(texts[a:b])
                 elements, rows = shingle_hashes(words, counts, width)
                 at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(occurrence_cells(elements, rows).view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((occurrence_cells(elements, rows) >> U64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "cells"])
 
     return run
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest of the words (null without words) and the band keys of the signature."""
+    """doc_id, digest of the words (null without words), the band keys of the signature, and 16 bits of each of its coordinates."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_sketch(bands, band_rows, width), "doc_id long, digest binary, bands array<long>")
+    return rows.mapInArrow(_sketch(bands, band_rows, width), "doc_id long, digest binary, bands array<long>, signature binary")
+
+
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of equal coordinates of two signatures."""
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    x, y = (np.frombuffer(b"".join(v), dtype="<u2").reshape(len(v), -1) for v in (a, b))
+    return pd.Series((x == y).mean(axis=1))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    agreement = F.pandas_udf(_agreement, "double")
+    rows = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("signature").alias("_x")).hint("merge"), "a")
+    rows = rows.join(nodes.select(F.col("doc_id").alias("b"), F.col("signature").alias("_y")).hint("merge"), "b")
+    return rows.where(agreement("_x", "_y") >= least).select("a", "b")
 
 
 def _similar(pairs: DataFrame, cells: DataFrame, least: float, per_task: int = 2000) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least `least`. A node of many pairs is read in several shares."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_shares"))
-    left = cells.withColumnRenamed("doc_id", "a").join(shares, "a").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
-    right = pairs.join(shares, "a").withColumn("_share", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int"))
-    right = right.join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("_b")), "b")
-    both = right.join(left.select("a", "_share", F.col("cells").alias("_a")), ["a", "_share"])
+    left = cells.withColumnRenamed("doc_id", "a").join(shares.hint("merge"), "a").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    right = pairs.join(shares.hint("merge"), "a").withColumn("_share", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int"))
+    right = right.join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("_b")).hint("merge"), "b")
+    both = right.join(left.select("a", "_share", F.col("cells").alias("_a")).hint("merge"), ["a", "_share"])
     common = F.size(F.array_intersect("_a", "_b"))
     return both.where(common >= least * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
+def overlaps(lists: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of any two of the lists (each without repeats), over blocks of elements so that memory stays bounded."""
+    sizes = np.array([len(x) for x in lists])
+    rows = np.repeat(np.arange(len(lists)), sizes)
+    values, column = np.unique(np.concatenate(lists), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(lists), len(lists)), dtype=np.float32)
+    for a in range(0, len(values), 4096):
+        low, high = np.searchsorted(column, [a, a + 4096])
+        dense = np.zeros((len(lists), 4096), dtype=np.float32)
+        dense[rows[low:high], column[low:high] - a] = 1
+        out += dense @ dense.T
+    return out
+
+
+def _links_in_tile(least: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.asarray(x) for x in frame["cells"]]
+        common, size = overlaps(lists), np.array([len(x) for x in lists])
+        label, mine, node = (frame[c].to_numpy() for c in ("label", "mine", "node"))
+        linked = common >= least * (size[:, None] + size[None, :] - common)
+        linked &= (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+        if len(set(mine)) > 1:
+            linked &= mine[:, None] != mine[None, :]  # pairs of one tile are met in that tile's own group
+        x, y = np.nonzero(linked)
+        return pd.DataFrame({"a": node[x], "b": node[y]})
+
+    return run
+
+
 def links(docs: DataFrame, nodes: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """(node, label) for all nodes (doc_id, bands) that are linked with another; label is the smallest doc_id of the class."""
+    """(node, label) for all nodes (doc_id, bands, signature) that are linked with another; label is the smallest doc_id of the class."""
     members = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cells: list[DataFrame] = []
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        return _similar(pairs, cells[0], least)
-
-    def met(crowded: DataFrame) -> None:
+    def prepare(crowded: DataFrame) -> None:
         wanted = crowded.select(F.col("node").alias("doc_id")).distinct()
-        found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_cells(width), "doc_id long, cells array<long>")
+        found = rows.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_cells(width), "doc_id long, cells array<int>")
         cells.append(store.written(found.dropDuplicates(["doc_id"]), "cells"))
 
-    return components.linked_classes(members, similar, met)
+    def similar(pairs: DataFrame) -> DataFrame:
+        return _similar(store.written(_likely(pairs, nodes, least - EST_SLACK), "likely"), cells[0], least)
+
+    def similar_in_tiles(tiled: DataFrame) -> DataFrame:
+        with_cells = tiled.join(cells[0].withColumnRenamed("doc_id", "node").hint("merge"), "node")
+        return with_cells.groupBy("band", "i", "j").applyInPandas(_links_in_tile(least), "a long, b long").distinct()
+
+    return components.linked_classes(members, similar, similar_in_tiles, prepare)
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = LEAST, width: int = WIDTH, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), class_size and kept for every row of docs."""
+    """doc_id, class_id (the smallest doc_id of its class) and kept for every row of docs."""
     sketched = store.written(sketches(docs, bands, band_rows, width), "sketches")
-    nodes = sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("_m"))
-    nodes = store.written(nodes.select("digest", F.col("_m.doc_id").alias("doc_id"), F.col("_m.bands").alias("bands")), "nodes")
-    labels = links(docs, nodes.where(F.col("doc_id").isNotNull()).select("doc_id", "bands"), least, width)
+    nodes = sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("_m"))
+    nodes = store.written(nodes.select("digest", F.col("_m.doc_id").alias("doc_id"), F.col("_m.bands").alias("bands"), F.col("_m.signature").alias("signature")), "nodes")
+    labels = links(docs, nodes.where(F.col("doc_id").isNotNull()).select("doc_id", "bands", "signature"), least, width)
     classes = nodes.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("_class"))
     rows = sketched.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"))
-    rows = store.written(rows, "classes")
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = rows.withColumnRenamed("class_id", "_c").join(sizes, F.expr("_c <=> class_id")).drop("_c")
-    return out.select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"))
+    return rows.withColumn("kept", F.expr("doc_id <=> class_id"))

@@ -194,6 +194,16 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _links_in_tile(least: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(frame["node"], frame["label"], frame["mine"], frame["fingerprint"]))
+        two = frame["mine"].nunique() > 1
+        found = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and not (two and x[2] == y[2]) and likeness(x[3], y[3]) >= least]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def similar_classes(fingerprints: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) for rows (doc_id, fingerprint): classes are joined by pairs that share a band
     and whose likeness is at least `least`. Equal fingerprints are one class; an empty one links with empty ones only."""
@@ -207,6 +217,10 @@ def similar_classes(fingerprints: DataFrame, least: float = 0.8) -> DataFrame:
         both = both.join(nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("_b")), "b")
         return both.where(alike("_a", "_b") >= least).select("a", "b")
 
-    labels = components.linked_classes(members, similar)
+    def similar_in_tiles(tiled: DataFrame) -> DataFrame:
+        marked = tiled.join(nodes.select("node", "fingerprint"), "node")
+        return marked.groupBy("band", "i", "j").applyInPandas(_links_in_tile(least), "a long, b long").distinct()
+
+    labels = components.linked_classes(members, similar, similar_in_tiles)
     classes = nodes.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("class_id"))
     return rows.join(classes, "fingerprint").select("doc_id", "class_id")

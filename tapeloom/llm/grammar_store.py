@@ -112,7 +112,11 @@ def repair(ids: np.ndarray, last: np.ndarray, n_terminals: int, min_count: int =
         places, marks = places[true], marks[true]
         mark = np.zeros(len(symbols) + 1, dtype=np.int32)
         mark[places] = marks
-        chosen = (marks > mark[places - 1]) & (marks >= mark[places + 1])
+        # in a run of one pair over and over every other place counts
+        begins = np.ones(len(places), dtype=bool)
+        begins[1:] = (places[1:] != places[:-1] + 1) | (marks[1:] != marks[:-1])
+        along = np.arange(len(places)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        chosen = (along % 2 == 0) & ((marks > mark[places - 1]) | ~begins) & (marks >= mark[places + 1])
         places, marks = places[chosen], marks[chosen]
         uses = np.bincount(marks, minlength=len(pairs) + 1)
         paid = uses >= max(2, min_count // 2)

@@ -1,0 +1,223 @@
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tapeloom.llm import license_rules, merkle, mixing, quality, queries, store
+from tests.llm.conftest import DOCS, ODD
+
+# --- quality ----------------------------------------------------------------------------------------------------------------------------
+
+
+def test_held_out_accuracy(spark):
+    got = queries.op3_discriminant_quality(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    assert len(got) == 1000 and got["score"].between(0, 1).all()
+    assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in got["held_out"].items())
+    assert (got["predicted"] == (got["score"] >= 0.3)).all()
+    unseen = got[got["held_out"]].join(labels, how="inner")
+    assert (unseen["predicted"] == unseen["quality"]).mean() > 0.95
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = ({r.doc_id: r.score for r in quality.quality_scores(docs, x).collect()} for x in (labels, turned))
+    assert a == b
+
+
+def test_model_against_numpy(spark):
+    g = np.random.default_rng(0)
+    x = g.normal(0, 1, (300, len(quality.FEATURES))) @ g.normal(0, 1, (len(quality.FEATURES),) * 2)
+    y = (x[:, 0] > 0).astype(int)
+    model = quality.fit(spark.createDataFrame([(int(t), r.tolist()) for r, t in zip(x, y)], "label int, x array<double>").repartition(5), shrink=0.1, ridge=0.0)
+    pooled = sum(np.cov(x[y == k].T) * ((y == k).sum() - 1) for k in (0, 1)) / 298
+    dens = []
+    for k in (0, 1):
+        c = 0.9 * np.cov(x[y == k].T) + 0.1 * pooled + 1e-6 * np.eye(x.shape[1])
+        d = x - x[y == k].mean(0)
+        dens.append(np.log((y == k).mean()) - 0.5 * (np.linalg.slogdet(c)[1] + np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d)))
+    np.testing.assert_allclose(model.scores(x), 1 / (1 + np.exp(-np.clip(dens[1] - dens[0], -35, 35))), rtol=1e-6, atol=1e-9)
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (5, 1), (5, 0), (7, 0), (8, None), (None, 1)], "doc_id long, quality int")
+    rows = quality.quality_scores(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert quality.quality_scores(odd, labels.where("false")).count() == len(ODD)
+    assert quality.quality_scores(none, labels).count() == 0
+
+
+# --- licences ---------------------------------------------------------------------------------------------------------------------------
+
+
+def words_of(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def check_base(rows, docs):
+    want = []
+    for doc_id, text in docs:
+        w, at, labels = words_of(text), [], set()
+        for phrase, label in license_rules.BASE:
+            p = phrase.split()
+            hits = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+            at += hits
+            labels |= {label} if hits else set()
+        want.append((str(doc_id), len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
+    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in rows)
+    for r in rows:
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score > 0) == (r.labels != "")
+
+
+def test_license_base_places(spark, odd, none):
+    rows = queries.op6_license_rules(spark, "/root/testdata/sf0.01").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    check_base(rows, docs)
+    check_base(license_rules.license_scan(odd).collect(), [(d[0], d[1]) for d in ODD])
+    assert license_rules.license_scan(none).count() == 0
+    hard = [(0, "CC-BY, cc by; ccby cc  by"), (1, "All rights\n\nRESERVED all rights reservedé"), (2, "the GENERAL Public-License. cc by cc by")]
+    check_base(license_rules.license_scan(spark.createDataFrame(hard, "doc_id int, text string")).collect(), hard)
+
+
+def test_rules_and_suppression():
+    assert len(license_rules.rules()) > 300
+    found = license_rules.settled(license_rules.detections("this work is licensed under the mit license and not otherwise".split()))
+    assert [(d.label, d.first_word, d.end_word) for d in found] == [("mit", 2, 8)]  # the shorter "mit license" lies inside
+    both = license_rules.settled(license_rules.detections("released under the gnu general public license".split()))
+    assert {d.label for d in both} == {"gpl", "gpl-family"} and [d.base for d in both].count(True) == 1
+    apart = license_rules.settled(license_rules.detections("mit license or isc license".split()))
+    assert {d.label for d in apart} == {"mit", "isc"}
+
+
+def test_every_rule_is_behind_the_gate():
+    """A phrase from each phrasing and notice passes the byte gate."""
+    samples = ["licensed under mit", "released under isc", "under the terms of the mit", "subject to the mit", "spdx license identifier mit", "you may use it mit", "see the mit for details", "copy of the mit", "mit license", "no rights reserved", "in the public domain", "copyright 2001", "proprietary and confidential", "may not be reproduced without permission", "for non commercial use only", "redistribution and use"]
+    assert all(any(k in s.encode() for k in license_rules.GATE) for s in samples)
+
+
+# --- mixing -----------------------------------------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes, weights=(3.0, 1.0, 2.0)):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+def check_mix(rows, docs):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = Counter()
+    for d in docs:
+        total[d[3]] += size(d[1])
+    target, taken = brute_targets(total), defaultdict(int)
+    assert Counter((str(r.doc_id), r.size) for r in rows) == Counter((str(d[0]), size(d[1])) for d in docs)
+    for r in rows:
+        assert r.source_size == total[r.source] and r.target == pytest.approx(target[r.source], rel=1e-9) and 0 <= r.taken <= 2 * r.size
+        assert sum(t.words for t in r.takes) == r.taken and all(0 <= t.time <= 1 for t in r.takes)
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
+def test_mixing_odd_rows(spark, odd, none):
+    check_mix(mixing.mixture(odd).collect(), ODD)
+    assert mixing.mixture(none).count() == 0
+
+
+def test_mixing_hot_source_and_repeatability(spark):
+    docs = [(i, "w " * (i % 40), "en", None if i % 50 == 0 else "hot" if i % 3 else f"s{i % 7}", 0) for i in range(3000)]
+    frame = spark.createDataFrame(docs, DOCS)
+    a = mixing.mixture(frame, cell_rows=100).collect()
+    check_mix(a, docs)
+    b = mixing.mixture(frame.repartition(7), cell_rows=100).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    times = [r.position for r in mixing.curriculum(mixing.mixture(frame)).collect() if r.position is not None]
+    assert times == sorted(times)
+
+
+def test_due_time_inverts_the_schedule(spark):
+    for tilt in (0.5, -0.5, 0.0):
+        rows = spark.range(101).select((F.col("id") / 100).alias("share"), mixing.due_time(F.col("id") / 100, F.lit(tilt)).alias("t")).collect()
+        assert all(abs((1 + tilt) * r.t - tilt * r.t**2 - r.share) < 1e-9 for r in rows)
+
+
+# --- fixity -----------------------------------------------------------------------------------------------------------------------------
+
+PAGES = "page_id long, url string, html string"
+
+
+def pages(n=700):
+    return [(i * 3 - 50, f"http://h/{i}", f"<p>{'x' * (i % 90)}{i}</p>") for i in range(n)]
+
+
+def damage(spark, a, b):
+    rows = merkle.audit(spark.createDataFrame(a, PAGES).repartition(3), spark.createDataFrame(b, PAGES).repartition(5)).collect()
+    return {(r.page_id, r.status) for r in rows}
+
+
+def test_audit_finds_each_damage(spark):
+    a = pages()
+    b = [list(r) for r in a]
+    b[10][2] += "!"
+    b[300][1] = None
+    b.append(b[20])
+    b.append((100_000, "new", "page"))
+    del b[500]
+    assert damage(spark, a, b) == {(a[10][0], "altered"), (a[300][0], "altered"), (a[20][0], "repeated"), (100_000, "extra"), (a[500][0], "missing")}
+    assert damage(spark, a, a[::-1]) == set()
+
+
+def test_audit_odd_rows(spark):
+    a = [(None, "u", "h"), (1, None, None), (1, None, None), (2, "", "x" * 200_000), (-5, "u", "h"), (10**12, "far", "h")]
+    assert damage(spark, a, a) == set()
+    assert damage(spark, a, a[1:]) == {(None, "missing")}
+    assert damage(spark, a, []) == {(None, "missing"), (1, "missing"), (2, "missing"), (-5, "missing"), (10**12, "missing")}
+    assert damage(spark, [], []) == set()
+
+
+def test_ranges_and_descent(spark):
+    a = pages(300)
+    b = [r if r[0] != a[40][0] else (r[0], r[1], "z") for r in a]
+    (row,) = merkle.audit(spark.createDataFrame(a, PAGES), spark.createDataFrame(b, PAGES)).collect()
+    size = lambda r: len(f"{r[0]}\n{r[1]}\n{r[2]}")
+    leaf = a[40][0] // merkle.LEAF
+    assert row.range_start == sum(size(r) for r in a if r[0] // merkle.LEAF < leaf)
+    assert row.range_end - row.range_start == sum(size(r) for r in a if r[0] // merkle.LEAF == leaf)
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts, before = [docs.count()], docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = store.written(stage(spark, before, sf), "stage")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert after.columns == docs.columns
+            assert after.join(docs, docs.columns, "left_anti").count() == 0
+        if name == "minhash near-dedup":
+            texts = [re.sub(r"\s", "", r.text or "") for r in after.collect()]
+            assert len(texts) == len(set(texts))
+        counts.append(after.count())
+        before = after
+    assert counts[0] > counts[1] >= counts[2] >= counts[3] > 0
+    assert sum(r.length for r in after.collect()) > 0
+    assert corpus_pipeline.run(spark, sf).count() == counts[-1]
