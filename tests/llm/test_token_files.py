@@ -18,9 +18,9 @@ TRICKY = ["", " ", "a  b\n\n c", "x<|endoftext|> y", "a  b", "café 　 x", "it
 
 
 def test_units_give_the_library_ids():
-    enc = byte_bpe.UnitEncoder(byte_bpe.vocabulary_path(), keep=40)
+    enc = byte_bpe.UnitEncoder(byte_bpe.vocabulary_path(), slots=64)
     texts = TRICKY * 3 + ["the cat sat on the mat. " * 20, "one two three four five six seven " * 9] * 4
-    for _ in range(3):  # the memory overflows between rounds
+    for _ in range(3):  # units push each other out of the memory
         ids, n = enc.encode(texts)
         parts = np.split(ids, np.cumsum(n)[:-1])
         assert all(np.array_equal(a, b) for a, b in zip(parts, direct(texts)))
