@@ -125,12 +125,12 @@ class Rule:
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules, strongest first."""
-    made = [Rule(re.compile(rf"(?<!\S){p}(?!\S)"), label, (p.split()[-1],), 100, 0.6, True) for p, label in BASE]
+    made = [Rule(re.compile(rf"(?<![^ ]){p}(?![^ ])"), label, (p.split()[-1],), 100, 0.6, True) for p, label in BASE]
     for phrase, priority, weight in PHRASES:
         for name, label, words in NAMES:
-            made.append(Rule(re.compile(rf"(?<!\S)(?:{phrase.format(name=name)})(?!\S)"), label, tuple(words.split("|")), priority, weight))
+            made.append(Rule(re.compile(rf"(?<![^ ])(?:{phrase.format(name=name)})(?![^ ])"), label, tuple(words.split("|")), priority, weight))
     for pattern, label, words, priority, weight in NOTICES:
-        made.append(Rule(re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), label, tuple(words.split("|")), priority, weight))
+        made.append(Rule(re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), label, tuple(words.split("|")), priority, weight))
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 

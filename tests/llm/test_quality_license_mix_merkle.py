@@ -80,7 +80,7 @@ def test_license_base_places(spark, odd, none):
     check_base(rows, docs)
     check_base(license_rules.license_scan(odd).collect(), [(d[0], d[1]) for d in ODD])
     assert license_rules.license_scan(none).count() == 0
-    hard = [(0, "CC-BY, cc by; ccby cc  by"), (1, "All rights\n\nRESERVED all rights reservedé"), (2, "the GENERAL Public-License. cc by cc by")]
+    hard = [(0, "CC-BY, cc by; ccby cc  by"), (1, "All rights\n\nRESERVED all rights reservedé"), (2, "the GENERAL Public-License. cc by cc by"), (3, "cc by\u00a0x cc\u00a0by \u2003cc by, cc by")]
     check_base(license_rules.license_scan(spark.createDataFrame(hard, "doc_id int, text string")).collect(), hard)
 
 
