@@ -55,11 +55,10 @@ def duplicate_groups(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CH
         other = docs.select(normalised(F.col("text")).alias("_norm")).select(F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), F.unhex(F.sha2(F.col("_norm").cast("binary"), 512)).alias("_other"))
         other = other.join(bad, "text_sha256", "left_semi").distinct()
         rows = rows.join(other, "text_sha256", "left").withColumn("recipe", F.when(F.col("_other").isNull(), F.col("recipe")).otherwise(F.array("_other"))).drop("_other")
-    # the whole list is the key; its digest only spares the join and the sort long comparisons
-    rows = rows.withColumn("_list", F.sha2(F.concat_ws("", F.transform("recipe", F.hex)).cast("binary"), 256))
     best = F.struct(F.col("n_chars"), -F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
-    groups = rows.groupBy("_list").agg(F.count("*").alias("group_size"), F.max(best).alias("_best"))
+    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(best).alias("_best"))
     keep = -F.col("_best.col2")
-    groups = groups.select("_list", "group_size", F.when(keep != F.lit((1 << 63) - 1), keep).alias("keep_id"))
-    out = rows.join(groups, "_list")
+    groups = groups.select("recipe", "group_size", F.when(keep != F.lit((1 << 63) - 1), keep).alias("keep_id"))
+    # from a written table, a list that a third of all rows share is a skewed side of the join, which Spark splits
+    out = rows.join(store.written(groups, "groups"), "recipe")
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
