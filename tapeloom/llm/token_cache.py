@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.llm import store
 from tapeloom.llm.kernels import text_chunks
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -78,7 +79,7 @@ def add_missing(docs: DataFrame, cache_path: str, model: str | None = None) -> s
     version = tokenizer_digest(model)
     known = open_cache(docs.sparkSession, cache_path).where(F.col("tokenizer") == version).select("digest")
     # equal texts meet in one row before the shuffle and after it, so a text that fills a third of the table is no burden
-    missing = _digested(docs).select("digest", "text").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    missing = _digested(docs).groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
     counts = missing.mapInArrow(_encode(model), "digest binary, n_tokens long")
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     return version
@@ -90,5 +91,7 @@ def count_tokens(docs: DataFrame, cache_path: str, model: str | None = None, lim
     cache = docs.sparkSession.read.schema(CACHE_SCHEMA).parquet(cache_path)
     # two runs that fill the cache at once may both append a text: one count each is kept
     counts = cache.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # from a written table, a text that a third of all rows hold is a skewed side of the join, which Spark splits
+    counts = store.written(counts, "counts")
     rows = _digested(docs).select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
