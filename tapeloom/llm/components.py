@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is one grouping by node, so no component is ever brought together; the number of rounds grows with the logarithm of the
-longest chain. Every round is written to the shared folder, which cuts the lineage.
+longest chain. Every round is written to the shared folder, which cuts the lineage. What is counted by node or band is written before it
+is joined to the rows again, so that Spark can split a node or band that holds a third of all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = store.written(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = around.join(least, "a")
     if large:
         return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -67,18 +68,18 @@ def linked_classes(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
     small ones are compared in pairs of different classes, and large ones tile by tile, where only links become rows.
     """
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = store.written(members.join(crowded, "band"), "buckets")
+    members = store.written(members.join(store.written(crowded, "crowded"), "band"), "buckets")
     if prepare:
         prepare(members)
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
     leaders = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("top"))
-    led = members.join(leaders.select("band", (-F.col("top.minus")).alias("leader")), "band")
+    led = members.join(store.written(leaders.select("band", (-F.col("top.minus")).alias("leader")), "leaders"), "band")
     pairs = led.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     found = store.written(similar(pairs), "links")
     labels = smallest_labels(found)
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     torn = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("band")
-    rows = store.written(rows.join(torn, "band"), "torn")
+    rows = store.written(rows.join(store.written(torn, "torn-bands"), "band"), "torn")
     small = rows.where(F.col("n") <= SMALL_BAND)
     other = small.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
     pairs = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b").distinct()

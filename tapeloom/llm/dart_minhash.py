@@ -155,7 +155,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def _similar(pairs: DataFrame, cells: DataFrame, least: float, per_task: int = 2000) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least `least`. A node of many pairs is read in several shares."""
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_shares"))
+    shares = store.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_shares")), "shares")
     left = cells.withColumnRenamed("doc_id", "a").join(shares.hint("merge"), "a").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
     right = pairs.join(shares.hint("merge"), "a").withColumn("_share", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int"))
     right = right.join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("_b")).hint("merge"), "b")
