@@ -17,8 +17,8 @@ A pair is first held against the estimate from the signatures (EST_SLACK below t
 exactly by its shingles.
 
 Defined cases: a null, empty or wordless text has no shingles, links with nothing and is its own class; a text of one to four words is
-one shingle; rows with equal doc_id are one document to the linker and share a class; a null doc_id has a null class unless a copy
-has an id; an empty table gives no rows; extra columns are ignored.
+one shingle; a null doc_id is linked like any other and has a null class only if no row of its class has an id; of each class one row is
+kept, that of the smallest id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +113,8 @@ def _sketch(bands: int, band_rows: int, width: int):
                 keys = band_keys(signature, bands, band_rows)
                 short = [row.tobytes() for row in (signature >> U64(48)).astype("<u2")]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), lists, pa.array(short, pa.binary())], names=["doc_id", "digest", "bands", "signature"])
+                doc_id, text, row = (c.slice(a, b - a) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([doc_id, row, pa.array(digests, pa.binary()), lists, pa.array(short, pa.binary()), text], names=["doc_id", "row", "digest", "bands", "signature", "text"])
 
     return run
 
@@ -127,15 +128,17 @@ def _cells(width: int):
                 elements, rows = shingle_hashes(words, counts, width)
                 at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((occurrence_cells(elements, rows) >> U64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["node", "cells"])
 
     return run
 
 
-def sketches(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest of the words (null without words), the band keys of the signature, and 16 bits of each of its coordinates."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_sketch(bands, band_rows, width), "doc_id long, digest binary, bands array<long>, signature binary")
+def sketches(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, width: int = WIDTH, key: str | None = None) -> DataFrame:
+    """doc_id, a number of the row (the column key, if named), digest of the words (null without words), the band keys of the signature,
+    16 bits of each of its coordinates, and text. Rows are numbered as they are read: write the table before it is read twice."""
+    row = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    return rows.mapInArrow(_sketch(bands, band_rows, width), "doc_id long, row long, digest binary, bands array<long>, signature binary, text string")
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -148,17 +151,17 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     agreement = F.pandas_udf(_agreement, "double")
-    rows = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("signature").alias("_x")).hint("merge"), "a")
-    rows = rows.join(nodes.select(F.col("doc_id").alias("b"), F.col("signature").alias("_y")).hint("merge"), "b")
+    rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("_x")).hint("merge"), "a")
+    rows = rows.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("_y")).hint("merge"), "b")
     return rows.where(agreement("_x", "_y") >= least).select("a", "b")
 
 
 def _similar(pairs: DataFrame, cells: DataFrame, least: float, per_task: int = 2000) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least `least`. A node of many pairs is read in several shares."""
     shares = store.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("_shares")), "shares")
-    left = cells.withColumnRenamed("doc_id", "a").join(shares.hint("merge"), "a").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    left = cells.withColumnRenamed("node", "a").join(shares.hint("merge"), "a").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
     right = pairs.join(shares.hint("merge"), "a").withColumn("_share", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int"))
-    right = right.join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("_b")).hint("merge"), "b")
+    right = right.join(cells.select(F.col("node").alias("b"), F.col("cells").alias("_b")).hint("merge"), "b")
     both = right.join(left.select("a", "_share", F.col("cells").alias("_a")).hint("merge"), ["a", "_share"])
     common = F.size(F.array_intersect("_a", "_b"))
     return both.where(common >= least * (F.size("_a") + F.size("_b") - common)).select("a", "b")
@@ -195,33 +198,41 @@ def _links_in_tile(least: float):
     return run
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """(node, label) for all nodes (doc_id, bands, signature) that are linked with another; label is the smallest doc_id of the class."""
-    members = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def links(sketched: DataFrame, nodes: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
+    """(node, label) for all nodes (node, bands, signature) that are linked with another; a node is the row of sketched that holds its text,
+    and label is the smallest node of the class."""
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    rows = sketched.select(F.col("row").alias("node"), "text")
     cells: list[DataFrame] = []
 
     def prepare(crowded: DataFrame) -> None:
-        wanted = crowded.select(F.col("node").alias("doc_id")).distinct()
-        found = rows.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_cells(width), "doc_id long, cells array<int>")
-        cells.append(store.written(found.dropDuplicates(["doc_id"]), "cells"))
+        wanted = crowded.select("node").distinct()
+        cells.append(store.written(rows.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_cells(width), "node long, cells array<int>"), "cells"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         return _similar(store.written(_likely(pairs, nodes, least - EST_SLACK), "likely"), cells[0], least)
 
     def similar_in_tiles(tiled: DataFrame) -> DataFrame:
-        with_cells = tiled.join(cells[0].withColumnRenamed("doc_id", "node").hint("merge"), "node")
+        with_cells = tiled.join(cells[0].hint("merge"), "node")
         return with_cells.groupBy("band", "i", "j").applyInPandas(_links_in_tile(least), "a long, b long").distinct()
 
     return components.linked_classes(members, similar, similar_in_tiles, prepare)
 
 
-def near_duplicate_classes(docs: DataFrame, least: float = LEAST, width: int = WIDTH, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and kept for every row of docs."""
-    sketched = store.written(sketches(docs, bands, band_rows, width), "sketches")
-    nodes = sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("_m"))
-    nodes = store.written(nodes.select("digest", F.col("_m.doc_id").alias("doc_id"), F.col("_m.bands").alias("bands"), F.col("_m.signature").alias("signature")), "nodes")
-    labels = links(docs, nodes.where(F.col("doc_id").isNotNull()).select("doc_id", "bands", "signature"), least, width)
-    classes = nodes.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("_class"))
-    rows = sketched.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"))
-    return rows.withColumn("kept", F.expr("doc_id <=> class_id"))
+def near_duplicate_classes(docs: DataFrame, least: float = LEAST, width: int = WIDTH, bands: int = BANDS, band_rows: int = BAND_ROWS, key: str | None = None) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class) and kept for every row of docs, and the column key, a number for each row, if named."""
+    sketched = store.written(sketches(docs, bands, band_rows, width, key), "sketches")
+    # a wordless text is the node of its id, or of its row
+    alone = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.concat(F.lit("r"), F.col("row").cast("string"))).cast("binary")
+    told = sketched.withColumn("_text", F.coalesce("digest", alone))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    shown = lambda c: F.first(F.when(F.col("digest").isNotNull(), F.col(c))).alias(c)
+    nodes = told.groupBy("_text").agg(first.alias("_first"), shown("bands"), shown("signature"))
+    nodes = store.written(nodes.select("_text", "_first", F.col("_first.row").alias("node"), "bands", "signature"), "nodes")
+    labels = links(sketched, nodes.where(F.col("bands").isNotNull()).select("node", "bands", "signature"), least, width)
+    labelled = nodes.select("_text", "_first", "node").join(labels, "node", "left")
+    labelled = store.written(labelled.select("_text", "_first", F.coalesce("label", "node").alias("label")), "labelled")
+    best = store.written(labelled.groupBy("label").agg(F.min("_first").alias("_best")), "best")
+    classes = store.written(labelled.join(best, "label").select("_text", F.col("_best.doc_id").alias("class_id"), F.col("_best.row").alias("_keep")), "classes")
+    rows = told.select("doc_id", "row", "_text").join(classes, "_text")
+    return rows.select("doc_id", "class_id", (F.col("row") == F.col("_keep")).alias("kept"), *([F.col("row").alias(key)] if key else []))

@@ -111,6 +111,16 @@ def test_near_odd_rows(spark, odd, none):
     assert dart_minhash.near_duplicate_classes(none).count() == 0
 
 
+def test_near_null_ids_among_copies(spark):
+    g = random.Random(6)
+    text, other = (" ".join(f"{k}{g.randrange(10**6)}" for _ in range(120)) for k in "ab")
+    near, far = near_family(g, text, 1, (1, 1))[0], near_family(g, other, 1, (1, 1))[0]
+    docs = [(None, text), (5, text), (6, text), (9, near), (None, other), (None, other), (None, far), (None, "..."), (None, "..."), (3, "...")]
+    rows = dart_minhash.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in rows)
+    assert got == {(None, 5, False): 1, (5, 5, True): 1, (6, 5, False): 1, (9, 5, False): 1, (None, None, True): 3, (None, None, False): 2, (3, 3, True): 1}
+
+
 def test_op8_query(spark, sample):
     docs = [(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()]
     got = {r.doc_id: r.class_id for r in queries.op8_dart_minhash(spark, "/root/testdata/sf0.001").collect()}
