@@ -31,11 +31,11 @@ def chunks(norm: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Colum
     return F.regexp_extract_all(norm, F.lit(rf"(?s).{{{least},{most - 1}}}?[.!?;,]|.{{{most}}}|.+"), F.lit(0))
 
 
-def recipes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """doc_id, n_chars, text_sha256 and recipe (the chunk digests in order)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_chars"), normalised(F.col("text")).alias("_norm"))
+def recipes(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK, key: str | None = None) -> DataFrame:
+    """doc_id, n_chars, text_sha256 and recipe (the chunk digests in order), and the column key, if named."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_chars"), normalised(F.col("text")).alias("_norm"), *([key] if key else []))
     digest = F.transform(chunks(F.col("_norm"), least, most), lambda c: F.unhex(F.sha2(c.cast("binary"), 256)))
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), digest.alias("recipe"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), digest.alias("recipe"), *([key] if key else []))
 
 
 def clashing_identifiers(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
@@ -45,9 +45,10 @@ def clashing_identifiers(docs: DataFrame, least: int = MIN_CHUNK, most: int = MA
     return pieces.groupBy("digest").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where(F.col("a") != F.col("b")).select("digest")
 
 
-def duplicate_groups(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    rows = store.written(recipes(docs, least, most), "recipes")
+def duplicate_groups(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CHUNK, key: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs. If the column key, a number for each row, is named, it is carried
+    along and exactly one row of each group is kept."""
+    rows = store.written(recipes(docs, least, most, key), "recipes")
     clashes = store.written(clashing_identifiers(docs, least, most), "clashes")
     if not clashes.isEmpty():
         # a digest that is known to clash does not identify: lists that hold one are told apart by another digest of the text
@@ -55,10 +56,11 @@ def duplicate_groups(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CH
         other = docs.select(normalised(F.col("text")).alias("_norm")).select(F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), F.unhex(F.sha2(F.col("_norm").cast("binary"), 512)).alias("_other"))
         other = other.join(bad, "text_sha256", "left_semi").distinct()
         rows = rows.join(other, "text_sha256", "left").withColumn("recipe", F.when(F.col("_other").isNull(), F.col("recipe")).otherwise(F.array("_other"))).drop("_other")
-    best = F.struct(F.col("n_chars"), -F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
+    best = F.struct(F.col("n_chars").alias("col1"), (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("col2"), *([(-F.col(key)).alias("row")] if key else []))
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(best).alias("_best"))
     keep = -F.col("_best.col2")
-    groups = groups.select("recipe", "group_size", F.when(keep != F.lit((1 << 63) - 1), keep).alias("keep_id"))
+    groups = groups.select("recipe", "group_size", F.when(keep != F.lit((1 << 63) - 1), keep).alias("keep_id"), *([(-F.col("_best.row")).alias("_keep")] if key else []))
     # from a written table, a list that a third of all rows share is a skewed side of the join, which Spark splits
     out = rows.join(store.written(groups, "groups"), "recipe")
-    return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    kept = F.col(key) == F.col("_keep") if key else F.expr("doc_id <=> keep_id")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *([key] if key else []))

@@ -62,14 +62,14 @@ def due_time(share: Column, tilt: Column) -> Column:
     return F.least(F.greatest(2 * share / (b + root), F.lit(0.0)), F.lit(1.0))
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, repeat: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """All columns of docs' rows that matter to the mix, and for each: size, source_size, target, taken,
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, repeat: int = 2, cell_rows: int = CELL_ROWS, key: str | None = None) -> DataFrame:
+    """All columns of docs' rows that matter to the mix (and the column key, a number for each row, if named), and for each: size, source_size, target, taken,
     and takes: one struct (time, words) for each reading of the document that the mix uses."""
-    spark_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    return mixed_rows(spark_rows, weights, total, repeat, cell_rows)
+    spark_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *([key] if key else []))
+    return mixed_rows(spark_rows, weights, total, repeat, cell_rows, key)
 
 
-def mixed_rows(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, repeat: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
+def mixed_rows(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, repeat: int = 2, cell_rows: int = CELL_ROWS, key: str | None = None) -> DataFrame:
     """mixture() for rows (doc_id, source, size) that are read several times: pass a written table."""
     sized = store.written(sized, "sizes")
     slices = max(16, -(-sized.count() // cell_rows))
@@ -81,7 +81,7 @@ def mixed_rows(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: fl
     earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "_slice", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before"))
     facts = cells.withColumnRenamed("source", "_s").join(targets.withColumnRenamed("source", "_t"), F.expr("_s <=> _t")).drop("_t").withColumnRenamed("_slice", "_c")
-    within = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size", *([key] if key else [])).rowsBetween(Window.unboundedPreceding, 0)
     rows = sized.withColumn("_upto", F.sum("size").over(within))
     rows = rows.join(facts, F.expr("_slice = _c AND source <=> _s"))
     size, words = F.col("size"), F.floor("target")
@@ -93,7 +93,7 @@ def mixed_rows(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: fl
         takes.append(F.when(take > 0, F.struct(due_time(F.try_divide(at, F.col("target")), F.col("tilt")).alias("time"), take.cast("long").alias("words"))))
     rows = rows.withColumn("takes", F.array_compact(F.array(*takes)))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takes")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takes", *([key] if key else []))
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:

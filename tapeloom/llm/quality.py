@@ -83,13 +83,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in text_chunks(texts):
             x = statistics(texts[a:b])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "x"])
+            carried = [c.slice(a, b - a) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, *carried], names=["doc_id", "x", *batch.schema.names[2:]])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of each text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_measure, "doc_id long, x array<double>")
+def measured(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id and x, the statistics of each text, and the column key, a number for each row, if named."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([key] if key else []))
+    return rows.mapInArrow(_measure, "doc_id long, x array<double>" + (f", {key} long" if key else ""))
 
 
 @dataclass
@@ -147,7 +148,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.scores(x), 6))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.scores(x), 6)), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
     return run
 
@@ -157,12 +158,12 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs; labels (doc_id, quality) of rows not held out are learnt from."""
-    rows = store.written(measured(docs), "statistics")
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs, and the column key, if named; labels (doc_id, quality) of rows not held out are learnt from."""
+    rows = store.written(measured(docs, key), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     model = fit(rows.join(known, "doc_id"))
-    scored = rows.mapInArrow(_score(model), "doc_id long, score double")
+    scored = rows.mapInArrow(_score(model), "doc_id long, score double" + (f", {key} long" if key else ""))
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([key] if key else []))

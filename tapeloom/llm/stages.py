@@ -5,44 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chunk_dedup, dart_minhash, mixing, packing, quality
+from tapeloom.llm import chunk_dedup, dart_minhash, mixing, packing, quality, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(COLUMNS)
+ROW = "_row"
 
 
-def _where_decided(docs: DataFrame, decisions: DataFrame, keep: Column) -> DataFrame:
-    """The documents whose id a decision keeps. Documents without an id cannot be told apart and stay."""
-    kept = decisions.where(keep).select(F.col("doc_id").alias("_id")).distinct()
-    rows = _rows(docs)
-    return rows.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(rows.where("doc_id is null"))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written so that it is the same in every read: doc_id may be null or repeated."""
+    return store.written(docs.select(COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _where_decided(rows: DataFrame, decisions: DataFrame, keep: Column) -> DataFrame:
+    """The documents whose row a decision keeps."""
+    return rows.join(decisions.where(keep).select(ROW), ROW, "left_semi").select(COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant predicts to be of quality 1."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _where_decided(docs, quality.quality_scores(docs, labels), F.col("predicted") == 1)
+    rows, labels = _numbered(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _where_decided(rows, quality.quality_scores(rows, labels, key=ROW), F.col("predicted") == 1)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept row of each group of equal texts."""
-    return _where_decided(docs, chunk_dedup.duplicate_groups(docs), F.col("kept"))
+    """One row of each group of equal texts."""
+    rows = _numbered(docs)
+    return _where_decided(rows, chunk_dedup.duplicate_groups(rows, key=ROW), F.col("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near copies."""
-    return _where_decided(docs, dart_minhash.near_duplicate_classes(docs), F.col("kept"))
+    """One row, of the smallest id, of each class of near copies."""
+    rows = _numbered(docs)
+    return _where_decided(rows, dart_minhash.near_duplicate_classes(rows, key=ROW), F.col("kept"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each reading of a document in the mix, in order of training time. A reading of which the mix takes less than half is left out."""
-    mixed = mixing.mixture(docs).select(F.col("doc_id").alias("_id"), F.explode("takes").alias("_take"), "size")
-    readings = mixed.where(2 * F.col("_take.words") >= F.col("size")).select("_id", F.col("_take.time").alias("_time"))
-    rows = _rows(docs).join(readings, F.col("doc_id") == F.col("_id"))
-    return rows.sort("_time", "doc_id").select(COLUMNS)
+    rows = _numbered(docs)
+    mixed = mixing.mixture(rows, key=ROW).select(ROW, F.explode("takes").alias("_take"), "size")
+    readings = mixed.where(2 * F.col("_take.words") >= F.col("size")).select(ROW, F.col("_take.time").alias("_time"))
+    return rows.join(readings, ROW).sort("_time", "doc_id").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

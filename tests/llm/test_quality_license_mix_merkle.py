@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import license_rules, merkle, mixing, quality, queries, store
+from tapeloom.llm import license_rules, merkle, mixing, quality, queries, stages, store
 from tests.llm.conftest import DOCS, ODD
 
 # --- quality ----------------------------------------------------------------------------------------------------------------------------
@@ -221,3 +221,20 @@ def test_pipeline_stages(spark):
     assert counts[0] > counts[1] >= counts[2] >= counts[3] > 0
     assert sum(r.length for r in after.collect()) > 0
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
+
+
+def test_stages_decide_by_row(spark, odd):
+    sf = "/root/testdata/sf0.001"
+    twice = odd.unionByName(odd)
+    exact = stages.exact_dedup_stage(spark, twice, sf).collect()
+    assert Counter(r.doc_id for r in exact) == Counter([1, 4, None, 7, 8, 9])
+    near = stages.near_dedup_stage(spark, twice, sf).collect()
+    assert Counter(r.doc_id for r in near) == Counter([1, 2, 3, 4, None, 7, 8, 9])
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scored = quality.quality_scores(odd, labels).collect()
+    kept = stages.quality_stage(spark, odd, sf).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in scored if r.predicted == 1)
+    mixed, want = stages.mixing_stage(spark, odd, sf).collect(), Counter()
+    for r in mixing.mixture(odd).collect():
+        want[r.doc_id] += sum(2 * t.words >= r.size for t in r.takes)
+    assert Counter(r.doc_id for r in mixed) == +want and want[5] > 0 and want[None] > 0
