@@ -134,8 +134,8 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
-#: A text that lacks all of these words matches no rule: every phrasing and notice holds one of them.
-GATE = (b"licen", b"reserved", b"under", b"subject to", b"spdx", b"permission", b"you may use", b"redistribut", b"see the", b"copy", b"domain", b"warrant", b"proprietary", b"reproduced", b"commercial", b"cc")
+#: A text that lacks all of these matches no rule: every phrasing and notice holds one of them within a single word, whatever stands between words.
+GATE = (b"licen", b"reserved", b"under", b"subject", b"spdx", b"permission", b"may", b"redistribut", b"see", b"copy", b"domain", b"warrant", b"proprietary", b"reproduced", b"commercial", b"cc")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True

@@ -100,6 +100,15 @@ def test_every_rule_is_behind_the_gate():
     assert all(any(k in s.encode() for k in license_rules.GATE) for s in samples)
 
 
+def test_gate_takes_any_space_between_words(monkeypatch):
+    samples = ["licensed under mit", "released under isc", "under the terms of the mit", "subject to the apache 2 0", "spdx license identifier mit", "you may use this file by mit", "permission is granted by mit", "see the gpl v3 for details", "copy of the mit", "mit license"]
+    samples += ["no rights reserved", "in the public domain", "copyright 2001", "this software is provided as is without warranty", "proprietary and confidential", "unauthorized copying is prohibited", "may not be reproduced without permission", "for noncommercial use only", "permission is hereby granted free of charge to any person obtaining a copy", "cc by"]
+    texts = [between.join(s.upper().split()) for s in samples for between in (" ", "\n", "  ", " - ", ", ")]
+    gated = license_rules._rows([*range(len(texts))], texts, True)
+    monkeypatch.setattr(license_rules, "GATE", (b"",))
+    assert gated == license_rules._rows([*range(len(texts))], texts, True) and all(gated["labels"])
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------------------------
 
 
