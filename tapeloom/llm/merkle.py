@@ -67,7 +67,8 @@ def height_of(*tables: DataFrame) -> int:
 
 def audit(primary: DataFrame, replica: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Damaged records of the replica: page_id, status (altered, missing, extra, repeated), the primary's and the replica's hash and copies, and the byte range
-    of the record's leaf in the primary archive."""
+    of the record's leaf in the primary archive. One row for each differing (page_id, hash); only where an id, or the null id, has exactly two, one on
+    each side, they are one altered record."""
     a, b = store.written(records(primary, leaf), "primary"), store.written(records(replica, leaf), "replica")
     height = height_of(a, b)
     mine, theirs = tree(a, height, "tree-a"), tree(b, height, "tree-b")
@@ -91,14 +92,17 @@ def audit(primary: DataFrame, replica: DataFrame, leaf: int = LEAF) -> DataFrame
     ranges = bad.join(start, "node", "left").select(F.col("node").alias("leaf"), F.col("start").alias("range_start"), (F.col("start") + F.col("n_bytes")).alias("range_end"))
     pick = lambda t, side: t.join(bad.select(F.col("node").alias("leaf")), "leaf", "left_semi").select("leaf", F.coalesce("page_id", F.lit(-(1 << 62))).alias("_id"), "sha256", F.col("copies").alias(f"{side}_copies"))
     both = pick(a, "primary").join(pick(b, "replica"), ["leaf", "_id", "sha256"], "full")
-    odd = both.where("not (primary_copies <=> replica_copies)")
-    # the content that an id has on one side only, against the content it has on the other
-    per_id = odd.groupBy("leaf", "_id").agg(
-        F.min(F.when(F.col("primary_copies").isNotNull(), F.col("sha256"))).alias("primary_sha256"), F.min(F.when(F.col("replica_copies").isNotNull(), F.col("sha256"))).alias("replica_sha256"),
-        F.coalesce(F.sum("primary_copies"), F.lit(0)).alias("primary_copies"), F.coalesce(F.sum("replica_copies"), F.lit(0)).alias("replica_copies"),
-    )
-    status = F.when(F.col("primary_copies") == 0, "extra").when(F.col("replica_copies") == 0, "missing").when(F.col("primary_sha256") == F.col("replica_sha256"), "repeated").otherwise("altered")
-    out = per_id.join(ranges, "leaf", "left").withColumn("status", status).withColumn("page_id", F.when(F.col("_id") != -(1 << 62), F.col("_id")))
+    odd = store.written(both.where("not (primary_copies <=> replica_copies)"), "odd")
+    # an id with one record on each side only was altered; any other record stands for itself
+    only = lambda side, other, c: F.max(F.when(F.col(f"{side}_copies").isNotNull() & F.col(f"{other}_copies").isNull(), F.col(c)))
+    sides = [("primary", "replica"), ("replica", "primary")]
+    per_id = odd.groupBy("leaf", "_id").agg(F.count("*").alias("_n"), *(only(s, o, "sha256").alias(f"{s}_sha256") for s, o in sides), *(only(s, o, f"{s}_copies").alias(f"{s}_copies") for s, o in sides))
+    paired = per_id.where("_n = 2 and primary_sha256 is not null and replica_sha256 is not null")
+    altered = store.written(paired.withColumn("status", F.lit("altered")).drop("_n"), "altered")
+    single = odd.join(altered.select("leaf", "_id"), ["leaf", "_id"], "left_anti")
+    status = F.when(F.col("primary_copies").isNull(), "extra").when(F.col("replica_copies").isNull(), "missing").otherwise("repeated")
+    single = single.select("leaf", "_id", *(F.when(F.col(f"{s}_copies").isNotNull(), F.col("sha256")).alias(f"{s}_sha256") for s, _ in sides), *(F.coalesce(f"{s}_copies", F.lit(0)).alias(f"{s}_copies") for s, _ in sides), status.alias("status"))
+    out = altered.unionByName(single).join(ranges, "leaf", "left").withColumn("page_id", F.when(F.col("_id") != -(1 << 62), F.col("_id")))
     return out.select("page_id", "status", "primary_sha256", "replica_sha256", "primary_copies", "replica_copies", "range_start", "range_end")
 
 

@@ -199,6 +199,15 @@ def test_audit_odd_rows(spark):
     assert damage(spark, [], []) == set()
 
 
+def test_audit_tells_every_record_of_an_id(spark):
+    a = [(None, "u", f"null {i}") for i in range(9)] + [(1, "u", "x"), (1, "u", "y"), (2, "u", "x"), (2, "u", "y"), (3, "u", "x"), (3, "u", "z")]
+    b = [(None, "u", f"null {i}" + "!" * (i < 5)) for i in range(6)] + [(1, "u", "x"), (1, "u", "v"), (1, "u", "w"), (2, "u", "x"), (2, "u", "w"), (3, "u", "x"), (3, "u", "x")]
+    rows = merkle.audit(spark.createDataFrame(a, PAGES).repartition(3), spark.createDataFrame(b, PAGES).repartition(5)).collect()
+    assert Counter((r.page_id, r.status) for r in rows) == {(None, "missing"): 8, (None, "extra"): 5, (1, "missing"): 1, (1, "extra"): 2, (2, "altered"): 1, (3, "repeated"): 1, (3, "missing"): 1}
+    assert len({(r.primary_sha256, r.replica_sha256) for r in rows}) == len(rows)
+    assert all((r.primary_copies, r.replica_copies) == {"missing": (1, 0), "extra": (0, 1), "altered": (1, 1), "repeated": (1, 2)}[r.status] for r in rows)
+
+
 def test_ranges_and_descent(spark):
     a = pages(300)
     b = [r if r[0] != a[40][0] else (r[0], r[1], "z") for r in a]
