@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import Names
 from tapeloom.operators import backtest, bars, features, indicators, signals, upsert, validate
-from tapeloom.sources.provider import flatten_pages
+from tapeloom.sources.provider import PAGE_LIMIT, flatten_pages
 
 DAILY = Names(key="ticker", time="trading_date")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,14 +519,23 @@ def update_log(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_timestamp", "last_timestamp")})
 
 
-@query(f"WITH {TICKS} SELECT upper(ticker) AS ticker, timestamp, open, high, low, close, volume, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE END AS trade_count, vwap, 'sip' AS feed FROM ticks")
-def provider_page_flatten(spark, sf_dir):
-    t = ticks(spark, sf_dir)
+def day_pages(t: DataFrame, page_bars: int = PAGE_LIMIT, salt_rows: int = 100_000) -> DataFrame:
+    """Rows (payload, feed) as the provider sends them: pages of at most page_bars bars of a day. Bars are numbered within a day's share of about salt_rows
+    rows at most, so neither a page nor a task grows with a day or a ticker."""
     bar = F.struct(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"),
         F.col("volume").alias("v"), F.when(F.col("event_id") % 2 == 0, F.col("trade_count")).alias("n"),
     )
-    per = t.groupBy("ticker", F.col("timestamp").cast("date").alias("day")).agg(F.collect_list(bar).alias("bars"))
-    pages = per.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "bars"))).alias("bars"))
-    payload = pages.select(F.to_json(F.struct("bars")).alias("payload"), F.lit("sip").alias("feed"))
+    salts = max(1, -(-t.count() // salt_rows))
+    rows = t.select("ticker", F.col("timestamp").cast("date").alias("day"), F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"), "event_id", bar.alias("bar"))
+    place = F.row_number().over(Window.partitionBy("day", "salt").orderBy("ticker", "event_id"))
+    rows = rows.withColumn("page", F.floor((place - 1) / page_bars))
+    per = rows.groupBy("day", "salt", "page", "ticker").agg(F.collect_list("bar").alias("bars"))
+    pages = per.groupBy("day", "salt", "page").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "bars"))).alias("bars"))
+    return pages.select(F.to_json(F.struct("bars")).alias("payload"), F.lit("sip").alias("feed"))
+
+
+@query(f"WITH {TICKS} SELECT upper(ticker) AS ticker, timestamp, open, high, low, close, volume, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE END AS trade_count, vwap, 'sip' AS feed FROM ticks")
+def provider_page_flatten(spark, sf_dir):
+    payload = day_pages(ticks(spark, sf_dir))
     return flatten_pages(payload).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

@@ -4,7 +4,7 @@ from urllib.error import HTTPError, URLError
 
 import pytest
 
-from tapeloom import generate_demo_prices
+from tapeloom import generate_demo_prices, queries
 from tapeloom.cli import main
 from tapeloom.sources import prices, provider
 
@@ -43,6 +43,16 @@ def test_csv_round_trip(spark, tmp_path):
     assert [p.name for p in saved.parent.iterdir() if not p.name.endswith(".crc")] == ["out.csv"]
 
 
+def test_day_pages_are_bounded(spark):
+    sf = "/root/testdata/sf0.001"
+    ticks = queries.ticks(spark, sf)
+    many = queries.day_pages(ticks, page_bars=7, salt_rows=200)
+    sizes = [sum(map(len, json.loads(r.payload)["bars"].values())) for r in many.collect()]
+    assert max(sizes) <= 7 and sum(sizes) == ticks.count()
+    flat = lambda pages: sorted(map(str, provider.flatten_pages(pages).collect()))
+    assert flat(many) == flat(queries.day_pages(ticks))
+
+
 def test_pages_and_flattening(spark):
     first = {"bars": {"AAPL": [{"t": "2026-01-02T05:00:00Z", "o": 1, "h": 2, "l": 0.5, "c": 1.5, "v": 10, "n": 3, "vw": 1.2}]}, "next_page_token": "p2"}
     second = {"bars": {"msft": [{"t": "2026-01-02T05:00:00Z", "o": 5, "h": 6, "l": 4, "c": 5, "v": 20}]}, "next_page_token": None}
