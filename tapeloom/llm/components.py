@@ -47,23 +47,25 @@ def smallest_labels(links: DataFrame) -> DataFrame:
 
 SMALL_BAND = 32
 TILE = 256
+TILE_SIZE = 4_000_000
 
 
-def tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
-    """rows (band, node, label, n) of large bands, copied once for each pair of tiles that a row's tile is in: band, i, j, mine, node, label.
+def tiles(rows: DataFrame, tile: int = TILE, tile_size: int = TILE_SIZE) -> DataFrame:
+    """rows (band, node, label, n, and total, the band's sum of sizes) of large bands, copied once for each pair of tiles that a row's tile is in: band, i, j,
+    mine, node, label.
 
-    A band of n rows becomes (n / tile)² / 2 groups of at most two tiles each, so no group grows with its band.
+    A band of n rows becomes (n / tile)² / 2 groups of at most two tiles each, and of more if its rows are large, so no group grows with its band.
     """
-    count = F.greatest(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
+    count = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("total") / tile_size), F.lit(1)).cast("int")
     placed = rows.withColumn("mine", F.pmod(F.xxhash64("node", "band"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     return placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label")
 
 
-def linked_classes(members: DataFrame, similar: Callable[[DataFrame], DataFrame], similar_in_tiles: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def linked_classes(members: DataFrame, similar: Callable[[DataFrame], DataFrame], similar_in_tiles: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None, sizes: Callable[[], DataFrame] | None = None) -> DataFrame:
     """(node, label) of the classes of nodes that share a band (members: node, band) and are similar.
 
     similar keeps those of the pairs (a, b) that are links; similar_in_tiles finds the links between different labels inside each group (band, i, j) of
-    tiles(); prepare sees the members of all bands with two nodes or more first.
+    tiles(); prepare sees the members of all bands with two nodes or more first; sizes gives (node, size), what a node weighs in a tile, else 1.
     First the member met most often of each band is compared with all others. Bands that then lie in one class are done; of the rest,
     small ones are compared in pairs of different classes, and large ones tile by tile, where only links become rows.
     """
@@ -72,8 +74,8 @@ def linked_classes(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
     if prepare:
         prepare(members)
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    leaders = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("top"))
-    led = members.join(store.written(leaders.select("band", (-F.col("top.minus")).alias("leader")), "leaders"), "band")
+    leaders = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", F.bitwise_not("node").alias("not_node"))).alias("top"))
+    led = members.join(store.written(leaders.select("band", F.bitwise_not("top.not_node").alias("leader")), "leaders"), "band")
     pairs = led.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     found = store.written(similar(pairs), "links")
     labels = smallest_labels(found)
@@ -83,6 +85,9 @@ def linked_classes(members: DataFrame, similar: Callable[[DataFrame], DataFrame]
     small = rows.where(F.col("n") <= SMALL_BAND)
     other = small.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
     pairs = small.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b").distinct()
-    more = similar(pairs).unionByName(similar_in_tiles(tiles(rows.where(F.col("n") > SMALL_BAND))))
+    large = rows.where(F.col("n") > SMALL_BAND)
+    totals = (large.join(sizes(), "node") if sizes else large.withColumn("size", F.lit(1))).groupBy("band").agg(F.sum("size").alias("total"))
+    large = large.join(store.written(totals, "totals"), "band")
+    more = similar(pairs).unionByName(similar_in_tiles(tiles(large)))
     more = store.written(more, "links")
     return labels if more.isEmpty() else smallest_labels(found.unionByName(more))

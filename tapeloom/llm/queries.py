@@ -31,6 +31,11 @@ def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edit_fingerprints(_documents(spark, sf_dir))
 
 
+def edit_embedding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of op 4's method, banding and verification, over all documents: doc_id and class_id."""
+    return edit_embedding.similar_classes(edit_embedding.text_fingerprints(_documents(spark, sf_dir)))
+
+
 def op5_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
@@ -73,7 +78,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')) AS k
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS p FROM d GROUP BY source),
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_merkle_fixity_audit": op2_merkle_fixity_audit,
     "op3_discriminant_quality": op3_discriminant_quality,
     "op4_edit_embedding": op4_edit_embedding,
+    "edit_embedding_classes": edit_embedding_classes,
     "op5_histogram_packing": op5_histogram_packing,
     "op6_license_rules": op6_license_rules,
     "op7_curriculum_mixing": op7_curriculum_mixing,

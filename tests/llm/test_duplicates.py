@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chunk_dedup, components, dart_minhash, edit_embedding, kernels, queries
+from tapeloom.llm import chunk_dedup, components, dart_minhash, kernels, queries
 from tests.llm.conftest import DOCS, ODD
 
 
@@ -42,10 +42,36 @@ def test_exact_long_and_spaced_copies(spark):
     check_exact(chunk_dedup.duplicate_groups(spark.createDataFrame(docs, DOCS)).collect(), docs)
 
 
+def cut(spark, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [list(r.c) for r in rows.select("i", chunk_dedup.chunks(chunk_dedup.normalised(F.col("t"))).alias("c")).orderBy("i").collect()]
+
+
 def test_chunks_cover_the_text(spark):
-    text = "ab." * 2000 + "c" * 20_000 + "d"
-    parts = spark.createDataFrame([(text,)], "t string").select(chunk_dedup.chunks(chunk_dedup.normalised(F.col("t")))).first()[0]
-    assert "".join(parts) == text and max(map(len, parts)) <= chunk_dedup.MAX_CHUNK
+    texts = ["ab." * 2000 + "c" * 20_000 + "d", "漢字かな😀" * 3000, "\x00é" * 1000, "x"]
+    for text, parts in zip(texts, cut(spark, *texts)):
+        assert "".join(parts).encode("latin-1").decode() == text and max(map(len, parts)) <= chunk_dedup.MAX_CHUNK
+        assert all(len(p) >= chunk_dedup.MIN_CHUNK for p in parts[:-1])
+
+
+def test_an_insertion_changes_few_chunks(spark):
+    """In texts without any punctuation, in two scripts."""
+    g = random.Random(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + i) for i in range(2000)]):
+        text = "".join(g.choice(letters) for _ in range(60_000))
+        other = text[:20_000] + "XYZ" + text[20_000:]
+        a, b = cut(spark, text, other)
+        assert len(a) > 20 and len(set(a) - set(b)) <= 3 and len(set(b) - set(a)) <= 3
+
+
+def test_exact_extreme_ids_and_clashing_identifiers(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    docs = [(least, "a b", "en", "s", 3), (most, "ab ", "en", "s", 3), (None, "a  b", "en", "s", 4), (None, "x", "en", "s", 1), (most, " x", "en", "s", 2), (0, "x ", "en", "s", 2), (least, "y", "en", "s", 1), (1, "y", "en", "s", 1)]
+    check_exact(chunk_dedup.duplicate_groups(spark.createDataFrame(docs, DOCS)).collect(), docs)
+    cut = chunk_dedup.chunked(spark.createDataFrame(docs, DOCS))
+    rows = cut.select("doc_id", "text_sha256", F.array(F.lit(b"same")).alias("recipe"))
+    apart = chunk_dedup.told_apart(rows, cut, spark.createDataFrame([(b"same",)], "digest binary"))
+    assert apart.select("recipe").distinct().count() == 3 and apart.count() == len(docs)
 
 
 def test_exact_plan_is_native(spark, sample):
@@ -176,50 +202,3 @@ def test_overlaps():
     lists = [g.choice(9000, n, replace=False).astype(np.int32) for n in (1, 50, 3000, 8000)]
     out = dart_minhash.overlaps(lists)
     assert all(out[i, j] == len(set(lists[i]) & set(lists[j])) for i in range(4) for j in range(4))
-
-
-def fingerprint(text):
-    k = edit_embedding.kinds_of(text)
-    return edit_embedding.fingerprint_of(k, np.frombuffer(edit_embedding.walk(k), dtype=np.int64))
-
-
-def check_fingerprints(rows, docs):
-    docs = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0)))
-    got = {r.doc_id: r for r in rows}
-    assert len(rows) == len(docs)
-    for k, (doc_id, text) in enumerate(docs):
-        if sum(d[0] == doc_id for d in docs) > 1:
-            continue  # copies of a row: the order between them is not told
-        text, after = text or "", docs[(k + 1) % len(docs)][1] or ""
-        n = len(text) // 3
-        edited = text[: len(text) - n] + after[:n]
-        r = got[doc_id]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (fingerprint(text), fingerprint(edited))
-        assert r.near_edited == edit_embedding.likeness(r.fingerprint, r.edited_fingerprint) and r.near_next == edit_embedding.likeness(r.fingerprint, fingerprint(after))
-
-
-def test_fingerprints(spark, odd, none, sample):
-    rows = edit_embedding.edit_fingerprints(sample, rows_per_bucket=20).collect()
-    check_fingerprints(rows, [(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()])
-    assert np.mean([r.near_edited for r in rows]) > 0.6 > 0.2 > np.mean([r.near_next for r in rows])
-    check_fingerprints(edit_embedding.edit_fingerprints(odd, rows_per_bucket=2).collect(), [(d[0], d[1]) for d in ODD])
-    assert edit_embedding.edit_fingerprints(none).count() == 0
-
-
-def test_few_edits_stay_near():
-    g = random.Random(3)
-    text = "".join(g.choice("abcdefghij klmno.") for _ in range(1500))
-    for _ in range(5):
-        at = g.randrange(1500)
-        assert edit_embedding.likeness(fingerprint(text), fingerprint(text[:at] + "Q" + text[at:])) > 0.5
-    assert edit_embedding.likeness("", "") == 1 and edit_embedding.likeness("", fingerprint("a")) == 0
-
-
-def test_similar_fingerprints(spark):
-    g = random.Random(4)
-    texts = ["".join(g.choice("abcdefghij klmno.") for _ in range(900)) for _ in range(6)]
-    texts += [texts[0][:880] + "ZZ" + texts[0][882:], texts[0], "", ""]
-    rows = spark.createDataFrame([(i, fingerprint(t)) for i, t in enumerate(texts)], "doc_id long, fingerprint string")
-    got = {r.doc_id: r.class_id for r in edit_embedding.similar_classes(rows).collect()}
-    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 0, 8: 8, 9: 8}
