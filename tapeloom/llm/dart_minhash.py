@@ -14,7 +14,7 @@ near_duplicate_classes() links documents of similarity 0.8 or more:
 4. what is left of small buckets is compared in pairs of different classes, of large ones in tiles of bounded size inside Python workers, where
    only links become rows; so no link between classes is lost.
 A pair is first held against the estimate from the signatures (EST_SLACK below the threshold, more than five deviations), then compared
-exactly by its shingles.
+by its shingles, as multisets of 64-bit hashes.
 
 Defined cases: a null, empty or wordless text has no shingles, links with nothing and is its own class; a text of one to four words is
 one shingle; a null doc_id is linked like any other and has a null class only if no row of its class has an id; of each class one row is
@@ -127,7 +127,7 @@ def _cells(width: int):
                 words, counts = word_hashes(texts[a:b])
                 elements, rows = shingle_hashes(words, counts, width)
                 at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((occurrence_cells(elements, rows) >> U64(32)).astype(np.uint32).view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(occurrence_cells(elements, rows).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["node", "cells"])
 
     return run
@@ -207,7 +207,7 @@ def links(sketched: DataFrame, nodes: DataFrame, least: float = LEAST, width: in
 
     def prepare(crowded: DataFrame) -> None:
         wanted = crowded.select("node").distinct()
-        cells.append(store.written(rows.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_cells(width), "node long, cells array<int>"), "cells"))
+        cells.append(store.written(rows.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_cells(width), "node long, cells array<long>"), "cells"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         return _similar(store.written(_likely(pairs, nodes, least - EST_SLACK), "likely"), cells[0], least)
@@ -216,7 +216,10 @@ def links(sketched: DataFrame, nodes: DataFrame, least: float = LEAST, width: in
         with_cells = tiled.join(cells[0].hint("merge"), "node")
         return with_cells.groupBy("band", "i", "j").applyInPandas(_links_in_tile(least), "a long, b long").distinct()
 
-    return components.linked_classes(members, similar, similar_in_tiles, prepare)
+    def sizes() -> DataFrame:
+        return cells[0].select("node", F.size("cells").alias("size"))
+
+    return components.linked_classes(members, similar, similar_in_tiles, prepare, sizes)
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = LEAST, width: int = WIDTH, bands: int = BANDS, band_rows: int = BAND_ROWS, key: str | None = None) -> DataFrame:
