@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import license_rules, merkle, mixing, quality, queries, stages, store
+from tapeloom.llm import merkle, mixing, quality, queries
 from tests.llm.conftest import DOCS, ODD
 
 # --- quality ----------------------------------------------------------------------------------------------------------------------------
@@ -47,68 +47,14 @@ def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (5, 1), (5, 0), (7, 0), (8, None), (None, 1)], "doc_id long, quality int")
     rows = quality.quality_scores(odd, labels).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
-    assert quality.quality_scores(odd, labels.where("false")).count() == len(ODD)
+    unlabelled = quality.quality_scores(odd, labels.where("false")).collect()
+    assert len(unlabelled) == len(ODD) and all((r.score, r.predicted) == (0.5, 1) for r in unlabelled)
+    for quality_, score in ((0, 0.0), (1, 1.0)):
+        one = quality.quality_scores(odd, labels.where("quality is not null").withColumn("quality", F.lit(quality_))).collect()
+        assert all(abs(r.score - score) < 1e-6 and r.predicted == quality_ for r in one)
     assert quality.quality_scores(none, labels).count() == 0
 
 
-# --- licences ---------------------------------------------------------------------------------------------------------------------------
-
-
-def words_of(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-
-
-def check_base(rows, docs):
-    want = []
-    for doc_id, text in docs:
-        w, at, labels = words_of(text), [], set()
-        for phrase, label in license_rules.BASE:
-            p = phrase.split()
-            hits = [i for i in range(len(w)) if w[i : i + len(p)] == p]
-            at += hits
-            labels |= {label} if hits else set()
-        want.append((str(doc_id), len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
-    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in rows)
-    for r in rows:
-        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score > 0) == (r.labels != "")
-
-
-def test_license_base_places(spark, odd, none):
-    rows = queries.op6_license_rules(spark, "/root/testdata/sf0.01").collect()
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
-    check_base(rows, docs)
-    check_base(license_rules.license_scan(odd).collect(), [(d[0], d[1]) for d in ODD])
-    assert license_rules.license_scan(none).count() == 0
-    hard = [(0, "CC-BY, cc by; ccby cc  by"), (1, "All rights\n\nRESERVED all rights reservedé"), (2, "the GENERAL Public-License. cc by cc by"), (3, "cc by\u00a0x cc\u00a0by \u2003cc by, cc by")]
-    check_base(license_rules.license_scan(spark.createDataFrame(hard, "doc_id int, text string")).collect(), hard)
-
-
-def test_rules_and_suppression():
-    assert len(license_rules.rules()) > 300
-    found = license_rules.settled(license_rules.detections("this work is licensed under the mit license and not otherwise".split()))
-    assert [(d.label, d.first_word, d.end_word) for d in found] == [("mit", 2, 8)]  # the shorter "mit license" lies inside
-    both = license_rules.settled(license_rules.detections("released under the gnu general public license".split()))
-    assert {d.label for d in both} == {"gpl", "gpl-family"} and [d.base for d in both].count(True) == 1
-    apart = license_rules.settled(license_rules.detections("mit license or isc license".split()))
-    assert {d.label for d in apart} == {"mit", "isc"}
-
-
-def test_every_rule_is_behind_the_gate():
-    """A phrase from each phrasing and notice passes the byte gate."""
-    samples = ["licensed under mit", "released under isc", "under the terms of the mit", "subject to the mit", "spdx license identifier mit", "you may use it mit", "see the mit for details", "copy of the mit", "mit license", "no rights reserved", "in the public domain", "copyright 2001", "proprietary and confidential", "may not be reproduced without permission", "for non commercial use only", "redistribution and use"]
-    assert all(any(k in s.encode() for k in license_rules.GATE) for s in samples)
-
-
-def test_gate_takes_any_space_between_words(monkeypatch):
-    samples = ["licensed under mit", "released under isc", "under the terms of the mit", "subject to the apache 2 0", "spdx license identifier mit", "you may use this file by mit", "permission is granted by mit", "see the gpl v3 for details", "copy of the mit", "mit license"]
-    samples += ["no rights reserved", "in the public domain", "copyright 2001", "this software is provided as is without warranty", "proprietary and confidential", "unauthorized copying is prohibited", "may not be reproduced without permission", "for noncommercial use only", "permission is hereby granted free of charge to any person obtaining a copy", "cc by"]
-    texts = [between.join(s.upper().split()) for s in samples for between in (" ", "\n", "  ", " - ", ", ")]
-    gated = license_rules._rows([*range(len(texts))], texts, True)
-    monkeypatch.setattr(license_rules, "GATE", (b"",))
-    assert gated == license_rules._rows([*range(len(texts))], texts, True) and all(gated["labels"])
-
-
 # --- mixing -----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +105,16 @@ def test_mixing_hot_source_and_repeatability(spark):
     assert times == sorted(times)
 
 
+def test_mixing_crowded_id(spark):
+    """Rows without an id are dealt to many cells, and each source's words come near its target within one document."""
+    docs = [(None if i % 2 else i, f"w{i} " * (1 + i % 40), "en", "hot" if i % 3 else f"s{i % 7}", 0) for i in range(3000)]
+    frame = spark.createDataFrame(docs, DOCS).repartition(4)
+    mixed = mixing.mixture(frame, cell_rows=100)
+    check_mix(mixed.collect(), docs)
+    slices = frame.select((F.conv(F.substring(mixing._digest(), 1, 8), 16, 10).cast("long") * 256 / (1 << 32)).cast("int").alias("s")).groupBy("s").count()
+    assert slices.agg(F.max("count")).first()[0] < 40
+
+
 def test_due_time_inverts_the_schedule(spark):
     for tilt in (0.5, -0.5, 0.0):
         rows = spark.range(101).select((F.col("id") / 100).alias("share"), mixing.due_time(F.col("id") / 100, F.lit(tilt)).alias("t")).collect()
@@ -208,6 +164,25 @@ def test_audit_tells_every_record_of_an_id(spark):
     assert all((r.primary_copies, r.replica_copies) == {"missing": (1, 0), "extra": (0, 1), "altered": (1, 1), "repeated": (1, 2)}[r.status] for r in rows)
 
 
+def test_leaf_hashes_are_of_ordered_lists(spark):
+    """Sets of records whose hashes have equal sums, the same records under other ids, and other numbers of copies have different leaves."""
+    row = lambda i, h, copies=1: (i, 0, f"{h:064x}", 5, copies)
+    sets = [[row(1, 1), row(2, 3)], [row(1, 2), row(2, 2)], [row(1, 3), row(2, 1)], [row(1, 1), row(1, 3)], [row(1, 1, 2), row(2, 3)], [row(1, 1), row(2, 3, 2)]]
+    hashes = [[r.hash for r in merkle.leaves(spark.createDataFrame(s, "page_id long, leaf long, sha256 string, n_bytes long, copies long").repartition(2)).collect()] for s in sets]
+    assert all(len(h) == 1 for h in hashes) and len({h[0] for h in hashes}) == len(sets)
+
+
+def test_audit_extreme_ids_and_clashing_columns(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    ids = [least, least + 1, -(1 << 62), -1, 0, (1 << 53) + 1, most - 1, most, None]
+    frame = spark.createDataFrame([(i, "u", f"h{i}") for i in ids], PAGES)
+    frame = frame.withColumns({n: F.lit(1) for n in ("leaf", "sha256", "node", "hash", "copies", "n_bytes", "share", "up", "_id")})
+    lost, spoiled = F.col("page_id").isin(*ids[1:-1:2]), F.col("page_id").isin(*ids[:-1:2]) | F.col("page_id").isNull()
+    other = frame.where(F.col("page_id").isNull() | ~lost).withColumn("html", F.when(spoiled, "other").otherwise(F.col("html")))
+    got = {(r.page_id, r.status) for r in merkle.audit(frame, other).collect()}
+    assert got == {(i, "missing" if k % 2 else "altered") for k, i in enumerate(ids)}
+
+
 def test_ranges_and_descent(spark):
     a = pages(300)
     b = [r if r[0] != a[40][0] else (r[0], r[1], "z") for r in a]
@@ -216,43 +191,3 @@ def test_ranges_and_descent(spark):
     leaf = a[40][0] // merkle.LEAF
     assert row.range_start == sum(size(r) for r in a if r[0] // merkle.LEAF < leaf)
     assert row.range_end - row.range_start == sum(size(r) for r in a if r[0] // merkle.LEAF == leaf)
-
-
-# --- pipeline ---------------------------------------------------------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts, before = [docs.count()], docs
-    for name, stage in corpus_pipeline.STAGES:
-        after = store.written(stage(spark, before, sf), "stage")
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert after.columns == docs.columns
-            assert after.join(docs, docs.columns, "left_anti").count() == 0
-        if name == "minhash near-dedup":
-            texts = [re.sub(r"\s", "", r.text or "") for r in after.collect()]
-            assert len(texts) == len(set(texts))
-        counts.append(after.count())
-        before = after
-    assert counts[0] > counts[1] >= counts[2] >= counts[3] > 0
-    assert sum(r.length for r in after.collect()) > 0
-    assert corpus_pipeline.run(spark, sf).count() == counts[-1]
-
-
-def test_stages_decide_by_row(spark, odd):
-    sf = "/root/testdata/sf0.001"
-    twice = odd.unionByName(odd)
-    exact = stages.exact_dedup_stage(spark, twice, sf).collect()
-    assert Counter(r.doc_id for r in exact) == Counter([1, 4, None, 7, 8, 9])
-    near = stages.near_dedup_stage(spark, twice, sf).collect()
-    assert Counter(r.doc_id for r in near) == Counter([1, 2, 3, 4, None, 7, 8, 9])
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    scored = quality.quality_scores(odd, labels).collect()
-    kept = stages.quality_stage(spark, odd, sf).collect()
-    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in scored if r.predicted == 1)
-    mixed, want = stages.mixing_stage(spark, odd, sf).collect(), Counter()
-    for r in mixing.mixture(odd).collect():
-        want[r.doc_id] += sum(2 * t.words >= r.size for t in r.takes)
-    assert Counter(r.doc_id for r in mixed) == +want and want[5] > 0 and want[None] > 0
