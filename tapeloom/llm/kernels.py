@@ -48,11 +48,17 @@ def text_chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words (runs of letters, digits and underscores) of the texts in order, and the number of words of each text.
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans data[start:stop]: a polynomial over the bytes of each, read off one running sum over data."""
+    up, down = _power_tables(len(data) + 1)
+    with np.errstate(over="ignore"):
+        running = np.zeros(len(data) + 1, dtype=U64)
+        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=running[1:])
+        return mix64((running[stops] - running[starts]) * down[starts] + (stops - starts).astype(U64))
 
-    A word's hash is a polynomial over its bytes, read off one running sum over the whole batch.
-    """
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all lower-cased words (runs of letters, digits and underscores) of the texts in order, and the number of words of each text."""
     parts = [t.lower().encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts])
     data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
@@ -60,11 +66,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside[1:] = _WORD_BYTE[data]
     step = np.diff(inside)
     starts, stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _power_tables(len(data) + 1)
-    with np.errstate(over="ignore"):
-        running = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=running[1:])
-        hashes = mix64((running[stops] - running[starts]) * down[starts] + (stops - starts).astype(U64))
+    hashes = span_hashes(data, starts, stops)
     return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 

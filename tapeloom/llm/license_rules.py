@@ -1,14 +1,14 @@
 """License detection by ordered signature rules.
 
-Rules are regular expressions over a text's words (lower-case, one space between). A rule names keywords that any text it matches
-contains; a text is searched only for rules whose keywords it holds, and most texts hold none. Detections are settled in order of priority,
-then length: one whose words lie within those of a stronger detection is suppressed.
+Rules (license_signatures.py) are hand-written regular expressions over a text's words (lower-case, one space between). A rule names keywords of which any
+text it matches holds one as a word. The hashes of all words of a batch are held against those of the keywords at once, and a text is searched only for
+the rules whose keywords it holds; most texts hold none. Detections are settled in order of priority, then length: one whose words lie within
+those of a stronger detection is suppressed.
 
-The rules are families times phrasings: each licence name with each way of granting, naming or pointing to a licence. Base phrases have rules of their own
-which nothing suppresses.
+Base phrases have rules of their own which nothing suppresses. Identifiers after "SPDX-License-Identifier:" have one rule each.
 
 Defined cases: a null or empty text has no words, no detections, empty labels and score 0; null ids and repeated rows keep their own rows; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored; of equal detections (same words, priority and label order) all keep their label.
 """
 
 from __future__ import annotations
@@ -23,93 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.kernels import text_chunks
-
-#: Base phrases and their labels.
-BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-
-#: Licence names as they are written, their labels, and words of which a text must hold one.
-NAMES = (
-    (r"mit", "mit", "mit"),
-    (r"apache(?: software)?(?: license)?(?: version)?(?: 2(?: 0)?)?", "apache-2.0", "apache"),
-    (r"apache(?: license)?(?: version)? 1 1", "apache-1.1", "apache"),
-    (r"(?:new |modified |simplified |revised )?bsd", "bsd", "bsd"),
-    (r"bsd 2 clause|2 clause bsd", "bsd-2-clause", "clause"),
-    (r"bsd 3 clause|3 clause bsd", "bsd-3-clause", "clause"),
-    (r"bsd 4 clause|4 clause bsd", "bsd-4-clause", "clause"),
-    (r"isc", "isc", "isc"),
-    (r"(?:gnu )?gpl(?: version)?(?: v?2(?: 0)?)", "gpl-2.0", "gpl"),
-    (r"(?:gnu )?gpl(?: version)?(?: v?3(?: 0)?)", "gpl-3.0", "gpl"),
-    (r"gnu general public license", "gpl-family", "gnu"),
-    (r"(?:gnu )?lgpl(?: version)?(?: v?(?:2(?: [01])?|3(?: 0)?))?", "lgpl", "lgpl"),
-    (r"gnu lesser general public license", "lgpl", "lesser"),
-    (r"gnu library general public license", "lgpl-2.0", "library"),
-    (r"(?:gnu )?agpl(?: version)?(?: v?3(?: 0)?)?", "agpl", "agpl"),
-    (r"gnu affero general public license", "agpl", "affero"),
-    (r"gnu free documentation license|gfdl", "gfdl", "documentation|gfdl"),
-    (r"mozilla public license(?: version)?(?: [12](?: [01])?)?|mpl(?: [12](?: [01])?)?", "mpl", "mozilla|mpl"),
-    (r"eclipse public license(?: version)?(?: [12](?: 0)?)?", "epl", "eclipse"),
-    (r"common development and distribution license|cddl", "cddl", "cddl|distribution"),
-    (r"common public license", "cpl", "common"),
-    (r"artistic license(?: version)?(?: [12](?: 0)?)?", "artistic", "artistic"),
-    (r"boost software license", "bsl-1.0", "boost"),
-    (r"zlib(?: libpng)?", "zlib", "zlib"),
-    (r"python software foundation license", "psf", "python"),
-    (r"academic free license", "afl", "academic"),
-    (r"open software license", "osl", "open"),
-    (r"european union public licen[cs]e|eupl", "eupl", "european|eupl"),
-    (r"microsoft public license|ms pl", "ms-pl", "microsoft|ms"),
-    (r"microsoft reciprocal license|ms rl", "ms-rl", "microsoft|ms"),
-    (r"creative commons attribution", "cc-by-family", "creative"),
-    (r"creative commons attribution share ?alike|cc by sa", "cc-by-sa", "creative|cc"),
-    (r"creative commons attribution non ?commercial|cc by nc", "cc-by-nc", "creative|cc"),
-    (r"creative commons attribution no ?derivatives|cc by nd", "cc-by-nd", "creative|cc"),
-    (r"creative commons attribution non ?commercial share ?alike|cc by nc sa", "cc-by-nc-sa", "creative|cc"),
-    (r"creative commons attribution non ?commercial no ?derivatives|cc by nc nd", "cc-by-nc-nd", "creative|cc"),
-    (r"creative commons zero|cc0", "cc0", "creative|cc0"),
-    (r"unlicense", "unlicense", "unlicense"),
-    (r"do what the f\w* you want to public license|wtfpl", "wtfpl", "wtfpl|want"),
-    (r"sil open font license|ofl", "ofl", "font|ofl"),
-    (r"open database license|odbl", "odbl", "database|odbl"),
-    (r"open data commons attribution|odc by", "odc-by", "commons|odc"),
-    (r"business source license", "busl", "business"),
-    (r"server side public license|sspl", "sspl", "server|sspl"),
-    (r"elastic license", "elastic", "elastic"),
-    (r"postgresql license", "postgresql", "postgresql"),
-    (r"openssl license", "openssl", "openssl"),
-    (r"universal permissive license", "upl", "universal"),
-)
-
-#: Phrasings around a name, priority, and weight of evidence.
-PHRASES = (
-    (r"(?:is |are |be )?licen[cs]ed under (?:the |an? )?(?:terms of the )?(?:{name})(?: licen[cs]e)?", 90, 0.95),
-    (r"(?:released|distributed|published|available|provided|made available) under (?:the |an? )?(?:terms of the )?(?:{name})(?: licen[cs]e)?", 85, 0.95),
-    (r"under the (?:terms|conditions) (?:and conditions )?of the (?:{name})(?: licen[cs]e)?", 80, 0.9),
-    (r"subject to the (?:terms (?:and conditions )?of the )?(?:{name})(?: licen[cs]e)?", 75, 0.85),
-    (r"spdx license identifier (?:{name})(?: only| or later)?", 95, 1.0),
-    (r"(?:permission is granted|you may use|you can redistribute)(?: \w+){{0,12}} (?:{name})(?: licen[cs]e)?", 70, 0.8),
-    (r"see the (?:{name})(?: licen[cs]e)? for (?:more )?details", 65, 0.8),
-    (r"copy of the (?:{name})(?: licen[cs]e)?", 60, 0.75),
-    (r"(?:{name}) licen[cs]e", 50, 0.7),
-)
-
-#: Notices that name no licence: pattern, label, keywords, priority, weight.
-NOTICES = (
-    (r"no rights reserved", "public-domain", "reserved", 55, 0.8),
-    (r"some rights reserved", "some-rights", "reserved", 55, 0.6),
-    (r"(?:dedicated to|released (?:in)?to|placed in|in) the public domain", "public-domain", "domain", 55, 0.8),
-    (r"permission is hereby granted free of charge to any person obtaining a copy", "mit", "permission", 92, 0.95),
-    (r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", "redistribution", 92, 0.95),
-    (r"permission to use copy modify and or distribute this software for any purpose", "isc", "permission", 92, 0.95),
-    (r"this program is free software you can redistribute it and or modify it", "gpl-family", "redistribute", 88, 0.9),
-    (r"this software is provided as is without (?:express or implied )?warrant\w+", "warranty-disclaimer", "warranty|warranties", 45, 0.4),
-    (r"the software is provided as is without warranty of any kind", "warranty-disclaimer", "warranty", 46, 0.4),
-    (r"copyright (?:c )?(?:1[89]|20)\d\d", "copyright", "copyright", 30, 0.3),
-    (r"proprietary and confidential", "proprietary", "proprietary", 60, 0.7),
-    (r"unauthori[sz]ed copying (?:of this file )?(?:via any medium )?is (?:strictly )?prohibited", "proprietary", "copying", 60, 0.7),
-    (r"may not be reproduced (?:or distributed )?without (?:prior )?(?:written )?permission", "proprietary", "reproduced", 60, 0.7),
-    (r"for non ?commercial use only", "non-commercial", "commercial|noncommercial", 40, 0.5),
-)
+from tapeloom.llm import license_signatures
+from tapeloom.llm.kernels import span_hashes, text_chunks
+
+#: Base phrases, their labels and keywords.
+BASE = (("cc by", "cc-by", "cc"), ("general public license", "gpl", "license"), ("all rights reserved", "reserved", "reserved"))
 
 
 @dataclass(frozen=True)
@@ -120,25 +38,43 @@ class Rule:
     priority: int
     weight: float
     base: bool = False
+    example: str = ""
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD_BYTE = np.zeros(256, dtype=bool)
+_WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def _whole_words(pattern: str) -> re.Pattern:
+    return re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")
 
 
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules, strongest first."""
-    made = [Rule(re.compile(rf"(?<![^ ]){p}(?![^ ])"), label, (p.split()[-1],), 100, 0.6, True) for p, label in BASE]
-    for phrase, priority, weight in PHRASES:
-        for name, label, words in NAMES:
-            made.append(Rule(re.compile(rf"(?<![^ ])(?:{phrase.format(name=name)})(?![^ ])"), label, tuple(words.split("|")), priority, weight))
-    for pattern, label, words, priority, weight in NOTICES:
-        made.append(Rule(re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), label, tuple(words.split("|")), priority, weight))
+    made = [Rule(_whole_words(phrase), label, (keyword,), 100, 0.6, True, phrase) for phrase, label, keyword in BASE]
+    for priority, weight, group in license_signatures.GROUPS:
+        made += [Rule(_whole_words(p), label, tuple(k.split("|")), priority, weight, False, example or p) for label, k, p, example in group]
+    for name in license_signatures.SPDX:
+        said = "spdx license identifier " + " ".join(WORD.findall(name.lower()))
+        made.append(Rule(_whole_words(said), name.lower(), ("spdx",), 95, 1.0, False, said))
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
-#: A text that lacks all of these matches no rule: every phrasing and notice holds one of them within a single word, whatever stands between words.
-GATE = (b"licen", b"reserved", b"under", b"subject", b"spdx", b"permission", b"may", b"redistribut", b"see", b"copy", b"domain", b"warrant", b"proprietary", b"reproduced", b"commercial", b"cc")
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_WORD_BYTE = np.zeros(256, dtype=bool)
-_WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+@lru_cache(1)
+def _keywords() -> tuple[np.ndarray, list[list[int]]]:
+    """The keywords' hashes in order, and the rules that each of them wakes."""
+    woken: dict[str, list[int]] = {}
+    for i, rule in enumerate(rules()):
+        for k in rule.keywords:
+            woken.setdefault(k, []).append(i)
+    sizes = np.array([len(k) for k in woken])
+    stops = np.cumsum(sizes)
+    hashes = span_hashes(np.frombuffer("".join(woken).encode(), dtype=np.uint8), stops - sizes, stops)
+    order = np.argsort(hashes)
+    waking = list(woken.values())
+    return hashes[order], [waking[i] for i in order]
 
 
 @dataclass(frozen=True)
@@ -151,26 +87,40 @@ class Detection:
     base: bool
 
 
-def detections(words: list[str]) -> list[Detection]:
-    """Every match of every rule whose keywords the words hold, unsettled."""
-    held, line = set(words), " ".join(words)
+def detections(words: list[str], wanted: list[Rule]) -> list[Detection]:
+    """Every match of the wanted rules, unsettled."""
+    line = " ".join(words)
     starts = np.cumsum([0] + [len(w) + 1 for w in words])
     found = []
-    for rule in rules():
-        if not any(k in held for k in rule.keywords):
-            continue
-        for m in rule.pattern.finditer(line):
-            a, b = np.searchsorted(starts, [m.start(), m.end()], side="left")
-            found.append(Detection(rule.label, int(a), int(b), rule.priority, rule.weight, rule.base))
+    for rule in wanted:
+        spans = [m.span() for m in rule.pattern.finditer(line)]
+        if spans:
+            ends = np.searchsorted(starts, np.array(spans), side="left")
+            found += [Detection(rule.label, int(a), int(b), rule.priority, rule.weight, rule.base) for a, b in ends]
     return found
 
 
 def settled(found: list[Detection]) -> list[Detection]:
-    """Base detections, and of the others those that lie in no stronger one: a higher priority, or the same and longer."""
+    """Base detections, and of the others those that lie in no stronger one: a higher priority, or the same and longer.
+
+    The farthest end of the kept detections that start at or before a word is kept in a tree of prefix maxima, so each detection is settled in
+    logarithmic time, however many a text has.
+    """
+    firsts = {a: i for i, a in enumerate(sorted({d.first_word for d in found}))}
+    reach = [0] * (len(firsts) + 1)
     kept: list[Detection] = []
     for d in sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.first_word - d.end_word, d.first_word, d.label)):
-        if not any(k.first_word <= d.first_word and d.end_word <= k.end_word for k in kept):
-            kept.append(d)
+        i, end = firsts[d.first_word] + 1, 0
+        while i:
+            end = max(end, reach[i])
+            i &= i - 1
+        if end >= d.end_word:
+            continue
+        kept.append(d)
+        i = firsts[d.first_word] + 1
+        while i < len(reach):
+            reach[i] = max(reach[i], d.end_word)
+            i += i & -i
     return [d for d in found if d.base] + kept
 
 
@@ -188,18 +138,32 @@ _SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_wor
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("detections", pa.list_(_SPAN))])
 
 
-def _rows(ids: list, texts: list[str], with_spans: bool) -> dict:
-    lowered = [t.encode("utf-8", "replace").lower() for t in texts]
+def _words_and_keywords(lowered: list[bytes]) -> tuple[np.ndarray, list[set[int]]]:
+    """The number of words of each text, and the rules that its words wake."""
     data = np.frombuffer(b"\n".join(lowered) + b"\n", dtype=np.uint8)
-    inside = np.concatenate([[False], _WORD_BYTE[data]])
-    opens = np.flatnonzero(inside[1:] & ~inside[:-1])
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[1:] = _WORD_BYTE[data]
+    step = np.diff(inside)
+    opens, closes = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     counts = np.diff(np.searchsorted(opens, np.cumsum([len(x) + 1 for x in lowered])), prepend=0)
+    known, waking = _keywords()
+    hashes = span_hashes(data, opens, closes)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = np.flatnonzero(known[at] == hashes)
+    woken: list[set[int]] = [set() for _ in lowered]
+    pairs = np.unique(np.column_stack([np.searchsorted(np.cumsum(counts), hit, side="right"), at[hit]]), axis=0)
+    for row, keyword in pairs.tolist():
+        woken[row].update(waking[keyword])
+    return counts, woken
+
+
+def _rows(ids: list, texts: list[str], with_spans: bool) -> dict:
+    lowered = [t.encode("utf-8", "replace").lower() for t in texts]
     out: dict[str, list] = {name: [] for name in _ARROW.names[: None if with_spans else -1]}
-    for doc_id, raw, n in zip(ids, lowered, counts):
+    for doc_id, raw, n, woken in zip(ids, lowered, *_words_and_keywords(lowered)):
         found: list[Detection] = []
-        if any(k in raw for k in GATE):
-            words = WORD.findall(raw.decode("utf-8", "replace"))
-            found = settled(detections(words))
+        if woken:
+            found = settled(detections(WORD.findall(raw.decode("utf-8", "replace")), [rules()[i] for i in sorted(woken)]))
         base = [d for d in found if d.base]
         miss = 1.0
         for d in found:
