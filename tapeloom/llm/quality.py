@@ -7,8 +7,8 @@ the pooled one and that towards its diagonal; its Cholesky factor is computed on
 A score is the difference of the two Mahalanobis log-densities plus log priors, put through a logistic curve.
 
 Defined cases: a null text is empty; empty and wordless texts are scored from the same statistics (all zero rates); labels that repeat a
-doc_id count once, by their smallest label; null labels are not learnt from; with a class missing from the labels every score is that of the
-prior; an empty table gives no rows; extra columns are ignored.
+doc_id count once, by their smallest label; null labels are not learnt from; with a class missing from the labels every text is
+of the other class (score 0 or 1), and without any label every score is 0.5; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, shrink: float = 0.05, ridge: float = 0.02) -> Model
         factors.append(np.linalg.inv(low))
         dets.append(2 * np.log(np.diag(low)).sum())
     with np.errstate(divide="ignore"):
-        return Model(np.log(n / max(n.sum(), 1)), means, factors, np.array(dets))
+        return Model(np.log(n / n.sum() if n.sum() else np.full(2, 0.5)), means, factors, np.array(dets))
 
 
 def _score(model: Model):
