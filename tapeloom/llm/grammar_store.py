@@ -2,14 +2,15 @@
 
 Documents are range-partitioned by ascending id; each partition is a shard, written by Spark's Parquet writer as a run of
 blocks. A block holds whole documents of about BLOCK_IDS ids: the sequence left after Re-Pair, the rules, the length of
-each rule's expansion, and where each document starts. decode_range() reads any run of ids without expanding the rest.
+each rule's expansion, and where each document starts. document_ids() and ids_between() read documents, or any run of ids, from the blocks
+that hold them, without expanding the rest.
 
 Re-Pair here replaces many pairs a round: every adjacent pair that occurs min_count times in the block competes, a place
-goes to the more frequent of two overlapping pairs, and rounds repeat until no pair is frequent. Pairs never cross the end of
+goes to the more frequent of two overlapping pairs, and rounds repeat until no pair is frequent enough to pay for a rule. Pairs never cross the end of
 a document. The block is the unit of memory: nothing larger than a block (or one document) is held.
 
 Defined cases: a null text is empty and holds only the end id; rows with equal doc_id stay separate rows, ordered by
-their text; a null doc_id comes first; an empty table gives no blocks and no rows; extra columns are ignored.
+a hash of their text (so that they too may be spread over shards); a null doc_id comes first; an empty table gives no blocks and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import byte_bpe, store
+from tapeloom.llm.kernels import text_chunks
 
 BLOCK_IDS = 1 << 20
 END_ID = 0
@@ -47,21 +49,27 @@ class Grammar:
         out[rule] = self.lengths[symbols[rule] - self.n_terminals]
         return out
 
+    def _by_levels(self, flat: np.ndarray) -> np.ndarray:
+        """All ids of the symbols, one level of the rules at a time."""
+        flat = flat.astype(np.uint32)
+        while (rule := flat >= self.n_terminals).any():
+            width = 1 + rule
+            at = (np.cumsum(width) - width)[rule]
+            k = flat[rule] - self.n_terminals
+            flat = np.repeat(flat, width)
+            flat[at], flat[at + 1] = self.left[k], self.right[k]
+        return flat
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids of the symbols."""
+        """All ids of the symbols. A few are expanded by themselves; for many, the expansions of all rules are made once and copied."""
         if not len(symbols):
             return np.empty(0, dtype=np.uint32)
+        sizes = self.sizes(symbols)
         if self._flat is None:
-            flat = np.arange(self.n_terminals, self.n_terminals + len(self.left), dtype=np.uint32)
-            while (rule := flat >= self.n_terminals).any():  # one level of the rules at a time, over the rules alone
-                width = 1 + rule
-                at = (np.cumsum(width) - width)[rule]
-                k = flat[rule] - self.n_terminals
-                flat = np.repeat(flat, width)
-                flat[at], flat[at + 1] = self.left[k], self.right[k]
-            self._flat = flat
+            if 4 * sizes.sum() < self.lengths.sum():
+                return self._by_levels(symbols)
+            self._flat = self._by_levels(np.arange(self.n_terminals, self.n_terminals + len(self.left)))
             self._first = np.cumsum(self.lengths) - self.lengths
-        sizes = self.sizes(symbols)
         total = np.cumsum(sizes)
         out = np.repeat(symbols, sizes)
         rule = np.flatnonzero(symbols >= self.n_terminals)
@@ -81,16 +89,14 @@ def _frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     return ordered[at[often]], counts[often]
 
 
-def repair(ids: np.ndarray, last: np.ndarray, n_terminals: int, min_count: int = 32, max_rounds: int = 10) -> tuple[np.ndarray, np.ndarray, Grammar]:
+def repair(ids: np.ndarray, last: np.ndarray, n_terminals: int, min_count: int = 16) -> tuple[np.ndarray, np.ndarray, Grammar]:
     """Compress ids; last marks the final id of each document. Returns the symbols, their own last marks, and the grammar."""
     symbols = ids.astype(np.uint32)
     last = last.copy()
     left, right, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
     grammar = Grammar(n_terminals, left[0], right[0], lengths[0])
     n_rules, bits = 0, 19
-    for _ in range(max_rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         with np.errstate(over="ignore"):
             slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
@@ -228,18 +234,22 @@ def _write_blocks(path: str, block_ids: int):
             return out
 
         for batch in batches:
-            ids_col = batch.column(0).to_pylist()
-            for a in range(0, len(ids_col), 256):
-                texts = [t or "" for t in batch.column(1).slice(a, 256).to_pylist()]
-                ids, n = enc.encode(texts)
+            ids_col, all_texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in text_chunks(all_texts, 1_000_000):
+                ids, n = enc.encode(all_texts[a:b])
                 n = n + 1
                 ids = np.insert(ids, np.cumsum(n - 1), END_ID)
-                docs += ids_col[a : a + 256]
-                counts.append(n)
-                parts.append(ids)
-                held += len(ids)
-                if held >= block_ids:
-                    yield flush()
+                ends, low = np.cumsum(n), 0
+                while low < len(n):  # whole documents until the block is full
+                    before = int(ends[low - 1]) if low else 0
+                    high = min(int(np.searchsorted(ends, before + block_ids - held)) + 1, len(n))
+                    docs += ids_col[a + low : a + high]
+                    counts.append(n[low:high])
+                    parts.append(ids[before : ends[high - 1]])
+                    held += int(ends[high - 1]) - before
+                    low = high
+                    if held >= block_ids:
+                        yield flush()
         if docs:
             yield flush()
 
@@ -249,7 +259,8 @@ def _write_blocks(path: str, block_ids: int):
 def write_token_shards(docs: DataFrame, path: str, vocabulary: str, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text, append END_ID, and write the shards below path in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(_write_blocks(vocabulary, block_ids), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -287,6 +298,41 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
     return read_blocks(spark, path).select("start", "payload").mapInArrow(_read_documents(with_ids), schema)
 
 
+def _read_some(wanted: frozenset[int] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                block = Block(payload.as_py())
+                ks = [k for k, d in enumerate(block.doc_ids) if d in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([block.doc_ids[k] for k in ks], pa.int64()), pa.array([block.document(k).astype(np.int32) for k in ks], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return run
+
+
+def document_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of the documents asked for. Only blocks whose range of ids holds one of them are read, and only the documents are expanded."""
+    wanted = frozenset(doc_ids)
+    held = F.lit(False)
+    for d in wanted:
+        held = held | ((F.col("first_doc").isNull() | (F.col("first_doc") <= d)) & (F.col("last_doc") >= d))
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path).where(held)
+    return blocks.select("payload").mapInArrow(_read_some(wanted), "doc_id long, ids array<int>")
+
+
+def ids_between(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """start and ids of the run [start, stop) of all ids in order, one row for each block that holds a part of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                a = max(start - first, 0)
+                ids = Block(payload.as_py()).decode_range(a, stop - first).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([first + a]), pa.array([ids], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    blocks = read_blocks(spark, path).where((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
+    return blocks.select("start", "payload").mapInArrow(run, "start long, ids array<int>")
+
+
 def token_shards_report(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write docs to new shard files in the shared folder and read every document back."""
     path = store.fresh_path(spark, "token-shards")

@@ -39,6 +39,9 @@ def test_repair_round_trip_and_random_access():
         for a, b in g.integers(0, len(ids) + 1, (20, 2)):
             a, b = sorted((int(a), int(b)))
             assert np.array_equal(block.decode_range(a, b), ids[a:b])
+    run = np.full(100_000, 7, dtype=np.uint32)  # a long run takes as many rounds as it has doublings
+    symbols, _, grammar = grammar_store.repair(run, np.arange(100_000) == 99_999, 10)
+    assert len(symbols) < 40 and len(grammar.left) >= 12 and np.array_equal(grammar.expand(symbols), run)
     last = np.zeros(6000, dtype=bool)
     last[-1] = True
     symbols, _, grammar = grammar_store.repair(np.tile([5, 6, 7], 2000).astype(np.uint32), last, 10)
@@ -68,6 +71,35 @@ def test_token_files_odd_rows(spark, odd, none):
     assert grammar_store.token_shards_report(spark, none).count() == 0
 
 
+def test_reading_some_documents_and_runs(spark, sample):
+    path = store.fresh_path(spark, "some")
+    grammar_store.write_token_shards(sample.repartition(5), path, byte_bpe.vocabulary_path(), block_ids=2000)
+    docs = sorted((r.doc_id, r.text) for r in sample.select("doc_id", "text").collect())
+    ids = {d: [*e.tolist(), 0] for (d, _), e in zip(docs, direct([t for _, t in docs]))}
+    assert spark.read.parquet(path).count() > 5
+    wanted = [docs[3][0], docs[120][0], docs[-1][0], -77]
+    got = {r.doc_id: r.ids for r in grammar_store.document_ids(spark, path, wanted).collect()}
+    assert got == {d: ids[d] for d in wanted[:3]}
+    whole = [x for d, _ in docs for x in ids[d]]
+    for a, b in ((0, 10), (1500, 9000), (len(whole) - 3, len(whole) + 50), (5, 5)):
+        parts = sorted((r.start, r.ids) for r in grammar_store.ids_between(spark, path, a, b).collect())
+        assert [x for _, p in parts for x in p] == whole[a:b]
+
+
+def test_null_ids_are_spread_over_shards(spark):
+    frame = spark.createDataFrame([(None, f"text {i} " * 20) for i in range(2000)], "doc_id long, text string").repartition(4)
+    path = store.fresh_path(spark, "nulls")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        grammar_store.write_token_shards(frame, path, byte_bpe.vocabulary_path(), block_ids=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = grammar_store.read_blocks(spark, path)
+    assert blocks.select("shard").distinct().count() > 1
+    rows = grammar_store.read_documents(spark, path, with_ids=False).collect()
+    assert len(rows) == 2000 and max(r.start + r.n_tokens for r in rows) == sum(r.n_tokens for r in rows)
+
+
 def packed_ok(rows):
     by = {}
     for r in rows:
@@ -110,6 +142,33 @@ def test_hot_length_is_ranked_in_cells(spark):
     assert len({(r.sequence_id, r.offset) for r in rows}) == 3000
 
 
+def test_windows_follow_the_files(spark):
+    """Files hold ascending ids; sequences of a later window come after those of an earlier one, and windows hold the tokens asked for."""
+    texts = [(i, f"word{i} " * (1 + 37 * i % 1500)) for i in range(300)]
+    path = store.fresh_path(spark, "sorted")
+    spark.createDataFrame(texts, "doc_id long, text string").repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows = packing.packed_in_file_order(docs, window_tokens=100_000).collect()
+    packed_ok(rows)
+    files = {r.doc_id: r._file for r in packing.in_file_order(docs).collect()}
+    assert len(set(files.values())) == 12
+    tokens, run, before = {}, {}, 0
+    for r in rows:
+        tokens[files[r.doc_id]] = tokens.get(files[r.doc_id], 0) + r.length
+    for f in sorted(tokens):
+        run[f] = before // 100_000
+        before += tokens[f]
+    spans = {}
+    for r in rows:
+        spans.setdefault(run[files[r.doc_id]], []).append(r.sequence_id)
+    order = sorted(spans)
+    assert len(order) > 2 and all(max(spans[a]) < min(spans[b]) for a, b in zip(order, order[1:]))
+    assert {r.sequence_id for r in rows} == set(range(1 + max(r.sequence_id for r in rows)))
+    memory = packing.packed_in_file_order(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    packed_ok(memory)
+    assert sum(r.length for r in memory) == sum(r.length for r in rows)
+
+
 def test_histogram_packs_everything():
     g = np.random.default_rng(2)
     for _ in range(20):
