@@ -9,10 +9,11 @@ Targets: sources by code point (null last) weigh WEIGHTS in turn and share `tota
 times its own words, and what it cannot take is shared again by weight until none is above.
 
 The running count of words inside a source is taken in cells (source, slice of the pseudo-random order): cells are summed, cell sums are
-accumulated, and rows are accumulated within their cell. A source that holds a third of all rows is many cells.
+accumulated, and rows are accumulated within their cell. A source that holds a third of all rows is many cells, and so is a doc_id (null, say): the order
+is that of a digest of id and text. Targets come from one row per source, in one task.
 
 Defined cases: a null or blank text has size 0 and takes 0 words; null sources are one source, the last; rows with equal
-doc_id are separate documents; an empty table gives an empty result; extra columns are ignored by mixture().
+doc_id are separate documents, and equal rows take equal places up to their own words; an empty table gives an empty result; extra columns are ignored by mixture().
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tapeloom.llm import store
 WEIGHTS = (3.0, 1.0, 2.0)
 TILTS = (0.5, -0.5, 0.0)
 CELL_ROWS = 100_000
+LEAST_SLICES = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,19 +64,24 @@ def due_time(share: Column, tilt: Column) -> Column:
     return F.least(F.greatest(2 * share / (b + root), F.lit(0.0)), F.lit(1.0))
 
 
+def _digest() -> Column:
+    """The fixed pseudo-random order of documents."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(part("doc_id"), F.lit("\n"), part("text")).cast("binary"))
+
+
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, repeat: int = 2, cell_rows: int = CELL_ROWS, key: str | None = None) -> DataFrame:
     """All columns of docs' rows that matter to the mix (and the column key, a number for each row, if named), and for each: size, source_size, target, taken,
     and takes: one struct (time, words) for each reading of the document that the mix uses."""
-    spark_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *([key] if key else []))
+    spark_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), _digest().alias("_key"), *([key] if key else []))
     return mixed_rows(spark_rows, weights, total, repeat, cell_rows, key)
 
 
 def mixed_rows(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, repeat: int = 2, cell_rows: int = CELL_ROWS, key: str | None = None) -> DataFrame:
-    """mixture() for rows (doc_id, source, size) that are read several times: pass a written table."""
+    """mixture() for rows (doc_id, source, size, and _key, whose order is that of the documents)."""
     sized = store.written(sized, "sizes")
-    slices = max(16, -(-sized.count() // cell_rows))
+    slices = max(LEAST_SLICES, -(-sized.count() // cell_rows))
     targets = store.written(source_targets(sized, weights, total, float(repeat)), "targets")
-    sized = sized.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # the slice is a coarser reading of the key, so slices in order are the keys in order
     sized = sized.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * slices / F.lit(1 << 32)).cast("long"))
     cells = sized.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
