@@ -1,12 +1,15 @@
 """Sequences of at most `size` tokens by shortest-pack-first over the length histogram.
 
 Every document is cut into pieces of `size` ids and one shorter rest. Full pieces are sequences of their own. For the rests,
-the driver packs the histogram of lengths (at most size - 1 counts, whatever the corpus): lengths are placed longest first, each
+the histogram of lengths is packed (at most size - 1 counts, whatever the corpus): lengths are placed longest first, each
 into the pack pattern that is shortest so far (has most room), updating how often each pattern is used. Spark then joins
 patterns back to documents: rests of one length are ranked, and each slot of a pattern owns a run of ranks.
 
 Ranking is spread: a rest falls into a cell (length, salt), cells are counted, and a rest's rank is its place in the cell
-after the counts of the cells before it. A length that holds a third of all rows is many cells.
+after the counts of the cells before it. A length that holds a third of all rows is many cells, and so is a doc_id.
+
+pack() may be given windows, runs of the training order: each has a histogram of its own and its sequences follow those of the window before.
+in_file_order() makes windows of the files that a table is read from, which hold a sorted table in order.
 
 Defined cases: a null text is empty and holds only the end id; rows with equal doc_id are separate documents; an empty table
 packs into nothing; extra columns are ignored.
@@ -18,7 +21,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ from tapeloom.llm import byte_bpe, store
 SIZE = 1024
 END_ID = 0
 CELL_ROWS = 200_000
+#: Least number of tokens of a window of in_file_order().
+WINDOW_TOKENS = 1 << 22
 
 
 def _cut(vocabulary: str, size: int, with_ids: bool):
@@ -48,15 +55,16 @@ def _cut(vocabulary: str, size: int, with_ids: bool):
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view("<i4"))))
                     names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                carried = [c.slice(a, 512).take(pa.array(doc)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*cols, *carried], names=[*names, *batch.schema.names[2:]])
 
     return run
 
 
-def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids of each piece."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, with_ids: bool = True, carry: str | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids of each piece, and the string column carry of its document."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + (f", {carry} string" if carry else "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([carry] if carry else []))
     return rows.mapInArrow(_cut(vocabulary or byte_bpe.vocabulary_path(), size, with_ids), schema)
 
 
@@ -115,53 +123,82 @@ def pattern_slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int,
     return slots
 
 
-def _ranked(df: DataFrame, key: str, order: list[str], cell_rows: int) -> DataFrame:
+def _salted(df: DataFrame, keys: list[str], cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """df with a _cell of each row, and for each cell of the keys the number of rows in the cells before it: _before."""
+    salts = max(8, -(-df.count() // cell_rows))
+    df = df.withColumn("_cell", F.pmod(F.xxhash64(*ORDER), F.lit(salts)))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    return df, cells.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+
+
+#: Pieces of equal ids are told apart by their contents, as far as that makes a difference.
+ORDER = ["doc_id", "start", "ids_crc32"]
+
+
+def _ranked(df: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
     """Add rank: 0, 1, ... among the rows of each key, without bringing a key's rows together."""
-    total = df.count()
-    salts = max(8, -(-total // cell_rows))
-    df = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    cells = df.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(key, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(key, "_cell").orderBy(*order)
-    df = df.withColumn("rank", F.row_number().over(within) - 1)
-    return df.join(cells, [key, "_cell"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_cell", "_before")
+    df, cells = _salted(df, keys, cell_rows)
+    place = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*ORDER)) - 1
+    return df.withColumn("rank", place).join(cells, [*keys, "_cell"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_cell", "_before")
 
 
-def pack(pieces: DataFrame, size: int = SIZE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (doc_id, start, length up to size, ...).
+def _slots(size: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        slots = pattern_slots(pack_histogram(dict(zip(frame["length"].tolist(), frame["n"].tolist())), size))
+        out = pd.DataFrame(slots, columns=["length", "from", "to", "sequence", "offset"], dtype="int64")
+        out.insert(0, "_window", frame["_window"].iloc[0])
+        return out
+
+    return run
+
+
+def pack(pieces: DataFrame, size: int = SIZE, cell_rows: int = CELL_ROWS, window: str | None = None) -> DataFrame:
+    """Add sequence_id and offset to a table of pieces (doc_id, start, length up to size, ids_crc32, ...); window names a long column, or all are one window.
 
     pieces is read several times and must give the same rows each time: pass a written table.
     """
-    spark = pieces.sparkSession
-    full = pieces.where(F.col("length") == size)
-    rest = pieces.where(F.col("length") < size)
-    histogram = {r.length: r["count"] for r in rest.groupBy("length").count().collect()}
-    slots = pattern_slots(pack_histogram(histogram, size))
-    sequences = max([s[3] + s[2] - s[1] for s in slots], default=0)
-    # at most a few slots for each of the size - 1 lengths
-    table = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "length long, _from long, _to long, _sequence long, offset long")
-    by_length = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_sequence", "offset"))).alias("_slots"))
-    ranked = _ranked(rest, "length", ["doc_id", "start"], cell_rows)
-    slot = F.element_at(F.filter("_slots", lambda s: (s["_from"] <= F.col("rank")) & (F.col("rank") < s["_to"])), 1)
-    rests = ranked.join(F.broadcast(by_length), "length").withColumn("_slot", slot)
-    rests = rests.withColumn("sequence_id", F.col("_slot._sequence") + F.col("rank") - F.col("_slot._from")).withColumn("offset", F.col("_slot.offset"))
-    # full pieces follow: a distinct number each, dense within its cell block
-    salts = max(8, -(-full.count() // cell_rows))
-    full = full.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
-    cells = full.groupBy("_cell").count().collect()  # one number for each cell_rows pieces
-    base, before = [], sequences
-    for r in sorted(cells, key=lambda r: r["_cell"]):
-        base.append((r["_cell"], before))
-        before += r["count"]
-    bases = spark.createDataFrame(base or [(0, 0)], "_cell long, _base long")
-    place = F.row_number().over(Window.partitionBy("_cell").orderBy("doc_id", "start")) - 1
-    full = full.withColumn("_place", place).join(F.broadcast(bases), "_cell")
-    full = full.withColumn("sequence_id", F.col("_base") + F.col("_place")).withColumn("offset", F.lit(0).cast("long"))
-    columns = [*pieces.columns, "sequence_id", "offset"]
-    return rests.select(columns).unionByName(full.select(columns))
+    columns = [c for c in pieces.columns if c != window]
+    pieces = pieces.withColumn("_window", F.col(window) if window else F.lit(0).cast("long"))
+    rest, full = pieces.where(F.col("length") < size), pieces.where(F.col("length") == size)
+    # one histogram for each window: less than `size` rows; a few slots for each length come out
+    histograms = rest.groupBy("_window", "length").agg(F.count("*").alias("n"))
+    slots = store.written(histograms.groupBy("_window").applyInPandas(_slots(size), "_window long, length long, from long, to long, sequence long, offset long"), "slots")
+    used = slots.groupBy("_window").agg(F.max(F.col("sequence") + F.col("to") - F.col("from")).alias("_used"))
+    counted = full.groupBy("_window").agg(F.count("*").alias("_full")).join(used, "_window", "full")
+    counted = counted.select("_window", F.coalesce("_used", F.lit(0)).alias("_used"), F.coalesce("_full", F.lit(0)).alias("_full"))
+    earlier = Window.orderBy("_window").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each window
+    bases = store.written(counted.select("_window", "_used", F.coalesce(F.sum(F.col("_used") + F.col("_full")).over(earlier), F.lit(0)).alias("_base")), "windows")
+    by_length = store.written(slots.groupBy("_window", "length").agg(F.sort_array(F.collect_list(F.struct("from", "to", "sequence", "offset"))).alias("_slots")), "length-slots")
+    slot = F.element_at(F.filter("_slots", lambda s: (s["from"] <= F.col("rank")) & (F.col("rank") < s["to"])), 1)
+    rests = _ranked(rest, ["_window", "length"], cell_rows).join(by_length, ["_window", "length"]).withColumn("_slot", slot).join(bases, "_window")
+    rests = rests.withColumn("sequence_id", F.col("_base") + F.col("_slot.sequence") + F.col("rank") - F.col("_slot.from")).withColumn("offset", F.col("_slot.offset"))
+    # full pieces follow the rests of their window
+    full = _ranked(full, ["_window"], cell_rows).join(bases, "_window")
+    full = full.withColumn("sequence_id", F.col("_base") + F.col("_used") + F.col("rank")).withColumn("offset", F.lit(0).cast("long"))
+    return rests.select(*columns, "sequence_id", "offset").unionByName(full.select(*columns, "sequence_id", "offset"))
 
 
 def packed_documents(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) -> DataFrame:
     """The pieces of docs with their sequences; the pieces are tokenised once, into a table without the ids."""
     return pack(store.written(token_pieces(docs, size, vocabulary, with_ids=False), "pieces"), size)
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs with _file, whose order is that of the files docs was read from, by part number; rows that come from no file share one."""
+    name = F.col("_metadata.file_name")
+    part = F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0")
+    try:
+        return docs.withColumn("_file", F.concat_ws("/", part, name))
+    except AnalysisException:  # not a plain scan of files
+        return docs.withColumn("_file", F.lit(""))
+
+
+def packed_in_file_order(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+    """packed_documents() in windows of files that hold window_tokens tokens or more, so that sequences follow the order of a sorted table."""
+    pieces = store.written(token_pieces(in_file_order(docs), size, vocabulary, with_ids=False, carry="_file"), "pieces")
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
+    before = F.coalesce(F.sum("_tokens").over(earlier), F.lit(0))
+    files = pieces.groupBy("_file").agg(F.sum("length").alias("_tokens")).select("_file", F.floor(before / window_tokens).alias("_run"))
+    placed = store.written(pieces.join(store.written(files, "files"), "_file").drop("_file"), "placed")
+    return pack(placed, size, window="_run")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +26,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What written() writes inside goes into one folder, which is deleted at the end: what is read later must be
+    written_to() another place."""
+    folder = fresh_path(spark, "scratch")
+    before = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    """Write df to a new folder and return a scan of it."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return a scan of it: later uses do not recompute it, and a lost executor costs only a re-read."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = _scratch.get()
+    return written_to(df, f"{folder}/{name}-{uuid.uuid4().hex}" if folder else fresh_path(df.sparkSession, name))
