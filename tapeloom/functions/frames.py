@@ -7,7 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
+
+try:  # not part of the public interface: a later Spark may do without
+    from pyspark.sql.internal import InternalFunction
+
+    weighted_mean = InternalFunction.ewm
+except (ImportError, AttributeError):
+    weighted_mean = None
 
 
 @dataclass(frozen=True)
@@ -57,12 +63,14 @@ def ewm(value: Column, alpha: float, series: WindowSpec, min_periods: int = 1) -
     Spark's weighted mean E divides by the sum of weights; with n values so far the recursion is (1 - d) E + d x₀,
     d = (1 - alpha)ⁿ; missing values are passed over. A series that has been constant so far is returned exactly, so differences of means of it are exactly 0.
     """
+    if weighted_mean is None:
+        return ewm_by_fold(value, alpha, series, min_periods)
     frame = so_far(series)
     n = F.count(value).over(frame)
     first = F.first(value, ignorenulls=True).over(frame)
     fade = F.pow(F.lit(1.0 - alpha), n)
     flat = F.min(value).over(frame) == F.max(value).over(frame)
-    mean = F.when(flat, first).otherwise((1 - fade) * InternalFunction.ewm(value, alpha, True).over(series) + fade * first)
+    mean = F.when(flat, first).otherwise((1 - fade) * weighted_mean(value, alpha, True).over(series) + fade * first)
     return F.when(n >= min_periods, mean)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeloom.functions.frames import ANALYSIS, Names, ewm, full, so_far, trailing
+from tapeloom.functions.frames import ANALYSIS, Names, ewm, full, so_far
 from tapeloom.operators.validate import require_columns
 
 INDICATORS = (
@@ -74,7 +74,9 @@ def with_steps(bars: DataFrame, names: Names) -> DataFrame:
 
 
 def add_indicators(bars: DataFrame, names: Names = ANALYSIS) -> DataFrame:
-    """bars and the INDICATORS."""
+    """bars and the INDICATORS. A table of many tickers needs names with a key: as one series it would be mixed up, and one task's work."""
+    if names.key is None and "ticker" in bars.columns:
+        raise ValueError("The table has a ticker column: give names with key='ticker'")
     require_columns(bars.columns, [names.open, names.high, names.low, names.close, names.volume], "Missing required price columns")
     w = names.series()
     c, low, h, v = (F.col(x).cast("double") for x in (names.close, names.low, names.high, names.volume))
@@ -86,6 +88,3 @@ def add_indicators(bars: DataFrame, names: Names = ANALYSIS) -> DataFrame:
     rows = rows.withColumns({"macd_signal": ewm(F.col("macd"), 2 / 10, w), "stochastic_d": full(F.avg, F.col("stochastic_k"), w, 3)})
     return rows.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).select(*bars.columns, *INDICATORS)
 
-
-def rolling_sum(value: Column, w: WindowSpec, rows: int) -> Column:
-    return F.when(F.count(value).over(trailing(w, rows)) == rows, F.sum(value).over(trailing(w, rows)))

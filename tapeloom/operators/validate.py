@@ -56,14 +56,14 @@ PROVIDER_COLUMNS = ("ticker", "timestamp", "open", "high", "low", "close", "volu
 def provider_bars(bars: DataFrame, feed: str | None = None) -> DataFrame:
     """Provider bars with tickers in upper case, typed, checked as a whole, and the last input row kept for equal keys.
 
-    A null ticker is a missing value. Rows are ordered by their arrival in bars, as far as Spark knows it.
+    A null ticker is a missing value. Rows are ordered by _arrival, or, without that column, by their arrival in bars, as far as Spark knows it.
     """
     require_columns(bars.columns, PROVIDER_COLUMNS, "Missing provider columns")
     number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c)
     rows = bars.select(
         F.upper(F.trim(F.col("ticker").cast("string"))).alias("ticker"), F.col("timestamp").try_cast("timestamp").alias("timestamp"),
         *[number(c) for c in ("open", "high", "low", "close", "volume", "trade_count", "vwap")], F.col("feed").cast("string").alias("feed"),
-        F.monotonically_increasing_id().alias("_arrival"),
+        F.col("_arrival") if "_arrival" in bars.columns else F.monotonically_increasing_id().alias("_arrival"),
     )
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     missing = F.lit(False)

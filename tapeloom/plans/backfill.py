@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import clock
 from tapeloom.operators import upsert, validate
-from tapeloom.plans.catalog import Archive
+from tapeloom.plans.catalog import Archive, Patch
 from tapeloom.sources.provider import FEEDS, normalized_symbols
 
 
@@ -48,19 +48,22 @@ def coverage_rows(requested: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def _merge_job(archive: Archive, spark: SparkSession, bars: DataFrame, requested: list[str], feed: str, start: date, end: date) -> tuple[int, set[str]]:
-    batch = validate.provider_bars(bars, feed).persist()
-    try:
+    """Merge one job's bars. They are read once, and only the months they fall in are written again."""
+    with archive.landed(bars) as landed:
+        batch = validate.provider_bars(landed, feed)
         symbols = spark.createDataFrame([(s,) for s in requested], "ticker string")
         counts = {r.ticker: r["count"] for r in batch.groupBy("ticker").count().collect()}  # of one batch of symbols
-        minutes = upsert.upsert(archive.read("provider_minute_bars"), batch.withColumn("fetched_at", F.current_timestamp()), ["feed", "ticker", "timestamp"])
-        covered = archive.read("provider_minute_coverage")
-        fresh = coverage_rows(symbols, batch).select("ticker", F.lit(feed).alias("feed"), F.lit(start).alias("start_date"), F.lit(end).alias("end_date"), "row_count", F.current_timestamp().alias("completed_at"))
-        coverage = upsert.upsert(covered, fresh, ["ticker", "feed", "start_date", "end_date"])
-        log = archive.read("provider_minute_update_log")
-        row = spark.range(1).select(F.current_timestamp().alias("completed_at"), F.lit(feed).alias("feed"), F.lit(start).alias("start_date"), F.lit(end).alias("end_date"), F.lit(len(requested)).cast("long").alias("symbols_requested"), F.lit(len(counts)).cast("long").alias("symbols_with_bars"), F.lit(sum(counts.values())).cast("long").alias("rows_merged"))
-        archive.commit({"provider_minute_bars": minutes, "provider_minute_coverage": coverage, "provider_minute_update_log": log.unionByName(row)}, {"provider_minute_bars": ["feed"]})
-    finally:
-        batch.unpersist()
+        stamped = batch.withColumn("fetched_at", F.current_timestamp())
+        job = [F.lit(feed).alias("feed"), F.lit(start).alias("start_date"), F.lit(end).alias("end_date")]
+        fresh = coverage_rows(symbols, batch).select("ticker", *job, "row_count", F.current_timestamp().alias("completed_at"))
+        row = spark.range(1).select(F.current_timestamp().alias("completed_at"), *job, F.lit(len(requested)).cast("long").alias("symbols_requested"), F.lit(len(counts)).cast("long").alias("symbols_with_bars"), F.lit(sum(counts.values())).cast("long").alias("rows_merged"))
+        changes = {
+            "provider_minute_coverage": Patch(fresh, lambda rows: upsert.upsert(rows, fresh, ["ticker", "feed", "start_date", "end_date"])),
+            "provider_minute_update_log": Patch(row, lambda rows: rows.unionByName(row)),
+        }
+        if counts:
+            changes["provider_minute_bars"] = Patch(batch, lambda rows: upsert.upsert(rows, stamped, ["feed", "ticker", "timestamp"]))
+        archive.commit(changes)
     return sum(counts.values()), set(counts)
 
 

@@ -1,17 +1,21 @@
 """An archive: Parquet tables under one folder, changed together.
 
-Each write makes new table folders; a manifest names the folder of every table and is replaced by one atomic rename, so readers see all of a
-change or nothing of it. Files go through Spark and Hadoop's file system, so the folder may be on any store that Spark reads.
+Each write makes new folders; a manifest names the folder of every table, or of every part of a table that is kept in parts (a month of a feed, a year),
+and is replaced by one atomic rename, so readers see all of a change or nothing of it. A patch rewrites the parts that its rows fall in and leaves the
+files of all others alone. Files go through Spark and Hadoop's file system, so the folder may be on any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Table schemas, with the columns that hold what the archive promises.
 SCHEMAS = {
@@ -28,6 +32,26 @@ SCHEMAS = {
     "research_dataset_metadata": "interval_minutes int, feed string, start_date date, end_date date, bar_count long, built_at timestamp",
 }
 MANIFEST = "manifest.json"
+#: Tables kept in parts, and what tells a row's part.
+PARTS: dict[str, Callable[[], Column]] = {
+    "daily_prices": lambda: F.year("trading_date").cast("string"),
+    "provider_daily_bars": lambda: F.year("timestamp").cast("string"),
+    "provider_minute_bars": lambda: F.concat_ws("-", "feed", F.date_format("timestamp", "yyyy-MM")),
+    "provider_minute_coverage": lambda: F.concat_ws("-", "feed", F.date_format("start_date", "yyyy-MM")),
+    "provider_minute_update_log": lambda: F.concat_ws("-", "feed", F.date_format("start_date", "yyyy-MM")),
+}
+
+
+@dataclass(frozen=True)
+class Patch:
+    """batch tells the parts that change; merge makes their new rows from their present ones."""
+
+    batch: DataFrame
+    merge: Callable[[DataFrame], DataFrame]
+
+
+def _folders(manifest: Mapping) -> set[str]:
+    return {p for place in manifest.values() for p in (place.values() if isinstance(place, dict) else [place])}
 
 
 class Archive:
@@ -48,7 +72,7 @@ class Archive:
             raise FileNotFoundError(f"Archive not found: {self.root}")
         return self
 
-    def manifest(self) -> dict[str, str]:
+    def manifest(self) -> dict[str, str | dict[str, str]]:
         if not self.exists():
             return {}
         stream = self._fs.open(self._path(MANIFEST))
@@ -57,7 +81,7 @@ class Archive:
         finally:
             stream.close()
 
-    def _swap(self, manifest: Mapping[str, str]) -> None:
+    def _swap(self, manifest: Mapping) -> None:
         jvm = self.spark._jvm
         draft = self._path(f".{MANIFEST}.{uuid.uuid4().hex}")
         out = self._fs.create(draft, True)
@@ -80,34 +104,73 @@ class Archive:
             if table not in SCHEMAS:
                 raise ValueError(f"The archive has no table {table}")
             return self.spark.createDataFrame([], SCHEMAS[table])
+        if isinstance(place, dict):
+            return self._of_parts(table, list(place.values()))
         return self.spark.read.parquet(f"{self.root}/{place}")
 
-    def commit(self, tables: Mapping[str, DataFrame], partitions: Mapping[str, list[str]] | None = None, replace_all: bool = False) -> None:
-        """Write all tables, then let the manifest name them. A failure on the way leaves the archive as it was."""
-        now = {} if replace_all else self.manifest()
-        before = set(self.manifest().values())
+    def _of_parts(self, table: str, places: list[str]) -> DataFrame:
+        if not places:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{p}" for p in places])
+
+    def _write(self, table: str, frame: DataFrame, place: str) -> str | dict[str, str]:
+        """Write a table or some of its parts; returns its place or theirs."""
+        writer, by = frame, PARTS.get(table)
+        if by is None:
+            writer.write.option("compression", "zstd").parquet(f"{self.root}/{place}")
+            return place
+        names = [f.split()[0] for f in SCHEMAS[table].split(", ")]
+        # each part is a task's work, split by ticker where there are tickers
+        parted = frame.select(*names).withColumn("part", by())
+        parted = parted.repartition("part", *[c for c in ("ticker",) if c in names])
+        parted.write.option("compression", "zstd").partitionBy("part").parquet(f"{self.root}/{place}")
+        found = {}
+        for status in self._fs.listStatus(self._path(place)):
+            name = status.getPath().getName()
+            if name.startswith("part="):
+                found[name.removeprefix("part=")] = f"{place}/{name}"
+        return found
+
+    @contextmanager
+    def landed(self, frame: DataFrame) -> Iterator[DataFrame]:
+        """frame written once below the archive for as long as the block runs: what a source gave is read from it only once. _arrival holds the order of its rows."""
+        place = self._path(f"landing/{uuid.uuid4().hex}")
+        try:
+            frame.withColumn("_arrival", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(place.toString())
+            yield self.spark.read.parquet(place.toString())
+        finally:
+            self._fs.delete(place, True)
+
+    def commit(self, tables: Mapping[str, DataFrame | Patch], replace_all: bool = False) -> None:
+        """Write all tables, or of a Patch the parts it changes, then let the manifest name them. A failure on the way leaves the archive as it was."""
+        old = self.manifest()
+        now = {} if replace_all else dict(old)
         places = {t: f"tables/{t}-{uuid.uuid4().hex}" for t in tables}
         try:
             for table, frame in tables.items():
-                writer = frame.write.option("compression", "zstd")
-                if by := (partitions or {}).get(table):
-                    writer = writer.partitionBy(*by)
-                writer.parquet(f"{self.root}/{places[table]}")
+                if not isinstance(frame, Patch):
+                    now[table] = self._write(table, frame, places[table])
+                    continue
+                parts = now.get(table, {})
+                if not isinstance(parts, dict):
+                    raise ValueError(f"The table {table} is not kept in parts")
+                touched = [r[0] for r in frame.batch.select(PARTS[table]()).distinct().collect()]  # months or years of one batch
+                present = self._of_parts(table, [parts[p] for p in touched if p in parts])
+                now[table] = {p: f for p, f in parts.items() if p not in touched} | self._write(table, frame.merge(present), places[table])
         except Exception:
             for place in places.values():
                 self._fs.delete(self._path(place), True)
             raise
-        now.update(places)
         self._swap(now)
-        for place in before - set(now.values()):
+        for place in _folders(old) - _folders(now):
             self._fs.delete(self._path(place), True)
 
     def forget(self, tables: list[str]) -> None:
         """Drop tables."""
         now = self.manifest()
-        gone = [now.pop(t) for t in tables if t in now]
+        gone = {t: now.pop(t) for t in tables if t in now}
         self._swap(now)
-        for place in gone:
+        for place in _folders(gone):
             self._fs.delete(self._path(place), True)
 
     def bytes(self) -> int:

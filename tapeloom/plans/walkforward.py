@@ -1,20 +1,23 @@
 """Chronological walk-forward evaluation of a logistic model.
 
-Sessions get a place by date; a row belongs to the test part of at most one fold and to the training part of those after it. One MLlib fit
-runs for each fold; everything else is one aggregation over all folds.
+Sessions get a place by date; a row belongs to the test part of at most one fold and to the training part of those after it. All folds are fitted at once:
+one aggregation gives means and deviations of every fold, and each Newton step of all folds is one aggregation of gradients and curvatures, of which the
+driver sees (1 + features)² numbers a fold. Coefficients are a small table that test rows are joined with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.features import feature_columns
 from tapeloom.operators.validate import require_columns
+from tapeloom.shared import written
 
 
 @dataclass(frozen=True)
@@ -56,21 +59,88 @@ def _check(train: int, test: int, holdout: int, move: float, confidence: float,
             raise ValueError(message)
 
 
-def _fit(train: DataFrame, columns: tuple[str, ...]) -> tuple[list[float], float, list[float], list[float]]:
-    """Coefficients and intercept on standardised features, with the means and population deviations used.
+@dataclass(frozen=True)
+class FoldModel:
+    """A fold's coefficients and intercept on standardised features, with the means and population deviations used."""
+
+    coefficients: np.ndarray
+    intercept: float
+    means: np.ndarray
+    scales: np.ndarray
+
+
+def training_rows(placed: DataFrame, folds: int, train: int, test: int) -> DataFrame:
+    """placed once for each fold it trains: fold k trains on the places from (k - 1) * test on, `train` of them."""
+    first = F.greatest(F.floor((F.col("place") - train) / test) + 2, F.lit(1))
+    last = F.least(F.floor(F.col("place") / test) + 1, F.lit(folds))
+    return placed.where(first <= last).withColumn("fold", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+
+
+def fold_statistics(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """fold, n, up, and of each feature the mean m_ and the population deviation s_, over rows (fold, target_up, features)."""
+    return rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("target_up").alias("up"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+
 
-    The penalty of C = 1 on a sum of losses is 1/n on their mean; classes weigh n / (2 n_class).
+def _curvature(columns: tuple[str, ...], models: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]]):
+    """Sums of a batch for each fold: loss, gradient and curvature of the weighted logistic loss at the fold's present coefficients."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for fold, part in frame.groupby("fold"):
+                beta, means, scales, weights = models[int(fold)]
+                z = np.column_stack([np.ones(len(part)), (part[list(columns)].to_numpy(dtype=np.float64) - means) / scales])
+                y = part["target_up"].to_numpy()
+                w, line = np.where(y == 1, weights[1], weights[0]), z @ beta
+                p = 1 / (1 + np.exp(-np.clip(line, -700, 700)))
+                loss = (w * (np.logaddexp(0, line) - y * line)).sum()
+                sums = np.concatenate([[loss], z.T @ (w * (p - y)), (z.T @ (z * (w * p * (1 - p))[:, None])).reshape(-1)])
+                yield pd.DataFrame({"fold": np.int32(fold), "i": np.arange(len(sums), dtype=np.int32), "v": sums})
+
+    return run
+
+
+def fit_folds(rows: DataFrame, columns: tuple[str, ...], most_steps: int = 60, tolerance: float = 1e-9) -> dict[int, FoldModel]:
+    """The exact optimum of each fold by Newton's method, all folds a step at a time; rows (fold, target_up, features) are read once a step.
+
+    The penalty is half the squared coefficients (C = 1 on a sum of losses), the intercept is free, and classes weigh n / (2 n_class). A step that raises
+    the loss is halved.
     """
-    stats = train.agg(F.count("*").alias("n"), F.sum("target_up").alias("up"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    n, up = stats["n"], stats["up"]
-    if not n or up in (0, n):
-        raise ValueError("A training fold contains only one target class")
-    means, scales = [stats[f"m_{c}"] for c in columns], [stats[f"s_{c}"] or 1.0 for c in columns]
-    scaled = F.array(*[(F.col(c) - m) / s for c, m, s in zip(columns, means, scales)])
-    weight = F.when(F.col("target_up") == 1, n / (2 * up)).otherwise(n / (2 * (n - up)))
-    rows = train.select(array_to_vector(scaled).alias("features"), F.col("target_up").cast("double").alias("label"), weight.alias("weight"))
-    model = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=500, tol=1e-10).fit(rows)
-    return list(model.coefficients), float(model.intercept), means, scales
+    models, d = {}, len(columns)
+    for r in fold_statistics(rows, columns).collect():  # one row for each fold
+        if not r.n or r.up in (0, r.n):
+            raise ValueError("A training fold contains only one target class")
+        means, scales = np.array([r[f"m_{c}"] for c in columns]), np.array([r[f"s_{c}"] or 1.0 for c in columns])
+        models[r.fold] = (np.zeros(d + 1), means, scales, (r.n / (2 * (r.n - r.up)), r.n / (2 * r.up)))
+    penalty, best, open_ = np.r_[0.0, np.ones(d)], {}, set(models)
+    for _ in range(most_steps):
+        if not open_:
+            break
+        wanted = rows.where(F.col("fold").isin(sorted(open_))).select("fold", "target_up", *columns)
+        sums = wanted.mapInPandas(_curvature(columns, {k: models[k] for k in open_}), "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v"))
+        found = {k: np.zeros(1 + (d + 1) + (d + 1) ** 2) for k in open_}
+        for r in sums.collect():
+            found[r.fold][r.i] = r.v
+        for k in sorted(open_):
+            beta, *rest = models[k]
+            loss = found[k][0] + 0.5 * (penalty * beta**2).sum()
+            if k in best and loss > best[k][0] + 1e-12 * abs(loss):
+                step = (best[k][1] - beta) / 2  # back half the way
+            else:
+                best[k] = (loss, beta)
+                slope = found[k][1 : d + 2] + penalty * beta
+                step = -np.linalg.solve(found[k][d + 2 :].reshape(d + 1, d + 1) + np.diag(penalty), slope)
+            models[k] = (beta + step, *rest)
+            if np.abs(step).max() < tolerance:
+                open_.discard(k)
+    return {k: FoldModel(beta[1:], float(beta[0]), means, scales) for k, (beta, means, scales, _) in models.items()}
+
+
+def with_probability(rows: DataFrame, models: dict[int, FoldModel], columns: tuple[str, ...]) -> DataFrame:
+    """rows (test_fold, features) with probability_up by the model of their fold; the table of models has one row for each fold."""
+    made = [(k, m.intercept - float((m.coefficients * m.means / m.scales).sum()), (m.coefficients / m.scales).tolist()) for k, m in models.items()]
+    table = rows.sparkSession.createDataFrame(made, "test_fold int, _free double, _slopes array<double>")
+    line = F.aggregate(F.zip_with(F.array(*[F.col(c).cast("double") for c in columns]), "_slopes", lambda x, b: x * b), F.col("_free"), lambda s, x: s + x)
+    return rows.join(F.broadcast(table), "test_fold").withColumn("probability_up", 1 / (1 + F.exp(-line))).drop("_free", "_slopes")
 
 
 def _accuracy(right: Column) -> Column:
@@ -99,53 +169,40 @@ def evaluate(dataset: DataFrame, *, train_sessions: int = 126, test_sessions: in
     spark = dataset.sparkSession
     rows = labelled(dataset, columns, target_move_bps)
     sessions = session_folds(rows, train_sessions, test_sessions, holdout_sessions)
-    placed = rows.join(F.broadcast(sessions), "session_date").persist()  # one row per session
-    try:
-        count = placed.agg(F.countDistinct("session_date").alias("n"), F.max("test_fold").alias("folds"), F.countDistinct(F.when(F.col("holdout"), F.col("session_date"))).alias("h"), F.count_if("holdout").alias("rows"), F.min(F.when(F.col("holdout"), F.col("session_date"))).alias("a"), F.max(F.when(F.col("holdout"), F.col("session_date"))).alias("b")).first()
-        if not count["n"]:
-            raise ValueError("No rows exceed the requested target-move threshold")
-        needed = train_sessions + test_sessions + holdout_sessions
-        if count["n"] < needed:
-            raise ValueError(f"At least {needed} sessions are required; dataset contains {count['n']}")
-        coefficient_rows, scores = [], []
-        for fold in range(1, count["folds"] + 1):
-            first = (fold - 1) * test_sessions
-            train = placed.where((F.col("place") >= first) & (F.col("place") < first + train_sessions))
-            beta, intercept, means, scales = _fit(train, columns)
-            coefficient_rows += [(fold, c, float(b)) for c, b in zip(columns, beta)]
-            line = F.lit(intercept)
-            for c, b, m, s in zip(columns, beta, means, scales):
-                line = line + float(b) * (F.col(c) - m) / s
-            scores.append((fold, line))
-        probability = F.lit(None).cast("double")
-        for fold, line in reversed(scores):
-            probability = F.when(F.col("test_fold") == fold, 1 / (1 + F.exp(-line))).otherwise(probability)
-        p = F.col("probability_up")
-        predictions = placed.where("test_fold is not null").withColumn("probability_up", probability).withColumns({
-            "predicted_up": (p >= 0.5).cast("int"), "persistence_up": (F.col("return_1") > 0).cast("int"),
-            "action": F.when(p >= confidence, 1).when(p <= 1 - confidence, -1).otherwise(0),
-        }).drop("holdout")
-        right, persists = F.col("target_up") == F.col("predicted_up"), F.col("target_up") == F.col("persistence_up")
-        folds = predictions.groupBy(F.col("test_fold").alias("fold")).agg(
-            F.min("session_date").alias("test_start"), F.max("session_date").alias("test_end"), F.count("*").alias("test_rows"), (100 * F.avg("target_up")).alias("up_target_pct"),
-            _accuracy(right).alias("accuracy"), _balanced(F.col("target_up"), F.col("predicted_up")).alias("balanced_accuracy"), _accuracy(persists).alias("persistence_accuracy"),
-            *[c.alias(k) for k, c in _confident(transaction_cost_bps).items()],
-        )
-        numbers = spark.range(1, count["folds"] + 1).select(F.col("id").cast("int").alias("fold"))
-        spans = placed.select("session_date", "place").join(F.broadcast(numbers), (F.col("place") >= (F.col("fold") - 1) * test_sessions) & (F.col("place") < (F.col("fold") - 1) * test_sessions + train_sessions))
-        spans = spans.groupBy("fold").agg(F.min("session_date").alias("train_start"), F.max("session_date").alias("train_end"), F.count("*").alias("train_rows"))
-        folds = spans.join(folds, "fold").orderBy("fold")
-        symbols = predictions.groupBy("ticker").agg(F.count("*").alias("test_rows"), _accuracy(right).alias("accuracy"), *[c.alias(k) for k, c in _confident(transaction_cost_bps).items()])
-        symbols = symbols.orderBy(F.desc_nulls_last("average_net_bps"), F.desc("confident_rows"))
-        table = spark.createDataFrame(coefficient_rows, "fold int, feature string, coefficient double")
-        coefficients = table.groupBy("feature").agg(
-            F.avg("coefficient").alias("mean_coefficient"), F.avg(F.abs("coefficient")).alias("mean_absolute_coefficient"), F.stddev_samp("coefficient").alias("coefficient_std"),
-            (100 * F.avg((F.col("coefficient") > 0).cast("double"))).alias("positive_fold_pct"),
-        ).orderBy(F.desc("mean_absolute_coefficient"))
-        metrics = _overall(predictions, right, persists, feature_set, len(columns), count, transaction_cost_bps)
-        return WalkForwardResult(folds, predictions, symbols, coefficients, metrics)
-    finally:
-        placed.unpersist()
+    placed = written(rows.join(F.broadcast(sessions), "session_date"), "placed")  # one row per session
+    count = placed.agg(F.countDistinct("session_date").alias("n"), F.max("test_fold").alias("folds"), F.countDistinct(F.when(F.col("holdout"), F.col("session_date"))).alias("h"), F.count_if("holdout").alias("rows"), F.min(F.when(F.col("holdout"), F.col("session_date"))).alias("a"), F.max(F.when(F.col("holdout"), F.col("session_date"))).alias("b")).first()
+    if not count["n"]:
+        raise ValueError("No rows exceed the requested target-move threshold")
+    needed = train_sessions + test_sessions + holdout_sessions
+    if count["n"] < needed:
+        raise ValueError(f"At least {needed} sessions are required; dataset contains {count['n']}")
+    train = training_rows(placed, count["folds"], train_sessions, test_sessions)
+    models = fit_folds(train, columns)
+    if len(models) < count["folds"]:
+        raise ValueError("A training fold contains only one target class")
+    p = F.col("probability_up")
+    predictions = with_probability(placed.where("test_fold is not null"), models, columns).withColumns({
+        "predicted_up": (p >= 0.5).cast("int"), "persistence_up": (F.col("return_1") > 0).cast("int"),
+        "action": F.when(p >= confidence, 1).when(p <= 1 - confidence, -1).otherwise(0),
+    }).drop("holdout")
+    predictions = written(predictions, "predictions")
+    right, persists = F.col("target_up") == F.col("predicted_up"), F.col("target_up") == F.col("persistence_up")
+    folds = predictions.groupBy(F.col("test_fold").alias("fold")).agg(
+        F.min("session_date").alias("test_start"), F.max("session_date").alias("test_end"), F.count("*").alias("test_rows"), (100 * F.avg("target_up")).alias("up_target_pct"),
+        _accuracy(right).alias("accuracy"), _balanced(F.col("target_up"), F.col("predicted_up")).alias("balanced_accuracy"), _accuracy(persists).alias("persistence_accuracy"),
+        *[c.alias(k) for k, c in _confident(transaction_cost_bps).items()],
+    )
+    spans = train.groupBy("fold").agg(F.min("session_date").alias("train_start"), F.max("session_date").alias("train_end"), F.count("*").alias("train_rows"))
+    folds = written(spans.join(folds, "fold"), "folds").orderBy("fold")
+    symbols = predictions.groupBy("ticker").agg(F.count("*").alias("test_rows"), _accuracy(right).alias("accuracy"), *[c.alias(k) for k, c in _confident(transaction_cost_bps).items()])
+    symbols = symbols.orderBy(F.desc_nulls_last("average_net_bps"), F.desc("confident_rows"))
+    table = spark.createDataFrame([(k, c, float(b)) for k, m in models.items() for c, b in zip(columns, m.coefficients)], "fold int, feature string, coefficient double")
+    coefficients = table.groupBy("feature").agg(
+        F.avg("coefficient").alias("mean_coefficient"), F.avg(F.abs("coefficient")).alias("mean_absolute_coefficient"), F.stddev_samp("coefficient").alias("coefficient_std"),
+        (100 * F.avg((F.col("coefficient") > 0).cast("double"))).alias("positive_fold_pct"),
+    ).orderBy(F.desc("mean_absolute_coefficient"))
+    metrics = _overall(predictions, right, persists, feature_set, len(columns), count, transaction_cost_bps)
+    return WalkForwardResult(folds, predictions, symbols, coefficients, metrics)
 
 
 def _overall(predictions: DataFrame, right: Column, persists: Column, feature_set: str, n_features: int, count, cost_bps: float) -> dict[str, object]:

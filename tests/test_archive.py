@@ -2,6 +2,7 @@
 
 import zipfile
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tapeloom import Archive, build_archive, load_daily_prices
 from tapeloom.plans import archive as archives
 from tapeloom.plans import backfill, merge
 from tapeloom.sources.legacy import inspect_legacy_archive, ticker_of
+from tapeloom.sources.provider import MarketDataClient
 
 HEADER = "Ticker,DateTime,Open,High,Low,Close,Adj Close,Volume\n"
 
@@ -35,9 +37,11 @@ def test_folder_build(spark, tmp_path):
     (src / "deep" / "CurrentData(ZERO).csv").write_text(lines("ZERO", bad=3))
     (src / "CurrentData(BAD).csv").write_text("DateTime,Open\n2024-01-02,1\n")
     (src / "notes.csv").write_text("x\n")
-    assert inspect_legacy_archive(src).price_file_count == 3
-    db = tmp_path / "db"
-    r = build_archive(src, db)
+    (src / "CurrentData(LATIN).csv").write_bytes(HEADER.encode() + b"caf\xe9,2024-01-02,1,1,1,1,1,1\n")
+    assert inspect_legacy_archive(src).price_file_count == 4
+    db, told = tmp_path / "db", []
+    r = build_archive(src, db, progress=lambda k, n, ticker: told.append((k, n, ticker)))
+    assert told == [(1, 4, "AAA"), (2, 4, "BAD"), (3, 4, "LATIN"), (4, 4, "ZERO")]
     assert (r.files_imported, r.rows_imported, r.rows_rejected, r.symbols, r.daily_rows) == (2, 139, 1, 2, 139)
     assert not (tmp_path / "db.building").exists()
     with pytest.raises(FileExistsError):
@@ -45,7 +49,7 @@ def test_folder_build(spark, tmp_path):
     assert build_archive(src, db, replace=True).daily_rows == 139
     a = Archive(db)
     assert [(x.reason, x.rejected_rows) for x in a.read("import_rejections").collect()] == [("non_positive_price", 1)]
-    assert a.read("import_log").where("error is not null").count() == 1
+    assert {r.ticker: r.error.split(":")[0] for r in a.read("import_log").where("error is not null").collect()} == {"BAD": "ValueError", "LATIN": "UnicodeDecodeError"}
     s = archives.archive_statistics(a)
     assert s["symbols"] == 2 and s["raw_rows"] == 139
     got = load_daily_prices(a, " aaa ", start="2024-01-03", end="2024-01-05").collect()
@@ -121,3 +125,45 @@ def test_resumable_backfill(spark, tmp_path):
     assert a.read("provider_minute_coverage").where("ticker = 'CCC' and row_count = 0").count() == 2
     with pytest.raises(ValueError, match="after end"):
         backfill.backfill_minute_bars(a, ["AAA"], client, start="2026-02-01", end="2026-01-01")
+
+
+def parts(archive, table):
+    return {p: sorted(f.name for f in Path(archive.root, place).iterdir()) for p, place in archive.manifest()[table].items()}
+
+
+def test_merges_write_only_the_parts_they_touch(spark, tmp_path):
+    a = Archive(tmp_path / "db")
+    a.commit({"import_log": spark.createDataFrame([], "source_file string, ticker string, imported_rows long, rejected_rows long, error string")})
+    bar = lambda day, close=1.5: ("AAA", f"{day}T15:00:00Z", 1.0, 2.0, 0.5, close, 10.0, 1.0, 1.0, "iex")
+    merge.merge_provider_daily_bars(a, provider(spark, bar("2024-03-04"), bar("2025-03-04")))
+    daily, own = parts(a, "daily_prices"), parts(a, "provider_daily_bars")
+    merge.merge_provider_daily_bars(a, provider(spark, bar("2025-03-04", 1.75), bar("2026-03-04")))
+    for table, before in (("daily_prices", daily), ("provider_daily_bars", own)):
+        after = parts(a, table)
+        assert set(after) == {"2024", "2025", "2026"} and after["2024"] == before["2024"] and after["2025"] != before["2025"]
+    assert [(r.trading_date.year, r.close) for r in a.read("daily_prices").orderBy("trading_date").collect()] == [(2024, 1.5), (2025, 1.75), (2026, 1.5)]
+    assert a.read("symbol_summary").first().trading_days == 3 and not list(Path(a.root, "landing").iterdir())
+    backfill.backfill_minute_bars(a, ["AAA"], FakeClient(spark), start="2026-01-01", end="2026-03-05", chunk_days=31)
+    before = parts(a, "provider_minute_bars")
+    assert set(before) == {"iex-2026-01", "iex-2026-02", "iex-2026-03"}
+    backfill.backfill_minute_bars(a, ["BBB"], FakeClient(spark), start="2026-03-04", end="2026-03-05")
+    after = parts(a, "provider_minute_bars")
+    assert {p: after[p] for p in ("iex-2026-01", "iex-2026-02")} == {p: before[p] for p in ("iex-2026-01", "iex-2026-02")} and after["iex-2026-03"] != before["iex-2026-03"]
+
+
+def test_each_page_is_downloaded_once(spark, tmp_path):
+    a = Archive(tmp_path / "db")
+    a.commit({"import_log": spark.createDataFrame([], "source_file string, ticker string, imported_rows long, rejected_rows long, error string")})
+    calls = tmp_path / "calls"
+
+    def get(parameters):
+        with calls.open("a") as f:
+            f.write("x")
+        day = parameters["start"][:10]
+        return {"bars": {s: [{"t": f"{day}T15:00:00Z", "o": 1, "h": 2, "l": 0.5, "c": 1.5, "v": 10}] for s in parameters["symbols"].split(",")}, "next_page_token": None if parameters.get("page_token") else "more"}
+
+    client = MarketDataClient(get=get, spark=spark)
+    merge.merge_provider_daily_bars(a, client.fetch_daily_bars(["AAA"], start="2026-01-02", end="2026-01-03"))
+    assert calls.read_text() == "xx"
+    backfill.backfill_minute_bars(a, ["AAA", "BBB"], client, start="2026-01-05", end="2026-01-06")
+    assert calls.read_text() == "xxxx" and a.read("provider_minute_bars").count() == 2

@@ -87,3 +87,16 @@ def test_one_exchange_and_no_python(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="Missing required price columns"):
         indicators.add_indicators(spark.range(1), ANALYSIS)
+
+
+def test_indicators_without_the_private_mean(spark, monkeypatch):
+    """The public fold gives the same indicators as Spark's own weighted mean."""
+    from tapeloom.functions import frames
+
+    frame = spark.createDataFrame(pd.concat([series(6, 120), series(7, 60, [(10, 30)])]))
+    want = indicators.add_indicators(frame, NAMES).orderBy("ticker", "t").toPandas()
+    monkeypatch.setattr(frames, "weighted_mean", None)
+    got = indicators.add_indicators(frame, NAMES).orderBy("ticker", "t").toPandas()
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-9)
+    with pytest.raises(ValueError, match="ticker column"):
+        indicators.add_indicators(frame.toDF("ticker", "Date", "Open", "High", "Low", "Close", "Volume"))

@@ -80,8 +80,9 @@ def test_fit_is_the_exact_optimum(spark):
     g = np.random.default_rng(0)
     x = g.normal(0, 1, (400, 3)) * [1, 5, 0.1] + [0, 2, 1]
     y = (x[:, 0] + 0.3 * x[:, 1] + g.normal(0, 1, 400) > 1.2).astype(int)
-    frame = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "a double, b double, c double, target_up int")
-    beta, intercept, means, scales = walkforward._fit(frame, ("a", "b", "c"))
+    rows = [(fold, *map(float, r), int(t)) for fold in (1, 2) for r, t in zip(x, y)]
+    frame = spark.createDataFrame(rows, "fold int, a double, b double, c double, target_up int").repartition(3)
+    models = walkforward.fit_folds(frame, ("a", "b", "c"))
     z = np.column_stack([np.ones(400), (x - x.mean(0)) / x.std(0)])
     w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
     b = np.zeros(4)
@@ -89,4 +90,14 @@ def test_fit_is_the_exact_optimum(spark):
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ b))
         b -= np.linalg.solve(z.T @ (z * (w * p * (1 - p))[:, None]) + penalty, z.T @ (w * (p - y)) + penalty @ b)
-    np.testing.assert_allclose([intercept, *beta], b, atol=1e-6)
+    for fold in (1, 2):
+        np.testing.assert_allclose([models[fold].intercept, *models[fold].coefficients], b, atol=1e-8)
+    with pytest.raises(ValueError, match="one target class"):
+        walkforward.fit_folds(frame.withColumn("target_up", F.lit(1)), ("a", "b", "c"))
+
+
+def test_training_rows_are_those_of_each_fold(spark):
+    placed = spark.range(60).selectExpr("cast(id as int) AS place")
+    for train, test, folds in ((20, 10, 4), (20, 3, 13), (25, 40, 1)):
+        got = sorted((r.fold, r.place) for r in walkforward.training_rows(placed, folds, train, test).collect())
+        assert got == [(k, p) for k in range(1, folds + 1) for p in range((k - 1) * test, (k - 1) * test + train) if p < 60]

@@ -64,7 +64,7 @@ def test_pages_and_flattening(spark):
     rows = provider.MarketDataClient(get=get, spark=spark).fetch_daily_bars([" msft", "AAPL", "aapl"], start="2026-01-01", end="2026-01-03").orderBy("ticker").collect()
     assert [(r.ticker, r.close, r.trade_count) for r in rows] == [("AAPL", 1.5, 3.0), ("MSFT", 5.0, None)]
     with pytest.raises(RuntimeError, match="repeated"):
-        list(provider.pages({}, lambda p: {"bars": {}, "next_page_token": "x"}))
+        list(provider.PageChain({}, lambda p: {"bars": {}, "next_page_token": "x"}))
     for bad in (dict(feed="x"), dict(batch_size=0)):
         with pytest.raises(ValueError):
             provider.MarketDataClient(get=get, spark=spark).fetch_daily_bars(["A"], start="a", end="b", **bad)
