@@ -1,8 +1,7 @@
-"""Tables written between stages, in the folder that driver and executors share."""
+"""The shared tables of the library (tapeloom.shared), and folders for tables that a step writes for itself."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,21 +9,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeloom.shared import delete, fresh_path, shared_folder, written_to
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tapeloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
+__all__ = ["delete", "fresh_path", "scratch", "shared_folder", "written", "written_to"]
 
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
@@ -42,17 +29,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, folder)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written_to(df: DataFrame, path: str) -> DataFrame:
-    """Write df to a new folder and return a scan of it."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return a scan of it: later uses do not recompute it, and a lost executor costs only a re-read."""
     folder = _scratch.get()
