@@ -100,7 +100,7 @@ def band_keys(signature: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketch(bands: int, band_rows: int, width: int):
+def _sketch(bands: int, band_rows: int, width: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -114,7 +114,9 @@ def _sketch(bands: int, band_rows: int, width: int):
                 short = [row.tobytes() for row in (signature >> U64(48)).astype("<u2")]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
                 doc_id, text, row = (c.slice(a, b - a) for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([doc_id, row, pa.array(digests, pa.binary()), lists, pa.array(short, pa.binary()), text], names=["doc_id", "row", "digest", "bands", "signature", "text"])
+                cols = [doc_id, row, pa.array(digests, pa.binary()), lists, pa.array(short, pa.binary()), text]
+                names = ["doc_id", "row", "digest", "bands", "signature", "text"]
+                yield pa.RecordBatch.from_arrays(cols[: 5 + with_text], names=names[: 5 + with_text])
 
     return run
 
@@ -135,10 +137,10 @@ def _cells(width: int):
 
 def sketches(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, width: int = WIDTH, key: str | None = None) -> DataFrame:
     """doc_id, a number of the row (the column key, if named), digest of the words (null without words), the band keys of the signature,
-    16 bits of each of its coordinates, and text. Rows are numbered as they are read: write the table before it is read twice."""
+    16 bits of each of its coordinates, and, where rows are numbered as they are read, the text: write that table before it is read twice."""
     row = F.col(key).cast("long") if key else F.monotonically_increasing_id()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
-    return rows.mapInArrow(_sketch(bands, band_rows, width), "doc_id long, row long, digest binary, bands array<long>, signature binary, text string")
+    return rows.mapInArrow(_sketch(bands, band_rows, width, key is None), "doc_id long, row long, digest binary, bands array<long>, signature binary" + ", text string" * (key is None))
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -198,11 +200,11 @@ def _links_in_tile(least: float):
     return run
 
 
-def links(sketched: DataFrame, nodes: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """(node, label) for all nodes (node, bands, signature) that are linked with another; a node is the row of sketched that holds its text,
+def links(texts: DataFrame, nodes: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
+    """(node, label) for all nodes (node, bands, signature) that are linked with another; a node is the row of texts (row, text) that holds its text,
     and label is the smallest node of the class."""
     members = nodes.select("node", F.explode("bands").alias("band"))
-    rows = sketched.select(F.col("row").alias("node"), "text")
+    rows = texts.select(F.col("row").alias("node"), "text")
     cells: list[DataFrame] = []
 
     def prepare(crowded: DataFrame) -> None:
@@ -223,7 +225,8 @@ def links(sketched: DataFrame, nodes: DataFrame, least: float = LEAST, width: in
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = LEAST, width: int = WIDTH, bands: int = BANDS, band_rows: int = BAND_ROWS, key: str | None = None) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and kept for every row of docs, and the column key, a number for each row, if named."""
+    """doc_id, class_id (the smallest doc_id of its class) and kept for every row of docs, and the column key, if named: a number for each row of a
+    table that is the same in every read."""
     sketched = store.written(sketches(docs, bands, band_rows, width, key), "sketches")
     # a wordless text is the node of its id, or of its row
     alone = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.concat(F.lit("r"), F.col("row").cast("string"))).cast("binary")
@@ -232,7 +235,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = LEAST, width: int = W
     shown = lambda c: F.first(F.when(F.col("digest").isNotNull(), F.col(c))).alias(c)
     nodes = told.groupBy("_text").agg(first.alias("_first"), shown("bands"), shown("signature"))
     nodes = store.written(nodes.select("_text", "_first", F.col("_first.row").alias("node"), "bands", "signature"), "nodes")
-    labels = links(sketched, nodes.where(F.col("bands").isNotNull()).select("node", "bands", "signature"), least, width)
+    texts = docs.select(F.col(key).cast("long").alias("row"), F.col("text").cast("string").alias("text")) if key else sketched.select("row", "text")
+    labels = links(texts, nodes.where(F.col("bands").isNotNull()).select("node", "bands", "signature"), least, width)
     labelled = nodes.select("_text", "_first", "node").join(labels, "node", "left")
     labelled = store.written(labelled.select("_text", "_first", F.coalesce("label", "node").alias("label")), "labelled")
     best = store.written(labelled.groupBy("label").agg(F.min("_first").alias("_best")), "best")

@@ -2,6 +2,8 @@
 
 Every stage decides about rows, not ids: rows are numbered and written first, operators carry the number along, and decisions are joined by it.
 
+What a stage writes for itself is deleted when the next stage begins, as its result has been written by then.
+
 Defined cases, for all stages: a null doc_id, and one that several rows share, is no other case than any; a null text is empty; rows that are equal in all
 columns are rows of their own until a deduplicating stage keeps one of them; an empty table gives an empty result; extra columns are dropped, whatever
 their names, and all stages but the last return exactly the columns of documents.
@@ -9,6 +11,9 @@ their names, and all stages but the last return exactly the columns of documents
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = "_row"
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(run: Stage) -> Stage:
+    @wraps(run)
+    def within(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with store.stage_tables(spark):
+            return run(spark, docs, sf_dir)
+
+    return within
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """The documents with a number for each row, written so that it is the same in every read."""
     return store.written(docs.select(COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "rows")
@@ -28,24 +45,28 @@ def _where_decided(rows: DataFrame, decisions: DataFrame, keep: Column) -> DataF
     return rows.join(decisions.where(keep).select(ROW), ROW, "left_semi").select(COLUMNS)
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant predicts to be of quality 1. A row's fate depends on its text alone; without any label every row stays."""
     rows, labels = _numbered(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _where_decided(rows, quality.quality_scores(rows, labels, key=ROW), F.col("predicted") == 1)
 
 
+@_stage
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: most code points, then the smallest id, a null id last, then the first row. Blank texts are one group."""
     rows = _numbered(docs)
     return _where_decided(rows, chunk_dedup.duplicate_groups(rows, key=ROW), F.col("kept"))
 
 
+@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies: the smallest id, a null id last, then the first row. A wordless text is a copy of no other id's."""
     rows = _numbered(docs)
     return _where_decided(rows, dart_minhash.near_duplicate_classes(rows, key=ROW), F.col("kept"))
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each reading of a document in the mix, in order of training time, which the files hold when the result is written.
 
@@ -58,6 +79,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rows.join(readings, ROW).sort("_time", "doc_id", ROW).select(COLUMNS)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and offsets. Sequences are packed within windows of the files' order, which is that of training
     time after the mixing stage, and numbered window by window."""

@@ -11,21 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.shared import delete, fresh_path, shared_folder, written_to
 
-__all__ = ["delete", "fresh_path", "scratch", "shared_folder", "written", "written_to"]
+__all__ = ["clear", "delete", "fresh_path", "shared_folder", "stage_tables", "written", "written_to"]
 
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
+#: By Spark application, the folder of the tables that its last stage wrote for itself.
+_left: dict[str, str] = {}
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What written() writes inside goes into one folder, which is deleted at the end: what is read later must be
-    written_to() another place."""
-    folder = fresh_path(spark, "scratch")
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """What written() writes inside goes into one folder, which lives until the next stage of this application begins, or clear().
+
+    A stage's result is written before the next stage is called, so nothing reads the folder then.
+    """
+    clear(spark)
+    folder = _left[spark.sparkContext.applicationId] = fresh_path(spark, "stage")
     before = _scratch.set(folder)
     try:
         yield
     finally:
         _scratch.reset(before)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what the last stage wrote for itself; its result must have been written."""
+    if folder := _left.pop(spark.sparkContext.applicationId, None):
         delete(spark, folder)
 
 
