@@ -1,7 +1,13 @@
-"""Tables written between steps, in the folder that driver and executors share."""
+"""Tables written between steps, in the folder that driver and executors share.
+
+A table that written() made is deleted when nothing can read it any more: no DataFrame, and none derived from it, holds the table's file index. That is
+looked up whenever another table is written, by reclaim(), and at the end of the program, when what is left goes too.
+"""
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
 import uuid
 
@@ -20,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tapeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -34,6 +40,38 @@ def written_to(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: By Spark application, its session and the tables that written() made: a weak reference in the JVM to the file index of each, and its path.
+_made: dict[str, tuple[SparkSession, list[tuple[object, str]]]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return a scan of it: later uses do not recompute it, and a lost executor costs only a re-read."""
-    return written_to(df, fresh_path(df.sparkSession, name))
+    spark = df.sparkSession
+    reclaim(spark)
+    path = fresh_path(spark, name)
+    out = written_to(df, path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _, tables = _made.setdefault(spark.sparkContext.applicationId, (spark, []))
+    tables.append((spark._jvm.java.lang.ref.WeakReference(files), path))
+    return out
+
+
+def reclaim(spark: SparkSession, collect: bool = False) -> int:
+    """Delete the tables that nothing reads any more, after a collection of garbage if asked for. Returns how many are left."""
+    if collect:
+        gc.collect()
+        spark._jvm.System.gc()
+    _, tables = _made.get(spark.sparkContext.applicationId, (spark, []))
+    dead = [t for t in tables if t[0].refersTo(None)]
+    for _, path in dead:
+        delete(spark, path)
+    tables[:] = [t for t in tables if t not in dead]
+    return len(tables)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for application, (spark, tables) in _made.items():
+        if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == application:
+            for _, path in tables:
+                delete(spark, path)
