@@ -19,14 +19,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of sf_dir; each stage's result is written and read again. A result is deleted when the next one is written, and
-    what a stage writes for itself when the next stage begins or the last has ended."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """Apply the stages to the documents of sf_dir; each stage's result is written and read again, and lives until the next one's is written."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = store.fresh_path(spark, name.replace(" ", "-"))
-        docs = store.written_to(stage(spark, docs, sf_dir), path)
-        if before:
-            store.delete(spark, before)
-        before = path
-    store.clear(spark)
+        docs = store.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
