@@ -3,14 +3,15 @@
 A text without its white space is cut where its own content says, so equal texts are cut alike: its UTF-8 bytes are read one by one, and a chunk ends at
 the first place after MIN_CHUNK bytes at which each of the last four characters falls in a quarter of all characters, another one for each of the four
 (a hash of the last four characters; one place in about 256), or after MAX_CHUNK bytes. No mark or script is needed for that, and an insertion changes
-only the chunks around it. A recipe is the ordered list of its chunks' identifiers. A chunk's identifier is the SHA-256 of its bytes, verified: all chunks
+only the chunks around it. A recipe is the ordered list of its chunks' identifiers. A chunk's identifier is the SHA-256 of its bytes (each written as the
+character of its number, in UTF-8), verified: all chunks
 that share one are compared byte by byte where they meet (equal chunks meet as one row before the shuffle), and an identifier that
 stood for two contents is replaced in every recipe by a digest of another kind. Texts are equal if their lists are equal; only lists, never whole
 texts, are grouped and joined. Texts are normalised, cut and hashed once, into a table from which the recipes and the chunks to verify are read.
 
 Defined cases: a null text is empty, and blank texts are all equal (their recipe is the empty list); of equal texts the one with
-most code points, then the smallest doc_id, stays, a null doc_id coming after all others; rows that agree in both count as one
-kept group, each keeping its own row; an empty table gives no rows; extra columns are ignored.
+most code points, then the smallest doc_id, stays, a null doc_id coming after all others; rows that agree in both, equal in text or not, cannot be told
+apart and all stay, unless a row number is given, which then decides; a row of the same id with fewer code points goes; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def duplicate_groups(docs: DataFrame, least: int = MIN_CHUNK, most: int = MAX_CH
     # the least of these structs stays: most code points, an id before none, the smallest id
     best = F.struct((-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *carried)
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(best).alias("_best"))
-    groups = groups.select("recipe", "group_size", F.col("_best.doc_id").alias("keep_id"), *([F.col("_best._row").alias("_keep")] if key else []))
+    groups = groups.select("recipe", "group_size", F.col("_best.doc_id").alias("keep_id"), (-F.col("_best.chars")).alias("_chars"), *([F.col("_best._row").alias("_keep")] if key else []))
     # from a written table, a list that a third of all rows share is a skewed side of the join, which Spark splits
     out = rows.join(store.written(groups, "groups"), "recipe")
-    kept = F.col("_row") == F.col("_keep") if key else F.expr("doc_id <=> keep_id")
+    kept = F.col("_row") == F.col("_keep") if key else F.expr("doc_id <=> keep_id AND n_chars = _chars")
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *([F.col("_row").alias(key)] if key else []))

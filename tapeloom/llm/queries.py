@@ -82,9 +82,9 @@ WITH n AS (
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
+       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AND n_chars = first_value(n_chars) OVER w AS kept,
        text_sha256
-FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
+FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST)
 """
 
 #: Targets by trying every set of capped sources that is a run of the lowest cap-to-weight levels.

@@ -2,7 +2,8 @@
 
 Every stage decides about rows, not ids: rows are numbered and written first, operators carry the number along, and decisions are joined by it.
 
-What a stage writes for itself is deleted when the next stage begins, as its result has been written by then.
+A stage decides when it is called, and returns a lazy result over its rows and its decisions, two tables that live as long as anything can read them. So
+stages may be chained without writing between them, and several pipelines may run in one session. All other tables of a stage go with the next one.
 
 Defined cases, for all stages: a null doc_id, and one that several rows share, is no other case than any; a null text is empty; rows that are equal in all
 columns are rows of their own until a deduplicating stage keeps one of them; an empty table gives an empty result; extra columns are dropped, whatever
@@ -28,11 +29,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def _stage(run: Stage) -> Stage:
     @wraps(run)
-    def within(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with store.stage_tables(spark):
-            return run(spark, docs, sf_dir)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        store.reclaim(spark, collect=True)
+        return run(spark, docs, sf_dir)
 
-    return within
+    return begun
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _where_decided(rows: DataFrame, decisions: DataFrame, keep: Column) -> DataFrame:
     """The documents whose row a decision keeps."""
-    return rows.join(decisions.where(keep).select(ROW), ROW, "left_semi").select(COLUMNS)
+    return rows.join(store.written(decisions.where(keep).select(ROW), "decisions"), ROW, "left_semi").select(COLUMNS)
 
 
 @_stage
@@ -75,7 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     rows = _numbered(docs)
     mixed = mixing.mixture(rows, key=ROW).select(ROW, F.explode("takes").alias("_take"), "size")
-    readings = mixed.where(2 * F.col("_take.words") >= F.col("size")).select(ROW, F.col("_take.time").alias("_time"))
+    readings = store.written(mixed.where(2 * F.col("_take.words") >= F.col("size")).select(ROW, F.col("_take.time").alias("_time")), "readings")
     return rows.join(readings, ROW).sort("_time", "doc_id", ROW).select(COLUMNS)
 
 

@@ -1,47 +1,7 @@
-"""The shared tables of the library (tapeloom.shared), and folders for tables that a step writes for itself."""
+"""The shared tables of the library (tapeloom.shared), under the name that the operators use."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from tapeloom.shared import delete, fresh_path, reclaim, shared_folder, written, written_to
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tapeloom.shared import delete, fresh_path, shared_folder, written_to
-
-__all__ = ["clear", "delete", "fresh_path", "shared_folder", "stage_tables", "written", "written_to"]
-
-_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
-
-
-#: By Spark application, the folder of the tables that its last stage wrote for itself.
-_left: dict[str, str] = {}
-
-
-@contextmanager
-def stage_tables(spark: SparkSession) -> Iterator[None]:
-    """What written() writes inside goes into one folder, which lives until the next stage of this application begins, or clear().
-
-    A stage's result is written before the next stage is called, so nothing reads the folder then.
-    """
-    clear(spark)
-    folder = _left[spark.sparkContext.applicationId] = fresh_path(spark, "stage")
-    before = _scratch.set(folder)
-    try:
-        yield
-    finally:
-        _scratch.reset(before)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete what the last stage wrote for itself; its result must have been written."""
-    if folder := _left.pop(spark.sparkContext.applicationId, None):
-        delete(spark, folder)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and return a scan of it: later uses do not recompute it, and a lost executor costs only a re-read."""
-    folder = _scratch.get()
-    return written_to(df, f"{folder}/{name}-{uuid.uuid4().hex}" if folder else fresh_path(df.sparkSession, name))
+__all__ = ["delete", "fresh_path", "reclaim", "shared_folder", "written", "written_to"]

@@ -21,13 +21,19 @@ def check_exact(rows, docs):
     groups = {}
     for d in docs:
         groups.setdefault(bare(d[1]), []).append(d)
-    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in rows)
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in rows)
     want = []
     for key, members in groups.items():
-        keep = min(members, key=lambda d: (-len(d[1] or ""), d[0] is None, d[0] or 0))[0]
-        want += [(str(d[0]), str(keep), len(members), hashlib.sha256(key.encode()).hexdigest()) for d in members]
+        order = lambda d: (-len(d[1] or ""), d[0] is None, d[0] or 0)
+        best = min(members, key=order)
+        want += [(str(d[0]), str(best[0]), len(members), order(d) == order(best), hashlib.sha256(key.encode()).hexdigest()) for d in members]
     assert got == sorted(want)
-    assert all(r.kept == (r.doc_id == r.keep_id) for r in rows)
+
+
+def test_one_id_with_two_spacings_keeps_the_longer_text(spark):
+    docs = [(5, "a b c", "en", "s", 5), (5, "abc", "en", "s", 3), (7, "a bc", "en", "s", 4), (None, "a b  c", "en", "s", 6), (None, "abc", "en", "s", 3), (8, "x y", "en", "s", 3), (None, "xy", "en", "s", 2), (8, "x\ty", "en", "s", 3)]
+    check_exact(chunk_dedup.duplicate_groups(spark.createDataFrame(docs, DOCS)).collect(), docs)
+    check_exact(chunk_dedup.duplicate_groups(spark.createDataFrame(docs[:3], DOCS)).collect(), docs[:3])
 
 
 def test_exact_odd_rows(spark, odd, none):

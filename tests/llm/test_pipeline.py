@@ -140,3 +140,47 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).collect()
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in got) == Counter((r.doc_id, r.start, r.ids_crc32) for r in docs.collect()) and got
     assert {r.sequence_id for r in got} == {r.sequence_id for r in docs.collect()}
+
+
+def test_stages_chained_without_writing_between(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    first = stages.quality_stage(spark, docs, folder)
+    both = stages.exact_dedup_stage(spark, first, folder)
+    stages.near_dedup_stage(spark, docs, folder)  # called only
+    want = plain_exact(rows_of(store.written(first, "t")))
+    same(rows_of(both), want)
+    same(rows_of(both.where("length(text) > 5")), [r for r in want if len(r[1] or "") > 5])
+    assert first.count() >= both.count() > 0
+
+
+def test_two_pipelines_in_one_session_and_one_that_fails(spark, folder, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    one = corpus_pipeline.run(spark, folder)
+    two = corpus_pipeline.run(spark, folder)
+    assert one.count() == two.count() > 0
+    one = two = None
+    left = store.reclaim(spark, collect=True)
+
+    def broken(spark, docs, sf_dir):
+        raise RuntimeError("midway")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("broken", broken)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, folder)
+    assert store.reclaim(spark, collect=True) <= left
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    fs = spark._jvm.org.apache.hadoop.fs
+    there = lambda path: fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(path))
+    table = store.written(spark.range(10), "kept")
+    path = table.inputFiles()[0].rpartition("/")[0]
+    derived = table.where("id > 4").groupBy().count()
+    table = None
+    store.reclaim(spark, collect=True)
+    assert there(path) and derived.first()[0] == 5
+    derived = None
+    other = [store.written(spark.range(5), "other") for _ in range(2)]  # the driver holds on to the last plan or two that it made
+    assert sum(o.count() for o in other) == 10
+    store.reclaim(spark, collect=True)
+    assert not there(path)
