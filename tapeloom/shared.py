@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,16 +58,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def reclaim(spark: SparkSession, collect: bool = False) -> int:
-    """Delete the tables that nothing reads any more, after a collection of garbage if asked for. Returns how many are left."""
-    if collect:
-        gc.collect()
-        spark._jvm.System.gc()
+    """Delete the tables that nothing reads any more. Returns how many are left.
+
+    With collect, garbage is collected before, for a second at most: plans that have just run are let go of by Spark's listeners a little later.
+    """
     _, tables = _made.get(spark.sparkContext.applicationId, (spark, []))
-    dead = [t for t in tables if t[0].refersTo(None)]
-    for _, path in dead:
-        delete(spark, path)
-    tables[:] = [t for t in tables if t not in dead]
-    return len(tables)
+    before, until = len(tables), time.monotonic() + 1
+    while True:
+        if collect and tables:
+            gc.collect()
+            spark._jvm.System.gc()
+        dead = [t for t in tables if t[0].refersTo(None)]
+        for _, path in dead:
+            delete(spark, path)
+        tables[:] = [t for t in tables if t not in dead]
+        if not collect or not tables or len(tables) < before or time.monotonic() > until:
+            return len(tables)
+        time.sleep(0.2)
 
 
 @atexit.register
