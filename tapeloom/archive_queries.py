@@ -243,7 +243,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> Archive:
 
     def make():
         source, archive = _archive(spark, sf_dir), Archive(f"{fresh_path(spark, 'merged')}", spark)
-        archive.commit({t: source.read(t) for t in ("daily_prices", "symbol_summary")})
+        archive.commit({"daily_prices": source.read("daily_prices")})
         local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("timestamp").cast("timestamp_ntz")).cast("date")
         days = ticks(spark, sf_dir).withColumn("day", local).where("day >= DATE'2024-01-20'").drop("event_id")
         last = days.groupBy("ticker", "day").agg(F.max_by(F.struct("*"), "timestamp").alias("r")).select("r.*").drop("day")

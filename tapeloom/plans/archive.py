@@ -14,10 +14,11 @@ from tapeloom.sources.provider import normalized_symbols
 
 
 def archive_statistics(archive: Archive) -> dict[str, object]:
-    archive.require()
-    raw = archive.read("prices").agg(F.count("*").alias("raw_rows"))
-    daily = archive.read("daily_prices").agg(F.countDistinct("ticker").alias("symbols"), F.count("*").alias("daily_rows"), F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"))
-    return {**daily.crossJoin(raw).first().asDict(), "database_bytes": archive.bytes()}  # one row each
+    """Added up from the runs' summaries; daily bars are read only where runs meet."""
+    now = archive.require().snapshot()
+    day = lambda c: F.date_from_unix_date(c.cast("int"))
+    daily = now.summaries("daily_prices").agg(F.countDistinct("ticker").alias("symbols"), F.coalesce(F.sum("rows"), F.lit(0)).alias("daily_rows"), day(F.min("since")).alias("first_date"), day(F.max("until")).alias("last_date"))
+    return {**daily.first().asDict(), "raw_rows": sum(e.rows for e in now.entries("prices")), "database_bytes": archive.bytes()}
 
 
 def list_archive_symbols(archive: Archive) -> list[str]:
@@ -40,11 +41,7 @@ def load_daily_prices(archive: Archive, ticker: str, *, start: str | None = None
     name = ticker.strip().upper()
     if not ticker_of(f"CurrentData({name}).csv"):
         raise ValueError("Ticker contains unsupported characters")
-    rows = archive.read("daily_prices").where(F.col("ticker") == name)
-    if start:
-        rows = rows.where(F.col("trading_date") >= F.lit(as_date(start, "Start date")))
-    if end:
-        rows = rows.where(F.col("trading_date") <= F.lit(as_date(end, "End date")))
+    rows = archive.read("daily_prices", [name], as_date(start or None, "Start date"), as_date(end or None, "End date"))
     out = rows.select(F.col("trading_date").cast("timestamp").alias("Date"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
     if out.isEmpty():
         raise ValueError(f"No daily prices found for ticker {name}")

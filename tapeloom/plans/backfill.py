@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import clock
 from tapeloom.operators import upsert, validate
-from tapeloom.plans.catalog import Archive, Patch
+from tapeloom.plans.catalog import Append, Archive, Upsert
 from tapeloom.sources.provider import FEEDS, normalized_symbols
 
 
@@ -48,21 +48,19 @@ def coverage_rows(requested: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def _merge_job(archive: Archive, spark: SparkSession, bars: DataFrame, requested: list[str], feed: str, start: date, end: date) -> tuple[int, set[str]]:
-    """Merge one job's bars. They are read once, and only the months they fall in are written again."""
+    """Merge one job's bars. They are read once, and nothing but them is written."""
     with archive.landed(bars) as landed:
         batch = validate.provider_bars(landed, feed)
         symbols = spark.createDataFrame([(s,) for s in requested], "ticker string")
         counts = {r.ticker: r["count"] for r in batch.groupBy("ticker").count().collect()}  # of one batch of symbols
-        stamped = batch.withColumn("fetched_at", F.current_timestamp())
         job = [F.lit(feed).alias("feed"), F.lit(start).alias("start_date"), F.lit(end).alias("end_date")]
         fresh = coverage_rows(symbols, batch).select("ticker", *job, "row_count", F.current_timestamp().alias("completed_at"))
         row = spark.range(1).select(F.current_timestamp().alias("completed_at"), *job, F.lit(len(requested)).cast("long").alias("symbols_requested"), F.lit(len(counts)).cast("long").alias("symbols_with_bars"), F.lit(sum(counts.values())).cast("long").alias("rows_merged"))
         changes = {
-            "provider_minute_coverage": Patch(fresh, lambda rows: upsert.upsert(rows, fresh, ["ticker", "feed", "start_date", "end_date"])),
-            "provider_minute_update_log": Patch(row, lambda rows: rows.unionByName(row)),
+            "provider_minute_coverage": Upsert(fresh), "provider_minute_update_log": Append(row),
         }
         if counts:
-            changes["provider_minute_bars"] = Patch(batch, lambda rows: upsert.upsert(rows, stamped, ["feed", "ticker", "timestamp"]))
+            changes["provider_minute_bars"] = Upsert(batch.withColumn("fetched_at", F.current_timestamp()))
         archive.commit(changes)
     return sum(counts.values()), set(counts)
 
@@ -108,6 +106,9 @@ def backfill_minute_bars(archive: Archive, symbols: list[str], client, *, start:
 
 
 def minute_archive_statistics(archive: Archive) -> dict[str, object]:
-    archive.require()
-    row = archive.read("provider_minute_bars").agg(F.count("*").alias("rows"), F.countDistinct("ticker").alias("symbols"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp")).first()
-    return {**row.asDict(), "coverage_records": archive.read("provider_minute_coverage").count(), "database_bytes": archive.bytes()}
+    """Added up from the runs' summaries; bars are read only where runs meet."""
+    now = archive.require().snapshot()
+    instant = lambda c: F.timestamp_micros(c)
+    row = now.summaries("provider_minute_bars").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.countDistinct("ticker").alias("symbols"), instant(F.min("since")).alias("first_timestamp"), instant(F.max("until")).alias("last_timestamp")).first()
+    covered = now.summaries("provider_minute_coverage").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    return {**row.asDict(), "coverage_records": covered, "database_bytes": archive.bytes()}

@@ -8,9 +8,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.clock import as_date
+from tapeloom.functions.clock import as_date, day_bounds
 from tapeloom.operators import bars, features
-from tapeloom.plans.catalog import Archive
+from tapeloom.plans.catalog import Archive, Upsert
+from tapeloom.shared import written
 from tapeloom.sources.provider import FEEDS
 
 
@@ -59,19 +60,16 @@ def build_research_dataset(archive: Archive, *, interval_minutes: int = 15, feed
         raise ValueError("Start date must not be after end date")
     if not archive.has("provider_minute_bars"):
         raise ValueError("The archive does not contain one-minute provider bars")
-    session = bars.session_minutes(archive.read("provider_minute_bars"), feed, first, last)
-    featured = features.research_features(bars.intraday_bars(session, interval_minutes), interval_minutes).persist()
-    try:
-        found = summary(featured).first()
-        if not found["bars"]:
-            raise ValueError("No regular-session minute bars matched the requested selection")
-        meta = archive.read("research_dataset_metadata").where(F.col("interval_minutes") != interval_minutes)
-        row = archive.spark.range(1).select(F.lit(interval_minutes).alias("interval_minutes"), F.lit(feed).alias("feed"), F.lit(found["first_session"]).alias("start_date"), F.lit(found["last_session"]).alias("end_date"), F.lit(found["bars"]).alias("bar_count"), F.current_timestamp().alias("built_at"))
-        # rows sorted within files take the place of an index: row groups hold narrow ranges
-        ordered = featured.repartition("ticker").sortWithinPartitions("ticker", "session_date", "timestamp")
-        archive.commit({table: ordered, "research_dataset_metadata": meta.unionByName(row)})
-    finally:
-        featured.unpersist()
+    since, until = first and day_bounds(first, first)[0], last and day_bounds(last, last)[1]
+    session = bars.session_minutes(archive.read("provider_minute_bars", since=since, until=until), feed, first, last)
+    featured = written(features.research_features(bars.intraday_bars(session, interval_minutes), interval_minutes), "features")
+    found = summary(featured).first()
+    if not found["bars"]:
+        raise ValueError("No regular-session minute bars matched the requested selection")
+    row = archive.spark.range(1).select(F.lit(interval_minutes).alias("interval_minutes"), F.lit(feed).alias("feed"), F.lit(found["first_session"]).alias("start_date"), F.lit(found["last_session"]).alias("end_date"), F.lit(found["bars"]).alias("bar_count"), F.current_timestamp().alias("built_at"))
+    # rows sorted within files take the place of an index: row groups hold narrow ranges
+    order = ("ticker", "session_date", "timestamp")
+    archive.commit({table: featured.repartitionByRange(*order).sortWithinPartitions(*order), "research_dataset_metadata": Upsert(row)})
     return ResearchDatasetResult(interval_minutes, *[found[c] for c in ("bars", "feature_ready_rows", "technical_ready_rows", "symbols", "sessions", "first_session", "last_session")], table)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators import upsert, validate
-from tapeloom.plans.catalog import Archive, Patch
+from tapeloom.plans.catalog import Append, Archive, Upsert
 
 
 def log_rows(batch: DataFrame) -> DataFrame:
@@ -18,8 +18,8 @@ def log_rows(batch: DataFrame) -> DataFrame:
 def merge_provider_daily_bars(archive: Archive, bars: DataFrame) -> dict[str, int]:
     """Keep provider bars in a table of their own, and let them replace the same symbol and New York date of the daily table.
 
-    bars is read once, into the archive's landing folder; what is checked is what is merged. All tables change in one commit, and of the daily tables
-    only the years that bars falls in. Two provider bars of one date both go into the daily table.
+    bars is read once, into the archive's landing folder; what is checked is what is merged. All tables change in one commit, which writes the batch's rows
+    and nothing else. Two provider bars of one date both go into the daily table. Merges may run at the same time: all survive, the later counts.
     """
     archive.require()
     validate.require_columns(bars.columns, validate.PROVIDER_COLUMNS, "Missing provider columns")
@@ -27,19 +27,9 @@ def merge_provider_daily_bars(archive: Archive, bars: DataFrame) -> dict[str, in
         batch = validate.provider_bars(landed)
         counts = batch.agg(F.count("*").alias("rows_merged"), F.countDistinct("ticker").alias("symbols_updated")).first()
         if counts.rows_merged:
-            daily = upsert.provider_as_daily(batch)
             archive.commit({
-                "provider_daily_bars": Patch(batch, lambda rows: upsert.upsert(rows, batch.withColumn("fetched_at", F.current_timestamp()), ["ticker", "timestamp"])),
-                "daily_prices": Patch(daily, lambda rows: upsert.upsert(rows, daily, ["ticker", "trading_date"])),
-            } | _after_merge(archive, batch, daily))
+                "provider_daily_bars": Upsert(batch.withColumn("fetched_at", F.current_timestamp())),
+                "daily_prices": Upsert(upsert.provider_as_daily(batch)),
+                "provider_update_log": Append(log_rows(batch).withColumn("updated_at", F.current_timestamp()).select("updated_at", "feed", "first_timestamp", "last_timestamp", "rows_merged", "symbols_updated")),
+            })
     return counts.asDict()
-
-
-def _after_merge(archive: Archive, batch: DataFrame, daily: DataFrame) -> dict[str, DataFrame]:
-    """The summary, refreshed for the touched tickers, and the log with rows of this merge."""
-    merged = upsert.upsert(archive.read("daily_prices"), daily, ["ticker", "trading_date"])
-    log = archive.read("provider_update_log")
-    return {
-        "symbol_summary": upsert.refreshed_summary(archive.read("symbol_summary"), merged, batch.select("ticker").distinct()),
-        "provider_update_log": log.unionByName(log_rows(batch).withColumn("updated_at", F.current_timestamp()).select(log.columns)),
-    }
