@@ -1,12 +1,17 @@
 """Queries that go through the sources, archives, merges, backfills and the walk-forward evaluation themselves, and the same rows in DuckDB SQL.
 
-The driver's events are written as the legacy files, provider pages or minute bars that those operators read. An archive that several queries look at is
-built once for each session and folder of tables.
+The driver's events are written as the legacy files, provider pages or minute bars that those operators read. Each query does all of its own work, returns
+what it found as a written table, and leaves neither files nor archives behind. Rows that the operators must refuse are classified first, and left out where valid
+ones are asked for.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from datetime import date, timedelta
 from functools import partial
 from pathlib import Path
 
@@ -14,56 +19,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators import features, validate
+from tapeloom.operators.bars import daily_bars
 from tapeloom.plans import archive as archives
 from tapeloom.plans import backfill, dataset, merge, walkforward
-from tapeloom.plans.catalog import Archive
+from tapeloom.plans.catalog import SCHEMAS, Archive, Upsert
 from tapeloom.queries import FEATURED, LABELLED, REASONED, TICKS, featured, query, raw_rows, rounded, ticks
-from tapeloom.shared import fresh_path
+from tapeloom.shared import delete, fresh_path, written
 from tapeloom.sources import legacy, prices, provider
 
-_made: dict[tuple, object] = {}
 
+@contextmanager
+def _folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder in shared storage, deleted after the block."""
+    path = fresh_path(spark, name)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
 
-def _once(spark: SparkSession, name: str, sf_dir: str, make):
-    """What make() gives, once for each session and folder of tables."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
+
+@contextmanager
+def _local_folder(spark: SparkSession, name: str) -> Iterator[Path]:
+    """The same for sources that are read as mounted files."""
+    with _folder(spark, name) as path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+            raise ValueError("legacy and price files are read from mounted folders: name one in spark.checkpoint.dir")
+        local = Path(place.toUri().getPath())
+        local.mkdir(parents=True)
+        yield local
 
 
 def _ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
+def _valid(rows: DataFrame) -> DataFrame:
+    return validate.classify(rows).where("reason IS NULL").drop("reason")
+
+
 # --- legacy files and the archive built of them ------------------------------------------------------------------------------------------
 
 
-def _legacy_folder(spark: SparkSession, sf_dir: str) -> Path:
+def _legacy_files(spark: SparkSession, sf_dir: str, folder: Path) -> Path:
     """raw_rows() as one CurrentData(TICKER).csv file for each ticker, one file without the required columns, and one of another name."""
+    rows = raw_rows(spark, sf_dir).select(
+        F.upper("ticker").alias("part"), F.upper("ticker").alias("Ticker"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("DateTime"), F.col("open").alias("Open"), F.col("high").alias("High"),
+        F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"),
+    )
+    rows.repartition("part").write.partitionBy("part").option("header", True).csv(f"file://{folder}/tickers")
+    for part in folder.glob("tickers/part=*/*.csv"):
+        part.rename(part.with_name(f"CurrentData({part.parent.name.removeprefix('part=')}).csv"))
+    (folder / "CurrentData(NONE).csv").write_text("DateTime,Open\n2024-01-02,1\n")
+    (folder / "notes.csv").write_text("x\n")
+    return folder
 
-    def make() -> Path:
-        folder = Path(tempfile.mkdtemp(prefix="legacy-"))
-        rows = raw_rows(spark, sf_dir).select(
-            F.upper("ticker").alias("Ticker"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("DateTime"), F.col("open").alias("Open"), F.col("high").alias("High"),
-            F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"),
-        )
-        for r in rows.select("Ticker").distinct().collect():  # one file for each ticker
-            prices.save_csv(rows.where(F.col("Ticker") == r.Ticker), folder / r.Ticker.lower() / f"CurrentData({r.Ticker}).csv")
-        (folder / "CurrentData(NONE).csv").write_text("DateTime,Open\n2024-01-02,1\n")
-        (folder / "notes.csv").write_text("x\n")
-        return folder
-
-    return _once(spark, "legacy", sf_dir, make)
 
+@contextmanager
+def _built(spark: SparkSession, sf_dir: str) -> Iterator[Archive]:
+    """An archive built from legacy files."""
+    with _local_folder(spark, "legacy") as files, _folder(spark, "archive") as place:
+        legacy.build_archive(_legacy_files(spark, sf_dir, files), place, spark=spark)
+        yield Archive(place, spark)
 
-def _archive(spark: SparkSession, sf_dir: str) -> Archive:
-    def make() -> Archive:
-        place = Path(tempfile.mkdtemp(prefix="archive-")) / "db"
-        legacy.build_archive(_legacy_folder(spark, sf_dir), place, spark=spark)
-        return Archive(place, spark)
 
-    return _once(spark, "archive", sf_dir, make)
+@contextmanager
+def _committed(spark: SparkSession, sf_dir: str) -> Iterator[Archive]:
+    """An archive of the same valid prices and their days, committed as they are."""
+    with _folder(spark, "archive") as place:
+        archive = Archive(place, spark)
+        valid = _valid(raw_rows(spark, sf_dir)).withColumn("ticker", F.upper("ticker")).withColumn("adjusted_close", F.col("close"))
+        archive.commit({"prices": valid.select(*[f.split()[0] for f in SCHEMAS["prices"].split(", ")])})
+        archive.commit({"daily_prices": Upsert(daily_bars(archive.read("prices")))})
+        yield archive
 
 
 VALID = f"""{REASONED},
@@ -75,97 +103,122 @@ daily AS (
 
 @query("SELECT count(DISTINCT event_type) + 1 AS price_files FROM events")
 def legacy_inspection(spark, sf_dir):
-    found = legacy.inspect_legacy_archive(_legacy_folder(spark, sf_dir))
+    with _local_folder(spark, "legacy") as files:
+        found = legacy.inspect_legacy_archive(_legacy_files(spark, sf_dir, files))
     return spark.createDataFrame([(found.price_file_count,)], "price_files long")
 
 
 @query(f"{VALID} SELECT ticker, timestamp, open, high, low, close, close AS adjusted_close, volume FROM valid")
 def legacy_prices(spark, sf_dir):
-    return _ntz(_archive(spark, sf_dir).read("prices").drop("source_file"), "timestamp")
+    with _built(spark, sf_dir) as archive:
+        return written(_ntz(archive.read("prices").drop("source_file"), "timestamp"), "result")
 
 
 @query(f"{VALID} SELECT ticker, trading_date, open, high, low, close, close AS adjusted_close, volume, source_rows FROM daily")
 def legacy_daily(spark, sf_dir):
-    return _archive(spark, sf_dir).read("daily_prices")
+    with _built(spark, sf_dir) as archive:
+        return written(archive.read("daily_prices"), "result")
 
 
 @query(f"""{VALID} SELECT 'CurrentData(' || upper(ticker) || ').csv' AS file, upper(ticker) AS ticker, count(*) FILTER (reason IS NULL) AS imported_rows, count(*) FILTER (reason IS NOT NULL) AS rejected_rows, NULL::VARCHAR AS error FROM reasoned GROUP BY ticker
   UNION ALL SELECT 'CurrentData(NONE).csv', 'NONE', 0, 0, 'ValueError: Missing columns: High, Low, Close, Volume'""")
 def legacy_import_log(spark, sf_dir):
-    log = _archive(spark, sf_dir).read("import_log")
-    return log.select(F.regexp_extract("source_file", "[^/]+$", 0).alias("file"), "ticker", "imported_rows", "rejected_rows", "error")
+    with _built(spark, sf_dir) as archive:
+        log = archive.read("import_log")
+        return written(log.select(F.regexp_extract("source_file", "[^/]+$", 0).alias("file"), "ticker", "imported_rows", "rejected_rows", "error"), "result")
 
 
 @query(f"{VALID} SELECT upper(ticker) AS ticker, reason, count(*) AS rejected_rows FROM reasoned WHERE reason IS NOT NULL GROUP BY ALL")
 def legacy_rejections(spark, sf_dir):
-    return _archive(spark, sf_dir).read("import_rejections").select("ticker", "reason", "rejected_rows")
+    with _built(spark, sf_dir) as archive:
+        return written(archive.read("import_rejections").select("ticker", "reason", "rejected_rows"), "result")
 
 
 @query(f"{VALID} SELECT count(DISTINCT ticker) AS symbols, count(*) AS daily_rows, min(trading_date) AS first_date, max(trading_date) AS last_date, (SELECT count(*) FROM valid) AS raw_rows FROM daily")
 def archive_statistics(spark, sf_dir):
-    s = archives.archive_statistics(_archive(spark, sf_dir))
+    with _committed(spark, sf_dir) as archive:
+        s = archives.archive_statistics(archive)
     names = ("symbols", "daily_rows", "first_date", "last_date", "raw_rows")
     return spark.createDataFrame([tuple(s[n] for n in names)], "symbols long, daily_rows long, first_date date, last_date date, raw_rows long")
 
 
 @query("SELECT DISTINCT upper(event_type) AS ticker FROM events")
 def archive_symbols(spark, sf_dir):
-    return spark.createDataFrame([(s,) for s in archives.list_archive_symbols(_archive(spark, sf_dir))], "ticker string")
+    with _committed(spark, sf_dir) as archive:
+        return spark.createDataFrame([(s,) for s in archives.list_archive_symbols(archive)], "ticker string")
 
 
 @query(f"{VALID} SELECT CAST(min(last) + 1 AS VARCHAR) AS next_start FROM (SELECT max(trading_date) AS last FROM daily WHERE ticker IN ('CLICK', 'VIEW') GROUP BY ticker)")
 def archive_next_update(spark, sf_dir):
-    return spark.createDataFrame([(archives.next_update_start(_archive(spark, sf_dir), ["click", " VIEW"]),)], "next_start string")
+    with _committed(spark, sf_dir) as archive:
+        return spark.createDataFrame([(archives.next_update_start(archive, ["click", " VIEW"]),)], "next_start string")
 
 
 @query(f"{VALID} SELECT CAST(trading_date AS TIMESTAMP) AS \"Date\", open AS \"Open\", high AS \"High\", low AS \"Low\", close AS \"Close\", volume AS \"Volume\" FROM daily WHERE ticker = 'CLICK' AND trading_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 def load_daily(spark, sf_dir):
-    return _ntz(archives.load_daily_prices(_archive(spark, sf_dir), "click", start="2024-01-05", end="2024-01-20"), "Date")
+    with _committed(spark, sf_dir) as archive:
+        return written(_ntz(archives.load_daily_prices(archive, "click", start="2024-01-05", end="2024-01-20"), "Date"), "result")
+
 
+#: ticks that the row classifier lets through.
+GOOD = f"""{TICKS},
+good AS (
+  SELECT * FROM ticks WHERE open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0 AND high >= greatest(open, low, close) AND low <= least(open, high, close)
+    AND ticker IS NOT NULL AND timestamp IS NOT NULL)"""
 
-@query(f"WITH {TICKS} SELECT timestamp AS \"Date\", open AS \"Open\", high AS \"High\", low AS \"Low\", close AS \"Close\", volume AS \"Volume\" FROM ticks WHERE ticker = 'click'")
+
+def good_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valid(ticks(spark, sf_dir)).where("ticker IS NOT NULL")
+
+
+@query(f"WITH {GOOD} SELECT timestamp AS \"Date\", last(open ORDER BY ticker) AS \"Open\", last(high ORDER BY ticker) AS \"High\", last(low ORDER BY ticker) AS \"Low\", last(close ORDER BY ticker) AS \"Close\", last(volume ORDER BY ticker) AS \"Volume\" FROM good GROUP BY timestamp")
 def csv_round_trip(spark, sf_dir):
-    rows = ticks(spark, sf_dir).where("ticker = 'click'").select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(" timestamp "), *[F.col(c).alias(c.upper()) for c in ("open", "high", "low", "close", "volume")])
-    saved = prices.save_csv(rows, Path(tempfile.mkdtemp(prefix="prices-")) / "click.csv")
-    return _ntz(prices.load_prices(saved, spark), "Date")
+    """All bars as one series, one of each instant, to a price file and back."""
+    one = good_ticks(spark, sf_dir).groupBy("timestamp").agg(*[F.max_by(c, "ticker").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    rows = one.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(" timestamp "), *[F.col(c).alias(c.upper()) for c in ("open", "high", "low", "close", "volume")])
+    with _local_folder(spark, "prices") as folder:
+        return written(_ntz(prices.load_prices(prices.save_csv(rows, folder / "all.csv"), spark), "Date"), "result")
 
 
 # --- provider bars, merges and backfills -------------------------------------------------------------------------------------------------
 
 
-def _page(sf_dir: str, parameters: dict) -> dict:
-    """A page of events as the provider answers: at most `limit` bars of the symbols within [start, end), the next page named by where it begins."""
-    import pyarrow.compute as pc
-    import pyarrow.parquet as pq
+def _saved_page(folder: str, parameters: dict) -> dict:
+    """A page as it lies in the folder: one file for each symbol and day, which is also the page's token."""
+    from pyarrow import fs
 
-    wanted = [s.lower() for s in parameters["symbols"].split(",")]
-    low, high = (str(parameters[k])[:10] for k in ("start", "end"))
-    rows = pq.read_table(f"{sf_dir}/events.parquet", columns=["event_id", "ts", "event_type", "value"], filters=[("event_type", "in", wanted)])
-    day = pc.strftime(rows["ts"], format="%Y-%m-%d")
-    rows = rows.filter(pc.and_(pc.greater_equal(day, low), pc.less(day, high))).sort_by([("event_type", "ascending"), ("ts", "ascending")])
-    begin = int(parameters.get("page_token") or 0)
+    store, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+    day, last = str(parameters.get("page_token") or parameters["start"])[:10], str(parameters["end"])[:10]
     bars: dict[str, list] = {}
-    for r in rows.slice(begin, parameters["limit"]).to_pylist():
-        close = r["value"] + float(r["event_id"] % 5) * 0.25
-        bar = {"t": r["ts"].isoformat() + "Z", "o": r["value"], "h": max(r["value"], close) + 0.5, "l": min(r["value"], close) * 0.5, "c": close, "v": 1 + r["event_id"] % 50, "n": 1}
-        bars.setdefault(r["event_type"].upper(), []).append(bar)
-    end = begin + parameters["limit"]
-    return {"bars": bars, "next_page_token": str(end) if end < len(rows) else None}
+    for symbol in parameters["symbols"].split(","):
+        for found in store.get_file_info(fs.FileSelector(f"{root}/symbol={symbol}/day={day}", allow_not_found=True)):
+            if found.base_name.startswith("part-"):
+                with store.open_input_stream(found.path) as stream:
+                    bars.setdefault(symbol, []).extend(json.loads(line) for line in stream.read().splitlines())
+    following = (date.fromisoformat(day) + timedelta(days=1)).isoformat()
+    return {"bars": bars, "next_page_token": following if following < last else None}
 
 
 _BAR = "upper(ticker) AS ticker, timestamp, open, high, low, close, volume, trade_count, vwap"
 
 
-@query(f"WITH {TICKS} SELECT {_BAR}, 'sip' AS feed FROM ticks WHERE ticker IN ('click', 'view') AND timestamp >= DATE '2024-01-08' AND timestamp < DATE '2024-01-15'")
+@query(f"WITH {GOOD} SELECT {_BAR}, 'sip' AS feed FROM good")
 def provider_fetch(spark, sf_dir):
-    client = provider.MarketDataClient(get=partial(_page, sf_dir), spark=spark)
-    return _ntz(client.fetch_minute_bars([" click", "VIEW", "click"], start="2024-01-08", end="2024-01-15", feed="sip", batch_size=1), "timestamp")
-
-
-@query(f"WITH {TICKS} SELECT count(*) AS rows, CAST(min(open) AS DOUBLE) AS least_open FROM ticks")
+    """All bars, through pages that Spark has written, one for each symbol and day."""
+    bar = F.struct(F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), F.col("trade_count").alias("n"))
+    pages = good_ticks(spark, sf_dir).select(F.upper("ticker").alias("symbol"), F.col("timestamp").cast("date").cast("string").alias("day"), F.to_json(bar).alias("value"))
+    with _folder(spark, "pages") as folder:
+        pages.repartition("symbol", "day").write.partitionBy("symbol", "day").text(folder)
+        symbols = [r[0] for r in pages.select("symbol").distinct().collect()]  # those asked for
+        days = pages.agg(F.min("day"), F.date_add(F.max("day").cast("date"), 1).cast("string")).first()
+        client = provider.MarketDataClient(get=partial(_saved_page, folder), spark=spark)
+        return written(_ntz(client.fetch_minute_bars(symbols, start=days[0], end=days[1], feed="sip", batch_size=1), "timestamp"), "result")
+
+
+@query(f"WITH {GOOD} SELECT count(*) AS rows, CAST(min(open) AS DOUBLE) AS least_open FROM good")
 def provider_validation(spark, sf_dir):
-    """The checks pass over all bars, and name what is wrong with bars that have one defect each."""
-    bars = ticks(spark, sf_dir).drop("event_id")
+    """The checks pass over all valid bars, and name what is wrong with bars that have one defect each."""
+    bars = good_ticks(spark, sf_dir).drop("event_id")
     checked = validate.provider_bars(bars, "sip")
     defects = (
         ("open", F.lit(None).cast("double"), "missing"), ("low", F.lit(-1.0), "non-positive"), ("volume", F.lit(-1.0), "negative volume"), ("high", F.col("low"), "inconsistent high"),
@@ -183,94 +236,144 @@ def provider_validation(spark, sf_dir):
 
 
 class _Ticks:
-    """A client that gives ticks of the symbols and days asked for."""
+    """A client that gives valid ticks of the symbols and days asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.bars = ticks(spark, sf_dir).drop("event_id").withColumn("ticker", F.upper("ticker"))
+        self.bars = good_ticks(spark, sf_dir).drop("event_id").withColumn("ticker", F.upper("ticker"))
 
     def fetch_minute_bars(self, symbols, *, start, end, feed, batch_size):
         return self.bars.where(F.col("ticker").isin(symbols) & (F.col("timestamp") >= F.lit(start).cast("timestamp")) & (F.col("timestamp") < F.lit(end).cast("timestamp")))
 
 
-def _backfilled(spark: SparkSession, sf_dir: str) -> tuple[Archive, list]:
-    """Two runs over overlapping symbols; the second fetches only what the first left out."""
+@contextmanager
+def _backfilled(spark: SparkSession, sf_dir: str) -> Iterator[tuple[Archive, list]]:
+    """Two runs over all bars: the first for two symbols, the second for all and one without bars; it fetches what the first left out."""
+    client = _Ticks(spark, sf_dir)
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("timestamp").cast("timestamp_ntz")).cast("date")
+    span = client.bars.agg(F.sort_array(F.collect_set("ticker")).alias("tickers"), F.min(local).alias("a"), F.max(local).alias("b")).first()  # a few event types
+    with _folder(spark, "minutes") as place:
+        archive = Archive(place, spark)
+        archive.commit({"import_log": spark.createDataFrame([], SCHEMAS["import_log"])})
+        options = dict(start=span.a, end=span.b, feed="sip", batch_size=2, chunk_days=31)
+        runs = [backfill.backfill_minute_bars(archive, s, client, **options) for s in (span.tickers[:2], sorted([*span.tickers, "ZZ.NONE"]))]
+        yield archive, runs
 
-    def make():
-        archive = Archive(f"{fresh_path(spark, 'minutes')}", spark)
-        archive.commit({"import_log": archive.spark.createDataFrame([], "source_file string, ticker string, imported_rows long, rejected_rows long, error string")})
-        span = dict(start="2024-01-05", end="2024-01-18", feed="sip", batch_size=1, chunk_days=7)
-        runs = [backfill.backfill_minute_bars(archive, s, _Ticks(spark, sf_dir), **span) for s in (["CLICK", "VIEW"], ["click", "view", "PURCHASE", "NOTHING"])]
-        return archive, runs
 
-    return _once(spark, "backfilled", sf_dir, make)
-
-
-_SPAN = f"""WITH {TICKS},
-span AS (
-  SELECT *, CAST(timezone('America/New_York', timezone('UTC', timestamp)) AS DATE) AS day FROM ticks WHERE ticker IN ('click', 'view', 'purchase')),
-inside AS (SELECT * FROM span WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-18')"""
+_SPAN = f"""WITH {GOOD},
+inside AS (SELECT *, CAST(timezone('America/New_York', timezone('UTC', timestamp)) AS DATE) AS day FROM good),
+span AS (SELECT min(day) AS a, max(day) AS b, CAST(ceil((max(day) - min(day) + 1) / 31.0) AS INTEGER) AS n FROM inside),
+ranges AS (SELECT a + CAST(31 * k AS INTEGER) AS start_date, least(a + CAST(31 * k + 30 AS INTEGER), b) AS end_date FROM span, range(0, 1000) AS r(k) WHERE k < n),
+names AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS place FROM (SELECT DISTINCT upper(ticker) AS ticker FROM inside))"""
 
 
 @query(f"{_SPAN} SELECT {_BAR}, 'sip' AS feed FROM inside")
 def minute_backfill(spark, sf_dir):
-    return _ntz(_backfilled(spark, sf_dir)[0].read("provider_minute_bars").drop("fetched_at"), "timestamp")
+    with _backfilled(spark, sf_dir) as (archive, _):
+        return written(_ntz(archive.read("provider_minute_bars").drop("fetched_at"), "timestamp"), "result")
 
 
 @query(f"""{_SPAN},
-jobs AS (SELECT t.ticker, d.start_date, d.start_date + 6 AS end_date FROM (VALUES ('click'), ('view'), ('purchase'), ('nothing')) t(ticker), (VALUES (DATE '2024-01-05'), (DATE '2024-01-12')) d(start_date))
-SELECT upper(j.ticker) AS ticker, 'sip' AS feed, start_date, CAST(end_date AS DATE) AS end_date, count(i.timestamp) AS row_count
-FROM jobs j LEFT JOIN inside i ON i.ticker = j.ticker AND day BETWEEN start_date AND end_date GROUP BY ALL""")
+jobs AS (SELECT ticker, start_date, end_date FROM (SELECT ticker FROM names UNION ALL SELECT 'ZZ.NONE'), ranges)
+SELECT j.ticker, 'sip' AS feed, start_date, end_date, count(i.timestamp) AS row_count
+FROM jobs j LEFT JOIN inside i ON upper(i.ticker) = j.ticker AND day BETWEEN start_date AND end_date GROUP BY ALL""")
 def minute_coverage(spark, sf_dir):
-    return _backfilled(spark, sf_dir)[0].read("provider_minute_coverage").drop("completed_at")
+    with _backfilled(spark, sf_dir) as (archive, _):
+        return written(archive.read("provider_minute_coverage").drop("completed_at"), "result")
 
 
-@query(f"{_SPAN} SELECT 4 AS first_jobs, 0 AS first_skipped, (SELECT count(*) FROM inside WHERE ticker <> 'purchase') AS first_rows, 4 AS second_jobs, 4 AS second_skipped, (SELECT count(*) FROM inside WHERE ticker = 'purchase') AS second_rows")
+@query(f"""{_SPAN},
+c AS (SELECT n, (SELECT count(*) FROM names) AS tickers, (SELECT count(*) FROM inside JOIN names ON names.ticker = upper(inside.ticker) WHERE place <= 2) AS early, (SELECT count(*) FROM inside) AS total FROM span)
+SELECT n AS first_jobs, 0 AS first_skipped, early AS first_rows, CAST(n * (ceil((tickers + 1) / 2.0) - 1) AS INTEGER) AS second_jobs, n AS second_skipped, total - early AS second_rows FROM c""")
 def minute_backfill_runs(spark, sf_dir):
-    a, b = _backfilled(spark, sf_dir)[1]
-    row = (a.jobs_completed, a.jobs_skipped, a.rows_merged, b.jobs_completed, b.jobs_skipped, b.rows_merged)
+    with _backfilled(spark, sf_dir) as (_, (a, b)):
+        row = (a.jobs_completed, a.jobs_skipped, a.rows_merged, b.jobs_completed, b.jobs_skipped, b.rows_merged)
     return spark.createDataFrame([row], "first_jobs int, first_skipped int, first_rows long, second_jobs int, second_skipped int, second_rows long")
 
 
-@query(f"{_SPAN} SELECT count(*) AS rows, count(DISTINCT ticker) AS symbols, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp, CAST(8 AS BIGINT) AS coverage_records FROM inside")
+@query(f"{_SPAN} SELECT count(*) AS rows, count(DISTINCT ticker) AS symbols, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp, CAST((SELECT n * ((SELECT count(*) FROM names) + 1) FROM span) AS BIGINT) AS coverage_records FROM inside")
 def minute_statistics(spark, sf_dir):
-    s = backfill.minute_archive_statistics(_backfilled(spark, sf_dir)[0])
+    with _backfilled(spark, sf_dir) as (archive, _):
+        s = backfill.minute_archive_statistics(archive)
     names = ("rows", "symbols", "first_timestamp", "last_timestamp", "coverage_records")
     return _ntz(spark.createDataFrame([tuple(s[n] for n in names)], "rows long, symbols long, first_timestamp timestamp, last_timestamp timestamp, coverage_records long"), "first_timestamp", "last_timestamp")
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> Archive:
-    """The legacy archive's days, and over them provider bars: the last tick of each New York day from 20 January on, and days of a new ticker."""
+#: Bars as three overlapping deliveries give them: each brings its bars with its number as their count of trades, the last delivery of a bar counts.
+DELIVERIES = ("event_id % 2 = 0", "event_id % 3 = 0", "event_id % 5 <> 1")
+
+
+@query(f"""WITH {GOOD},
+given AS (SELECT *, CASE WHEN event_id % 5 <> 1 THEN 3 WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 1 END AS delivery FROM good)
+SELECT upper(ticker) AS ticker, timestamp, open, high, low, close, volume, CAST(delivery AS DOUBLE) AS trade_count, CAST(3 AS BIGINT) AS runs_before, CAST(1 AS BIGINT) AS runs_after FROM given WHERE delivery IS NOT NULL""")
+def minute_compaction(spark, sf_dir):
+    """Three upserts of overlapping bars, read before and after their runs are folded into one."""
+    rows = good_ticks(spark, sf_dir).withColumn("ticker", F.upper("ticker")).withColumn("fetched_at", F.current_timestamp())
+    names = ("ticker", "timestamp", "open", "high", "low", "close", "volume", "trade_count")
+    with _folder(spark, "minutes") as place:
+        archive = Archive(place, spark)
+        for k, part in enumerate(DELIVERIES, 1):
+            archive.commit({"provider_minute_bars": Upsert(rows.where(part).withColumn("trade_count", F.lit(float(k))))})
+        before = archive.snapshot()
+        archive.compact("provider_minute_bars")
+        after = archive.snapshot()
+        runs = [max(len({e.seq for e in s.entries("provider_minute_bars") if e.part == p}) for p in {e.part for e in s.entries("provider_minute_bars")}) for s in (before, after)]
+        old, new = (s.read("provider_minute_bars").select(*names) for s in (before, after))
+        if old.exceptAll(new).count() or new.exceptAll(old).count():
+            raise AssertionError("folding has changed the table")
+        return written(_ntz(new, "timestamp").select("*", F.lit(runs[0]).cast("long").alias("runs_before"), F.lit(runs[1]).cast("long").alias("runs_after")), "result")
 
-    def make():
-        source, archive = _archive(spark, sf_dir), Archive(f"{fresh_path(spark, 'merged')}", spark)
-        archive.commit({"daily_prices": source.read("daily_prices")})
-        local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("timestamp").cast("timestamp_ntz")).cast("date")
-        days = ticks(spark, sf_dir).withColumn("day", local).where("day >= DATE'2024-01-20'").drop("event_id")
-        last = days.groupBy("ticker", "day").agg(F.max_by(F.struct("*"), "timestamp").alias("r")).select("r.*").drop("day")
-        merge.merge_provider_daily_bars(archive, last.withColumn("ticker", F.when(F.col("ticker") == "view", "new").otherwise(F.col("ticker"))))
-        return archive
 
-    return _once(spark, "merged", sf_dir, make)
+def _late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider bars: the last valid tick of each New York day from 20 January on; one ticker has another name."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("timestamp").cast("timestamp_ntz")).cast("date")
+    days = good_ticks(spark, sf_dir).withColumn("day", local).where("day >= DATE'2024-01-20'").drop("event_id")
+    last = days.groupBy("ticker", "day").agg(F.max_by(F.struct("*"), "timestamp").alias("r")).select("r.*")
+    return last.withColumn("ticker", F.when(F.col("ticker") == "view", "new").otherwise(F.col("ticker")))
+
+
+@contextmanager
+def _merged(spark: SparkSession, sf_dir: str) -> Iterator[Archive]:
+    """The archive's days, and over them provider bars."""
+    with _committed(spark, sf_dir) as archive:
+        merge.merge_provider_daily_bars(archive, _late_days(spark, sf_dir).drop("day"))
+        yield archive
 
 
 MERGED = f"""{VALID},
-local AS (SELECT *, CAST(timezone('America/New_York', timezone('UTC', timestamp)) AS DATE) AS day FROM ticks),
+local AS (SELECT *, CAST(timezone('America/New_York', timezone('UTC', timestamp)) AS DATE) AS day FROM ticks WHERE open > 0 AND high > 0 AND low > 0 AND close > 0),
 bars AS (
   SELECT CASE ticker WHEN 'view' THEN 'NEW' ELSE upper(ticker) END AS ticker, timestamp, open, high, low, close, volume, day
   FROM local WHERE day >= DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY ticker, day ORDER BY timestamp DESC) = 1),
 merged AS (
   SELECT * FROM daily d WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = d.ticker AND b.day = d.trading_date)
   UNION ALL SELECT ticker, day, open, high, low, close, volume, 1 FROM bars)"""
+_MERGED_DAYS = f"{MERGED} SELECT ticker, trading_date, open, high, low, close, close AS adjusted_close, volume, CAST(source_rows AS BIGINT) AS source_rows FROM merged"
 
 
-@query(f"{MERGED} SELECT ticker, trading_date, open, high, low, close, close AS adjusted_close, volume, CAST(source_rows AS BIGINT) AS source_rows FROM merged")
+@query(_MERGED_DAYS)
 def merge_daily(spark, sf_dir):
-    return _merged(spark, sf_dir).read("daily_prices")
+    with _merged(spark, sf_dir) as archive:
+        return written(archive.read("daily_prices"), "result")
+
+
+@query(_MERGED_DAYS)
+def concurrent_merge(spark, sf_dir):
+    """The same bars in two merges at a time, by odd and even days; both survive, and a table opened before them is still what it was."""
+    with _committed(spark, sf_dir) as archive:
+        bars, opened = _late_days(spark, sf_dir), archive.read("daily_prices")
+        n = opened.count()
+        halves = [bars.where(F.dayofmonth("day") % 2 == k).drop("day") for k in range(2)]
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(lambda half: merge.merge_provider_daily_bars(Archive(archive.root, spark), half), halves))
+        if opened.count() != n or archive.read("provider_update_log").count() != 2:
+            raise AssertionError("a merge was lost, or a reader was cut off")
+        return written(archive.read("daily_prices"), "result")
 
 
 @query(f"{MERGED} SELECT ticker, min(trading_date) AS first_date, max(trading_date) AS last_date, count(*) AS trading_days, CAST(sum(source_rows) AS BIGINT) AS source_rows FROM merged GROUP BY ticker")
 def merge_summary(spark, sf_dir):
-    return _merged(spark, sf_dir).read("symbol_summary")
+    with _merged(spark, sf_dir) as archive:
+        return written(archive.read("symbol_summary"), "result")
 
 
 # --- feature tables and the walk-forward evaluation --------------------------------------------------------------------------------------
@@ -282,18 +385,16 @@ TRAIN, TEST, HOLDOUT = 20, 3, 2
 def feature_table(spark, sf_dir):
     """Built into an archive, and loaded from it."""
 
-    def make():
-        archive = Archive(f"{fresh_path(spark, 'features')}", spark)
-        archive.commit({"provider_minute_bars": ticks(spark, sf_dir).drop("event_id").withColumn("fetched_at", F.current_timestamp())})
+    with _folder(spark, "features") as place:
+        archive = Archive(place, spark)
+        archive.commit({"provider_minute_bars": Upsert(ticks(spark, sf_dir).drop("event_id").withColumn("fetched_at", F.current_timestamp()))})
         dataset.build_research_dataset(archive, interval_minutes=15, feed="sip")
-        return archive
-
-    rows = dataset.load_research_dataset(_once(spark, "features", sf_dir, make), interval_minutes=15)
-    return rounded(rows.select("ticker", "timestamp", "session_date", "close", "return_1"), 6)
+        rows = dataset.load_research_dataset(archive, interval_minutes=15)
+        return written(rounded(rows.select("ticker", "timestamp", "session_date", "close", "return_1"), 6), "result")
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> walkforward.WalkForwardResult:
-    return _once(spark, "evaluated", sf_dir, lambda: walkforward.evaluate(featured(spark, sf_dir), train_sessions=TRAIN, test_sessions=TEST, holdout_sessions=HOLDOUT))
+    return walkforward.evaluate(featured(spark, sf_dir), train_sessions=TRAIN, test_sessions=TEST, holdout_sessions=HOLDOUT)
 
 
 PLACED = f"""{LABELLED},

@@ -335,7 +335,7 @@ class Archive:
             if self._claim(now.version + 1, {"at": time.time(), **make(now)}):
                 break
         now = self.snapshot()
-        if now.state.since_full > sum(len(own) for own in now.state.tables.values()) // 2 + 32:  # the log read so far pays for a full state
+        if now.state.since_full > sum(len(own) for own in now.state.tables.values()) // 2 + 8:  # the log read so far pays for a full state
             self._put(f"{now.version:020d}.full", now.state.written())
             self._known.since_full = 0
         return now

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.bars import keep_last
@@ -73,20 +73,17 @@ def save_csv(frame: DataFrame, path: str | Path) -> Path:
 
 
 def generate_demo_prices(rows: int = 260, seed: int = 42, spark: SparkSession | None = None) -> DataFrame:
-    """Synthetic business-day prices. The series depends on the order of the generator's draws, so it is made on the driver."""
-    import numpy as np
-    import pandas as pd
-
+    """A made-up series for demonstrations: `rows` business days from 2 January 2024, the same for the same seed. Noise is hashed from day and seed."""
     if rows < LEAST_ROWS:
         raise ValueError(f"Demo data requires at least {LEAST_ROWS} rows")
-    draw = np.random.default_rng(seed)
-    wave = np.linspace(0, 0.10, rows) + 0.035 * np.sin(np.linspace(0, 8 * np.pi, rows))
-    close = 100 * np.exp(np.cumsum(draw.normal(0, 0.008, rows) / 3) + wave)
-    first = close * (1 + draw.normal(0, 0.0025, rows))
-    width = draw.uniform(0.002, 0.012, rows)
-    high, low = np.maximum(first, close) * (1 + width), np.minimum(first, close) * (1 - width)
-    volume = draw.integers(500_000, 2_500_000, rows).astype(float)
-    days = pd.bdate_range("2024-01-02", periods=rows)
     spark = spark or SparkSession.active()
-    made = [(f"{d:%Y-%m-%d} 00:00:00+00:00", *map(float, x)) for d, x in zip(days, zip(first, high, low, close, volume))]
-    return normalize_prices(spark.createDataFrame(made, "Date string, Open double, High double, Low double, Close double, Volume double"))
+    noise = lambda name: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(1_000_003)) / F.lit(1_000_003.0)  # noqa: E731  in [0, 1)
+    day = F.date_add(F.lit("2024-01-02").cast("date"), (F.col("id") + 2 * F.floor((F.col("id") + 1) / 5)).cast("int"))  # two days more for each weekend passed
+    drift = F.col("id") * 0.0005 + 0.04 * F.sin(F.col("id") / 10.0)
+    walk = F.sum(0.006 * (noise("step") - 0.5)).over(Window.orderBy("id"))  # one short series
+    series = spark.range(rows).withColumn("close", 100 * F.exp(drift + walk)).withColumn("open", F.col("close") * (0.996 + 0.008 * noise("open")))
+    width = 0.002 + 0.01 * noise("width")
+    return normalize_prices(series.select(
+        day.cast("string").alias("Date"), F.col("open").alias("Open"), (F.greatest("open", "close") * (1 + width)).alias("High"), (F.least("open", "close") * (1 - width)).alias("Low"),
+        F.col("close").alias("Close"), F.floor(600_000 + 1_800_000 * noise("volume")).cast("double").alias("Volume"),
+    ))
