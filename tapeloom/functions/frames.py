@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,10 +28,11 @@ class Names:
     low: str = "low"
     close: str = "close"
     volume: str = "volume"
+    block: str | None = None
 
     def series(self, *more: str) -> WindowSpec:
-        """One instrument's bars in time order. Every frame of a stage shares it, so a stage costs one exchange and one sort."""
-        keys = [*([self.key] if self.key else []), *more]
+        """One instrument's bars in time order, or those of one of its blocks. Every frame of a stage shares it, so a stage costs one exchange and one sort."""
+        keys = [*[k for k in (self.key, self.block) if k], *more]
         return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(self.time)
 
 
@@ -74,11 +76,14 @@ def ewm(value: Column, alpha: float, series: WindowSpec, min_periods: int = 1) -
     return F.when(n >= min_periods, mean)
 
 
+def fold_depth(alpha: float) -> int:
+    """Values beyond which weights vanish."""
+    return math.ceil(41 / -math.log(1 - alpha))
+
+
 def ewm_by_fold(value: Column, alpha: float, series: WindowSpec, min_periods: int = 1, depth: int | None = None) -> Column:
     """ewm() from public functions only: a fold over the last `depth` values, beyond which weights vanish. Slower."""
-    import math
-
-    depth = depth or math.ceil(41 / -math.log(1 - alpha))
+    depth = depth or fold_depth(alpha)
     recent = F.collect_list(value).over(trailing(series, depth))
     step = lambda y, x: F.when(y.isNull() | (y == x), x).otherwise((1 - alpha) * y + alpha * x)
     return F.when(F.count(value).over(so_far(series)) >= min_periods, F.aggregate(recent, F.lit(None).cast("double"), step))

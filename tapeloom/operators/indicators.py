@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import ANALYSIS, Names, ewm, full, so_far
+from tapeloom.operators import blocks
 from tapeloom.operators.validate import require_columns
 
 INDICATORS = (
@@ -40,7 +41,10 @@ def gains_and_losses(step: Column) -> tuple[Column, Column]:
 
 def rsi(gain: Column, loss: Column, w: WindowSpec, period: int = 14) -> Column:
     """Wilder's relative strength index. Without losses it is 100, without any movement 50."""
-    up, down = ewm(gain, 1 / period, w, period), ewm(loss, 1 / period, w, period)
+    return strength(ewm(gain, 1 / period, w, period), ewm(loss, 1 / period, w, period))
+
+
+def strength(up: Column, down: Column) -> Column:
     return F.when((down == 0) & (up > 0), 100.0).when((down == 0) & (up == 0), 50.0).otherwise(100 - 100 / (1 + F.try_divide(up, nonzero(down))))
 
 
@@ -73,18 +77,42 @@ def with_steps(bars: DataFrame, names: Names) -> DataFrame:
     })
 
 
-def add_indicators(bars: DataFrame, names: Names = ANALYSIS) -> DataFrame:
-    """bars and the INDICATORS. A table of many tickers needs names with a key: as one series it would be mixed up, and one task's work."""
+def _checked(bars: DataFrame, names: Names) -> None:
     if names.key is None and "ticker" in bars.columns:
         raise ValueError("The table has a ticker column: give names with key='ticker'")
     require_columns(bars.columns, [names.open, names.high, names.low, names.close, names.volume], "Missing required price columns")
+
+
+def _trailing(names: Names) -> dict[str, Column]:
+    """What only looks back some rows."""
     w = names.series()
     c, low, h, v = (F.col(x).cast("double") for x in (names.close, names.low, names.high, names.volume))
+    return {"sma_20": sma(c, w, 20), "sma_50": sma(c, w, 50), **bollinger(c, w), "stochastic_k": stochastic_k(c, low, h, w), "cmf_20": chaikin_money_flow(F.col("_flow"), v, w)}
+
+
+def add_indicators(bars: DataFrame, names: Names = ANALYSIS) -> DataFrame:
+    """bars and the INDICATORS. A table of many tickers needs names with a key: as one series it would be mixed up, and one task's work."""
+    _checked(bars, names)
+    w, c = names.series(), F.col(names.close).cast("double")
     rows = with_steps(bars, names).withColumns({
-        "sma_20": sma(c, w, 20), "sma_50": sma(c, w, 50), **bollinger(c, w), "rsi_14": rsi(F.col("_gain"), F.col("_loss"), w),
-        "macd": ewm(c, 2 / 13, w) - ewm(c, 2 / 27, w), "atr_14": ewm(F.col("_range"), 1 / 14, w, 14),
-        "stochastic_k": stochastic_k(c, low, h, w), "obv": F.sum("_signed").over(so_far(w)), "cmf_20": chaikin_money_flow(F.col("_flow"), v, w),
+        **_trailing(names), "rsi_14": rsi(F.col("_gain"), F.col("_loss"), w), "macd": ewm(c, 2 / 13, w) - ewm(c, 2 / 27, w), "atr_14": ewm(F.col("_range"), 1 / 14, w, 14),
+        "obv": F.sum("_signed").over(so_far(w)),
     })
     rows = rows.withColumns({"macd_signal": ewm(F.col("macd"), 2 / 10, w), "stochastic_d": full(F.avg, F.col("stochastic_k"), w, 3)})
     return rows.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).select(*bars.columns, *INDICATORS)
 
+
+def add_indicators_in_blocks(bars: DataFrame, names: Names = ANALYSIS, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """The same columns for instruments of any length: a history is cut into blocks of time, each a task's work (see blocks)."""
+    _checked(bars, names)
+    rows, own = blocks.in_blocks(bars, names, block_rows)
+    c = F.col(names.close).cast("double")
+    rows = with_steps(rows, own).withColumns(_trailing(own))
+    rows = rows.withColumn("stochastic_d", full(F.avg, F.col("stochastic_k"), own.series(), 3))
+    rows = blocks.scanned(rows, {
+        "_up": blocks.Mean(F.col("_gain"), 1 / 14, 14), "_down": blocks.Mean(F.col("_loss"), 1 / 14, 14), "_fast": blocks.Mean(c, 2 / 13), "_slow": blocks.Mean(c, 2 / 27),
+        "atr_14": blocks.Mean(F.col("_range"), 1 / 14, 14), "obv": blocks.Total(F.col("_signed")),
+    }, own)
+    rows = rows.withColumns({"rsi_14": strength(F.col("_up"), F.col("_down")), "macd": F.col("_fast") - F.col("_slow")})
+    rows = blocks.without_halos(blocks.scanned(rows, {"macd_signal": blocks.Mean(F.col("macd"), 2 / 10)}, own))
+    return rows.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).select(*bars.columns, *INDICATORS)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import ANALYSIS, Names
-from tapeloom.operators.indicators import add_indicators
+from tapeloom.operators import blocks
+from tapeloom.operators.indicators import add_indicators, add_indicators_in_blocks
 from tapeloom.operators.validate import require_columns
 
 
@@ -34,7 +35,10 @@ def add_signal_scores(rows: DataFrame, names: Names = ANALYSIS) -> DataFrame:
     """
     needed = [names.close, "sma_50", "bollinger_percent_b", "rsi_14", "macd_histogram", "stochastic_k", "cmf_20"]
     require_columns(rows.columns, needed, "Missing required indicator columns")
-    out = rows.withColumn("_before", F.lag("macd_histogram").over(names.series()))
+    return _scored(rows.withColumn("_before", F.lag("macd_histogram").over(names.series())), names, needed)
+
+
+def _scored(out: DataFrame, names: Names, needed: list[str]) -> DataFrame:
     scores = component_scores(F.col(names.close), F.col("_before"))
     out = out.withColumns({k: v.cast("long") for k, v in scores.items()}).drop("_before")
     total = F.lit(0).cast("long")
@@ -51,3 +55,11 @@ def add_signal_scores(rows: DataFrame, names: Names = ANALYSIS) -> DataFrame:
 def analyze_prices(bars: DataFrame, names: Names = ANALYSIS) -> DataFrame:
     """Indicators and signals of all instruments."""
     return bars.transform(add_indicators, names).transform(add_signal_scores, names)
+
+
+def analyze_prices_in_blocks(bars: DataFrame, names: Names = ANALYSIS, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """The same for instruments of any length, in blocks of time."""
+    rows, own = blocks.in_blocks(add_indicators_in_blocks(bars, names, block_rows), names, block_rows, halo=1)
+    before = F.lag("macd_histogram").over(own.series())
+    needed = [names.close, "sma_50", "bollinger_percent_b", "rsi_14", "macd_histogram", "stochastic_k", "cmf_20"]
+    return blocks.without_halos(_scored(rows.withColumn("_before", before), names, needed)).drop(blocks.BLOCK, blocks.IS_HALO)

@@ -344,6 +344,42 @@ def backtest_metrics(spark, sf_dir):
     return out.withColumns({c: nine_digits(c) for c in ("final_equity", "total_return_pct", "buy_and_hold_return_pct")})
 
 
+# --- one instrument of any length ---------------------------------------------------------------------------------------------------------
+
+#: All trades one after another as one instrument's bars, cut into blocks of so many rows.
+ONE_BLOCK = 4_096
+
+
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ticks that the classifier lets through, as bars of one instrument."""
+    good = validate.classify(ticks(spark, sf_dir)).where("reason IS NULL")
+    return good.select(F.lit("ALL").alias("ticker"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "event_id", "open", "high", "low", "close", "volume").withColumn("at", F.struct("timestamp", "event_id"))
+
+
+ONE = Names(key="ticker", time="at")
+ONE_DAYS = f"""{TICKS},
+days AS (SELECT 'ALL' AS ticker, row(timestamp, event_id) AS trading_date, timestamp, event_id, open, high, low, close, volume FROM ticks
+  WHERE open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0 AND high >= greatest(open, low, close) AND low <= least(open, high, close) AND timestamp IS NOT NULL)"""
+
+
+def _one(sql: str) -> str:
+    """SQL over trading days, read over one series instead."""
+    return sql.replace(f"WITH {DAYS}", f"WITH {ONE_DAYS}", 1)
+
+
+@query(f"{_one(STEPS)} SELECT timestamp, event_id, {_r(*indicators.INDICATORS)} FROM ind")
+def long_series_indicators(spark, sf_dir):
+    found = indicators.add_indicators_in_blocks(one_series(spark, sf_dir), ONE, ONE_BLOCK)
+    return rounded(found.select("timestamp", "event_id", *indicators.INDICATORS))
+
+
+@query(f"{_one(SIMULATED).replace('SELECT ticker, trading_date, open, close, lag', 'SELECT ticker, trading_date, timestamp, event_id, open, close, lag')} SELECT timestamp, event_id, action, {_nine('cash', 'Cash')}, {_nine('shares', 'Shares')}, {_nine('equity', 'Equity')} FROM sim")
+def long_series_backtest(spark, sf_dir):
+    scored = signals.analyze_prices_in_blocks(one_series(spark, sf_dir), ONE, ONE_BLOCK)
+    out = backtest.simulate_in_blocks(scored, names=ONE, block_rows=ONE_BLOCK)
+    return out.select("at.timestamp", "at.event_id", "action", *[F.format_string("%.8e", c).cast("double").alias(c.title()) for c in ("cash", "shares", "equity")])
+
+
 # --- features and target on 15-minute bars -----------------------------------------------------------------------------------------------
 
 
