@@ -54,7 +54,8 @@ def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_count_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_cache.count_tokens(_documents(spark, sf_dir), store.fresh_path(spark, "token-counts"))
+    """The cache is a folder of the shared storage that lasts between runs."""
+    return token_cache.count_tokens(_documents(spark, sf_dir), f"{store.shared_folder(spark)}/token-counts")
 
 
 def op10_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,22 @@ def test_token_counts(spark, odd, none, sample):
     cache = spark.read.parquet(path)
     distinct = {r.text or "" for d in (sample, odd) for r in d.select("text").collect()}
     assert cache.count() == cache.select("digest").distinct().count() == len(distinct)  # each distinct text was encoded once
+
+
+def test_cache_lasts_and_only_misses_are_encoded(spark, odd, none, tmp_path):
+    path, model = str(tmp_path / "cache"), token_cache.model_path()
+    docs = spark.createDataFrame([(i, f"text number {i % 7}") for i in range(30)], "doc_id long, text string")
+    version = token_cache.tokenizer_digest(model)
+    first = sorted(token_cache.count_tokens(docs, path).collect())
+    held = lambda: {bytes(r.digest): r.n_tokens for r in token_cache.open_cache(spark, path, version).collect()}
+    assert len(held()) == 7
+    # counts that the cache holds are believed, so nothing known is encoded again
+    doubled = token_cache.open_cache(spark, path, version).selectExpr("digest", "n_tokens * 100 AS n_tokens").collect()
+    spark.createDataFrame(doubled, token_cache.COUNTS).write.mode("overwrite").parquet(f"{path}/tokenizer={version}")
+    more = docs.unionByName(spark.createDataFrame([(99, "a new one")], "doc_id long, text string"))
+    again = {r.doc_id: r for r in token_cache.count_tokens(more, path).collect()}
+    assert [again[r.doc_id].n_tokens for r in first] == [100 * r.n_tokens for r in first] and again[99].n_tokens < 100
+    assert len(held()) == 8
+    spark.createDataFrame([(b"x", 5)], token_cache.COUNTS).write.parquet(f"{path}/tokenizer=other")
+    assert len(held()) == 8 and token_cache.count_tokens(none, path).count() == 0
+    assert token_cache.count_tokens(odd, path).count() == odd.count()
