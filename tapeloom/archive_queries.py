@@ -8,6 +8,7 @@ ones are asked for.
 from __future__ import annotations
 
 import json
+import zipfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -114,6 +115,18 @@ def legacy_prices(spark, sf_dir):
         return written(_ntz(archive.read("prices").drop("source_file"), "timestamp"), "result")
 
 
+@query(f"{VALID} SELECT ticker, timestamp, open, high, low, close, close AS adjusted_close, volume FROM valid")
+def legacy_zip(spark, sf_dir):
+    """The same from members of one ZIP file."""
+    with _local_folder(spark, "legacy") as folder, _folder(spark, "archive") as place:
+        _legacy_files(spark, sf_dir, folder)
+        with zipfile.ZipFile(folder / "old.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(folder.rglob("Current*.csv")):
+                z.write(f, f"old/Data/{f.name}")
+        legacy.build_archive(folder / "old.zip", place, spark=spark)
+        return written(_ntz(Archive(place, spark).read("prices").drop("source_file"), "timestamp"), "result")
+
+
 @query(f"{VALID} SELECT ticker, trading_date, open, high, low, close, close AS adjusted_close, volume, source_rows FROM daily")
 def legacy_daily(spark, sf_dir):
     with _built(spark, sf_dir) as archive:

@@ -72,6 +72,45 @@ def test_zip_build(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["db", "old.zip"]
 
 
+def contents(db):
+    a = Archive(db)
+    strip = lambda df: df.withColumn("source_file", F.regexp_extract("source_file", "[^/]+$", 0))
+    return [sorted(map(str, strip(a.read(t)).collect() if t != "daily_prices" else a.read(t).collect())) for t in ("prices", "daily_prices", "import_log", "import_rejections")]
+
+
+def test_zip_and_folder_builds_are_equal_and_broken_files_keep_their_rows(spark, tmp_path, monkeypatch):
+    from tapeloom.sources import legacy
+
+    whole = lines("GOOD", 3000, bad=17).splitlines(True)
+    texts = {
+        "GOOD": "".join(whole), "EMPTY": "", "HEAD": HEADER, "BOM": "\ufeff" + lines("BOM", 5),
+        "WIDE": "".join(lines("WIDE", 1500).splitlines(True)[:1000]) + "WIDE,2030-01-01,1,1,1,1,1,1,one,two\n" + "WIDE,2030-01-02,1,1,1,1,1,1\n",  # broken at row 1,000
+        "SHORT": lines("SHORT", 40) + "SHORT,2030-01-01,1,1\n\n" + "SHORT,2030-01-02,2,3,1,2,2,5\n",
+        "QUOTE": HEADER + '"QUOTE","2024-01-02","1","2","0.5","1","1","3"\nQUOTE,"2024-01\n-03",1,1,1,1,1,1\nQUOTE,2024-01-04,1,1,1,1,1,1\n',
+        "NOADJ": "DateTime,Close,Open,High,Low,Volume,Extra\n2024-01-02,1,1,1,1,1,x\n",
+    }
+    raw = {t: x.encode() for t, x in texts.items()} | {"LATIN": lines("LATIN", 900).encode() + b"caf\xe9,2030-01-02,1,1,1,1,1,1\n" + b"LATIN,2030-01-03,1,1,1,1,1,1\n"}
+    src = tmp_path / "src"
+    src.mkdir()
+    with zipfile.ZipFile(tmp_path / "old.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for t, x in raw.items():
+            (src / f"CurrentData({t}).csv").write_bytes(x)
+            z.writestr(f"StockTests/Data/CurrentData({t}).csv", x)
+    monkeypatch.setattr(legacy, "TASK_BYTES", 100_000)
+    assert len(legacy.grouped(legacy.price_files(src), 100_000)) >= 2
+    a = build_archive(src, tmp_path / "a")
+    before = set(tmp_path.rglob("*"))
+    b = build_archive(tmp_path / "old.zip", tmp_path / "b")
+    assert {p.relative_to(tmp_path).parts[0] for p in set(tmp_path.rglob("*")) - before} == {"b"}  # nothing was unpacked
+    assert (a.rows_imported, a.rows_rejected, a.files_imported, a.daily_rows) == (b.rows_imported, b.rows_rejected, b.files_imported, b.daily_rows) and contents(tmp_path / "a") == contents(tmp_path / "b")
+    log = {r.ticker: r for r in Archive(tmp_path / "a").read("import_log").collect()}
+    assert {t: (r.imported_rows, r.rejected_rows) for t, r in log.items()} == {
+        "GOOD": (2999, 1), "EMPTY": (0, 0), "HEAD": (0, 0), "BOM": (5, 0), "WIDE": (999, 0), "SHORT": (41, 1), "QUOTE": (2, 1), "NOADJ": (1, 0), "LATIN": (900, 0),
+    }
+    assert {t: r.error.split(":")[0] for t, r in log.items() if r.error} == {"EMPTY": "ValueError", "WIDE": "ParserError", "LATIN": "UnicodeDecodeError"}
+    assert a.files_imported == 6 and Archive(tmp_path / "a").read("prices").where("ticker = 'NOADJ'").first().adjusted_close == 1.0
+
+
 def provider(spark, *rows):
     return spark.createDataFrame(rows, "ticker string, timestamp string, open double, high double, low double, close double, volume double, trade_count double, vwap double, feed string")
 
