@@ -16,6 +16,7 @@ from datetime import date, timedelta
 from functools import partial
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -434,10 +435,79 @@ _STATS = ", ".join(f"round(avg(x_{c}), 6) + 0.0 AS m_{c}, round(stddev_pop(x_{c}
 
 @query(f"{PLACED} SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(target_up) AS BIGINT) AS up, {_STATS} FROM training GROUP BY fold")
 def fold_scaler(spark, sf_dir):
-    rows = walkforward.labelled(featured(spark, sf_dir), features.BASELINE, 5.0)
-    placed = rows.join(F.broadcast(walkforward.session_folds(rows, TRAIN, TEST, HOLDOUT)), "session_date")
-    folds = placed.agg(F.max("test_fold")).first()[0]
-    return rounded(walkforward.fold_statistics(walkforward.training_rows(placed, folds, TRAIN, TEST), features.BASELINE), 6)
+    placed, folds = _placed(spark, sf_dir, features.BASELINE)
+    found = walkforward.fold_statistics(walkforward.session_moments(placed, features.BASELINE), folds, TRAIN, TEST, features.BASELINE)
+    return rounded(found.drop("train_start", "train_end"), 6)
+
+
+def _placed(spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> tuple[DataFrame, int]:
+    rows = walkforward.labelled(featured(spark, sf_dir), columns, 5.0)
+    placed = written(rows.join(F.broadcast(walkforward.session_folds(rows, TRAIN, TEST, HOLDOUT)), "session_date"), "placed")  # one row per session
+    return placed, placed.agg(F.max("test_fold")).first()[0]
+
+
+# --- reports by given coefficients: what a model predicts, and all that is told of it -------------------------------------------------------
+
+#: The i-th feature's coefficient in fold k, and what is taken off it before.
+SLOPE, CENTRE, COST, CONFIDENCE = "((i * 7 + k * 3) % 11 - 5) / 50.0", 50.0, 5.0, 0.55
+
+
+def _slope(i: int, k: int) -> float:
+    return ((i * 7 + k * 3) % 11 - 5) / 50.0
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = features.FEATURE_SETS["technical"]
+    placed, folds = _placed(spark, sf_dir, columns)
+    centres = np.array([CENTRE if c == "rsi_14" else 0.0 for c in columns])
+    models = {k: walkforward.FoldModel(np.array([_slope(i, k) for i in range(len(columns))]), 0.01, centres, np.ones(len(columns))) for k in range(1, folds + 1)}
+    return walkforward.predicted(placed, models, columns, CONFIDENCE)
+
+
+_ALL = features.FEATURE_SETS["technical"]
+_LINE = " + ".join(f"({i} * 7 + test_fold * 3) % 11 * 0.02::DOUBLE * z_{i} - 0.1::DOUBLE * z_{i}" for i in range(len(_ALL)))
+PREDICTED = f"""{FEATURED},
+labelled AS (SELECT *, CASE WHEN future_return > 0.0005 THEN 1 ELSE 0 END AS target_up FROM feat WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*_ALL, "future_return"))} AND abs(future_return) > 0.0005),
+ses AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT session_date FROM labelled)),
+pl AS (
+  SELECT l.*, {", ".join(f"l.{c} - {CENTRE if c == 'rsi_14' else 0}::DOUBLE AS z_{i}" for i, c in enumerate(_ALL))}, CASE WHEN place < n - {HOLDOUT} AND place >= {TRAIN} THEN (place - {TRAIN}) // {TEST} + 1 END AS test_fold FROM labelled l JOIN ses USING (session_date)),
+pr AS (SELECT *, 1 / (1 + exp(-(0.01::DOUBLE + {_LINE}))) AS p FROM pl WHERE test_fold IS NOT NULL),
+pd AS (
+  SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS predicted_up, CASE WHEN return_1 > 0 THEN 1 ELSE 0 END AS persistence_up,
+         CASE WHEN p >= {CONFIDENCE}::DOUBLE THEN 1 WHEN p <= {1 - CONFIDENCE}::DOUBLE THEN -1 ELSE 0 END AS action FROM pr)"""
+_CONFIDENT = f"""count(*) FILTER (action <> 0) AS confident_rows, round(avg(CASE WHEN action <> 0 THEN CASE WHEN target_up = CASE WHEN action = 1 THEN 1 ELSE 0 END THEN 1.0::DOUBLE ELSE 0.0 END END), 6) AS confident_accuracy,
+       round(avg(CASE WHEN action <> 0 THEN action * future_return * 10000 END), 4) + 0.0 AS average_gross_bps, round(avg(CASE WHEN action <> 0 THEN action * future_return * 10000 END) - {2 * COST}::DOUBLE, 4) + 0.0 AS average_net_bps"""
+_HIT = "round(avg(CASE WHEN target_up = {} THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS {}"
+
+
+def _in_places(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df, 6), 4, "average_gross_bps", "average_net_bps")
+
+
+@query(f"""{PREDICTED} SELECT CAST(test_fold AS INTEGER) AS fold, min(session_date) AS test_start, max(session_date) AS test_end, count(*) AS test_rows, round(100 * avg(target_up), 6) AS up_target_pct, {_HIT.format('predicted_up', 'accuracy')},
+  round(coalesce((avg(predicted_up) FILTER (target_up = 1) + 1 - avg(predicted_up) FILTER (target_up = 0)) / 2, avg(predicted_up) FILTER (target_up = 1), 1 - avg(predicted_up) FILTER (target_up = 0)), 6) AS balanced_accuracy,
+  {_HIT.format('persistence_up', 'persistence_accuracy')}, {_CONFIDENT} FROM pd GROUP BY test_fold""")
+def fold_report(spark, sf_dir):
+    """The technical set's predictions by given coefficients, fold by fold."""
+    return _in_places(walkforward.fold_report(_predicted(spark, sf_dir), COST))
+
+
+@query(f"{PREDICTED} SELECT ticker, count(*) AS test_rows, {_HIT.format('predicted_up', 'accuracy')}, {_CONFIDENT} FROM pd GROUP BY ticker")
+def symbol_report(spark, sf_dir):
+    return _in_places(walkforward.symbol_report(_predicted(spark, sf_dir), COST))
+
+
+_FEATURE_ROWS = ", ".join(f"({i}, '{c}')" for i, c in enumerate(_ALL))
+
+
+@query(f"""{PREDICTED},
+t AS (SELECT feature, {SLOPE} AS coefficient FROM (SELECT DISTINCT test_fold AS k FROM pl WHERE test_fold IS NOT NULL), (VALUES {_FEATURE_ROWS}) f(i, feature))
+SELECT feature, round(avg(coefficient), 6) + 0.0 AS mean_coefficient, round(avg(abs(coefficient)), 6) AS mean_absolute_coefficient, round(stddev_samp(coefficient), 6) AS coefficient_std, round(100 * avg(CASE WHEN coefficient > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS positive_fold_pct FROM t GROUP BY feature""")
+def coefficient_report(spark, sf_dir):
+    """The stability of the given coefficients over the folds that the data has."""
+    folds = _placed(spark, sf_dir, _ALL)[1]
+    table = spark.createDataFrame([(k, c, _slope(i, k)) for k in range(1, folds + 1) for i, c in enumerate(_ALL)], "fold int, feature string, coefficient double")
+    return rounded(walkforward.coefficient_report(table), 6)
 
 
 @query(f"""{PLACED} SELECT 'baseline' AS feature_set, {len(features.BASELINE)} AS features, (SELECT count(*) FROM folds) AS folds, count(test_fold) AS test_rows, CAST(sum(target_up) FILTER (test_fold IS NOT NULL) AS BIGINT) AS up_rows,

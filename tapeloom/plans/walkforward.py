@@ -1,8 +1,9 @@
 """Chronological walk-forward evaluation of a logistic model.
 
-Sessions get a place by date; a row belongs to the test part of at most one fold and to the training part of those after it. All folds are fitted at once:
-one aggregation gives means and deviations of every fold, and each Newton step of all folds is one aggregation of gradients and curvatures, of which the
-driver sees (1 + features)² numbers a fold. Coefficients are a small table that test rows are joined with.
+Sessions get a place by date; a row belongs to the test part of at most one fold and to the training part of those after it. No row is copied for the folds
+it trains. Means and deviations of all folds are put together from moments of sessions, one row each, and a Newton step of all folds is one pass in which a
+row adds to the gradients and curvatures of each of its folds; the driver sees (1 + features)² numbers a fold. Coefficients are a small table that test
+rows are joined with, and the reports are made from predictions alone.
 """
 
 from __future__ import annotations
@@ -69,27 +70,44 @@ class FoldModel:
     scales: np.ndarray
 
 
+def fold_spans(folds: int, train: int, test: int) -> dict[int, tuple[int, int]]:
+    """The first place that each fold trains on, and the one after its last."""
+    return {k: ((k - 1) * test, (k - 1) * test + train) for k in range(1, folds + 1)}
+
+
 def training_rows(placed: DataFrame, folds: int, train: int, test: int) -> DataFrame:
-    """placed once for each fold it trains: fold k trains on the places from (k - 1) * test on, `train` of them."""
+    """A table of sessions with each once for each fold it trains: fold k trains on the places from (k - 1) * test on, `train` of them."""
     first = F.greatest(F.floor((F.col("place") - train) / test) + 2, F.lit(1))
     last = F.least(F.floor(F.col("place") / test) + 1, F.lit(folds))
     return placed.where(first <= last).withColumn("fold", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
 
 
-def fold_statistics(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """fold, n, up, and of each feature the mean m_ and the population deviation s_, over rows (fold, target_up, features)."""
-    return rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("target_up").alias("up"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+def session_moments(placed: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """A row for each place: its session_date, rows, rows that move up, and of each feature mean and variance."""
+    return placed.groupBy("place").agg(F.min("session_date").alias("session_date"), F.count("*").alias("n"), F.sum("target_up").alias("up"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.var_pop(c).alias(f"v_{c}") for c in columns])
+
 
+def fold_statistics(moments: DataFrame, folds: int, train: int, test: int, columns: tuple[str, ...]) -> DataFrame:
+    """fold, n, up, train_start, train_end, and of each feature the mean m_ and the population deviation s_, put together from session_moments()."""
+    rows = training_rows(moments, folds, train, test)
+    means = [(F.sum(F.col("n") * F.col(f"m_{c}")) / F.sum("n")).alias(f"a_{c}") for c in columns]
+    centres = rows.groupBy("fold").agg(F.sum("n").alias("rows"), F.sum("up").alias("ups"), F.min("session_date").alias("train_start"), F.max("session_date").alias("train_end"), *means)
+    spread = lambda c: F.sum(F.col("n") * (F.col(f"v_{c}") + (F.col(f"m_{c}") - F.col(f"a_{c}")) ** 2))
+    around = rows.join(F.broadcast(centres), "fold").groupBy("fold", "rows", "ups", "train_start", "train_end", *[f"a_{c}" for c in columns])  # one row a fold
+    return around.agg(*[F.sqrt(spread(c) / F.col("rows")).alias(f"s_{c}") for c in columns]).withColumnsRenamed({"rows": "n", "ups": "up", **{f"a_{c}": f"m_{c}" for c in columns}})
 
-def _curvature(columns: tuple[str, ...], models: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]]):
+
+def _curvature(columns: tuple[str, ...], spans: dict[int, tuple[int, int]], models: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]]):
     """Sums of a batch for each fold: loss, gradient and curvature of the weighted logistic loss at the fold's present coefficients."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for fold, part in frame.groupby("fold"):
-                beta, means, scales, weights = models[int(fold)]
-                z = np.column_stack([np.ones(len(part)), (part[list(columns)].to_numpy(dtype=np.float64) - means) / scales])
-                y = part["target_up"].to_numpy()
+            place, x, up = frame["place"].to_numpy(), frame[list(columns)].to_numpy(dtype=np.float64), frame["target_up"].to_numpy()
+            for fold, (beta, means, scales, weights) in models.items():
+                mine = (place >= spans[fold][0]) & (place < spans[fold][1])
+                if not mine.any():
+                    continue
+                z, y = np.column_stack([np.ones(mine.sum()), (x[mine] - means) / scales]), up[mine]
                 w, line = np.where(y == 1, weights[1], weights[0]), z @ beta
                 p = 1 / (1 + np.exp(-np.clip(line, -700, 700)))
                 loss = (w * (np.logaddexp(0, line) - y * line)).sum()
@@ -99,14 +117,14 @@ def _curvature(columns: tuple[str, ...], models: dict[int, tuple[np.ndarray, np.
     return run
 
 
-def fit_folds(rows: DataFrame, columns: tuple[str, ...], most_steps: int = 60, tolerance: float = 1e-9) -> dict[int, FoldModel]:
-    """The exact optimum of each fold by Newton's method, all folds a step at a time; rows (fold, target_up, features) are read once a step.
+def fit_folds(rows: DataFrame, columns: tuple[str, ...], statistics: DataFrame, spans: dict[int, tuple[int, int]], most_steps: int = 200, tolerance: float = 1e-9) -> dict[int, FoldModel]:
+    """The exact optimum of each fold by Newton's method, all folds a step at a time; rows (place, target_up, features) are read once a step.
 
     The penalty is half the squared coefficients (C = 1 on a sum of losses), the intercept is free, and classes weigh n / (2 n_class). A step that raises
-    the loss is halved.
+    the loss is halved. A fold that has not settled after most_steps is an error.
     """
     models, d = {}, len(columns)
-    for r in fold_statistics(rows, columns).collect():  # one row for each fold
+    for r in statistics.collect():  # one row for each fold
         if not r.n or r.up in (0, r.n):
             raise ValueError("A training fold contains only one target class")
         means, scales = np.array([r[f"m_{c}"] for c in columns]), np.array([r[f"s_{c}"] or 1.0 for c in columns])
@@ -115,8 +133,9 @@ def fit_folds(rows: DataFrame, columns: tuple[str, ...], most_steps: int = 60, t
     for _ in range(most_steps):
         if not open_:
             break
-        wanted = rows.where(F.col("fold").isin(sorted(open_))).select("fold", "target_up", *columns)
-        sums = wanted.mapInPandas(_curvature(columns, {k: models[k] for k in open_}), "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v"))
+        low, high = min(spans[k][0] for k in open_), max(spans[k][1] for k in open_)
+        wanted = rows.where((F.col("place") >= low) & (F.col("place") < high)).select("place", "target_up", *columns)
+        sums = wanted.mapInPandas(_curvature(columns, spans, {k: models[k] for k in open_}), "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v"))
         found = {k: np.zeros(1 + (d + 1) + (d + 1) ** 2) for k in open_}
         for r in sums.collect():
             found[r.fold][r.i] = r.v
@@ -132,6 +151,8 @@ def fit_folds(rows: DataFrame, columns: tuple[str, ...], most_steps: int = 60, t
             models[k] = (beta + step, *rest)
             if np.abs(step).max() < tolerance:
                 open_.discard(k)
+    if open_:
+        raise RuntimeError(f"The fit of folds {sorted(open_)} has not settled after {most_steps} steps")
     return {k: FoldModel(beta[1:], float(beta[0]), means, scales) for k, (beta, means, scales, _) in models.items()}
 
 
@@ -162,6 +183,44 @@ def _confident(cost_bps: float) -> dict[str, Column]:
     }
 
 
+def predicted(placed: DataFrame, models: dict[int, FoldModel], columns: tuple[str, ...], confidence: float) -> DataFrame:
+    """Test rows with probability_up, predicted_up, persistence_up and action (1 long, -1 short, 0 nothing)."""
+    p = F.col("probability_up")
+    return with_probability(placed.where("test_fold is not null"), models, columns).withColumns({
+        "predicted_up": (p >= 0.5).cast("int"), "persistence_up": (F.col("return_1") > 0).cast("int"),
+        "action": F.when(p >= confidence, 1).when(p <= 1 - confidence, -1).otherwise(0),
+    }).drop("holdout")
+
+
+def _right() -> Column:
+    return F.col("target_up") == F.col("predicted_up")
+
+
+def _persists() -> Column:
+    return F.col("target_up") == F.col("persistence_up")
+
+
+def fold_report(predictions: DataFrame, cost_bps: float) -> DataFrame:
+    return predictions.groupBy(F.col("test_fold").alias("fold")).agg(
+        F.min("session_date").alias("test_start"), F.max("session_date").alias("test_end"), F.count("*").alias("test_rows"), (100 * F.avg("target_up")).alias("up_target_pct"),
+        _accuracy(_right()).alias("accuracy"), _balanced(F.col("target_up"), F.col("predicted_up")).alias("balanced_accuracy"), _accuracy(_persists()).alias("persistence_accuracy"),
+        *[c.alias(k) for k, c in _confident(cost_bps).items()],
+    )
+
+
+def symbol_report(predictions: DataFrame, cost_bps: float) -> DataFrame:
+    symbols = predictions.groupBy("ticker").agg(F.count("*").alias("test_rows"), _accuracy(_right()).alias("accuracy"), *[c.alias(k) for k, c in _confident(cost_bps).items()])
+    return symbols.orderBy(F.desc_nulls_last("average_net_bps"), F.desc("confident_rows"))
+
+
+def coefficient_report(table: DataFrame) -> DataFrame:
+    """Of rows (fold, feature, coefficient), how large and how stable each feature's coefficients are."""
+    return table.groupBy("feature").agg(
+        F.avg("coefficient").alias("mean_coefficient"), F.avg(F.abs("coefficient")).alias("mean_absolute_coefficient"), F.stddev_samp("coefficient").alias("coefficient_std"),
+        (100 * F.avg((F.col("coefficient") > 0).cast("double"))).alias("positive_fold_pct"),
+    ).orderBy(F.desc("mean_absolute_coefficient"))
+
+
 def evaluate(dataset: DataFrame, *, train_sessions: int = 126, test_sessions: int = 21, holdout_sessions: int = 21, feature_set: str = "baseline", target_move_bps: float = 5.0, confidence: float = 0.55, transaction_cost_bps: float = 5.0) -> WalkForwardResult:
     columns = feature_columns(feature_set)
     require_columns(dataset.columns, ["ticker", "timestamp", "session_date", "future_return", *columns], "Missing research columns")
@@ -176,33 +235,17 @@ def evaluate(dataset: DataFrame, *, train_sessions: int = 126, test_sessions: in
     needed = train_sessions + test_sessions + holdout_sessions
     if count["n"] < needed:
         raise ValueError(f"At least {needed} sessions are required; dataset contains {count['n']}")
-    train = training_rows(placed, count["folds"], train_sessions, test_sessions)
-    models = fit_folds(train, columns)
+    shape = (count["folds"], train_sessions, test_sessions)
+    statistics = written(fold_statistics(session_moments(placed, columns), *shape, columns), "statistics")
+    models = fit_folds(placed, columns, statistics, fold_spans(*shape))
     if len(models) < count["folds"]:
         raise ValueError("A training fold contains only one target class")
-    p = F.col("probability_up")
-    predictions = with_probability(placed.where("test_fold is not null"), models, columns).withColumns({
-        "predicted_up": (p >= 0.5).cast("int"), "persistence_up": (F.col("return_1") > 0).cast("int"),
-        "action": F.when(p >= confidence, 1).when(p <= 1 - confidence, -1).otherwise(0),
-    }).drop("holdout")
-    predictions = written(predictions, "predictions")
-    right, persists = F.col("target_up") == F.col("predicted_up"), F.col("target_up") == F.col("persistence_up")
-    folds = predictions.groupBy(F.col("test_fold").alias("fold")).agg(
-        F.min("session_date").alias("test_start"), F.max("session_date").alias("test_end"), F.count("*").alias("test_rows"), (100 * F.avg("target_up")).alias("up_target_pct"),
-        _accuracy(right).alias("accuracy"), _balanced(F.col("target_up"), F.col("predicted_up")).alias("balanced_accuracy"), _accuracy(persists).alias("persistence_accuracy"),
-        *[c.alias(k) for k, c in _confident(transaction_cost_bps).items()],
-    )
-    spans = train.groupBy("fold").agg(F.min("session_date").alias("train_start"), F.max("session_date").alias("train_end"), F.count("*").alias("train_rows"))
-    folds = written(spans.join(folds, "fold"), "folds").orderBy("fold")
-    symbols = predictions.groupBy("ticker").agg(F.count("*").alias("test_rows"), _accuracy(right).alias("accuracy"), *[c.alias(k) for k, c in _confident(transaction_cost_bps).items()])
-    symbols = symbols.orderBy(F.desc_nulls_last("average_net_bps"), F.desc("confident_rows"))
+    predictions = written(predicted(placed, models, columns, confidence), "predictions")
+    spans = statistics.select("fold", "train_start", "train_end", F.col("n").alias("train_rows"))
+    folds = written(spans.join(fold_report(predictions, transaction_cost_bps), "fold"), "folds").orderBy("fold")
     table = spark.createDataFrame([(k, c, float(b)) for k, m in models.items() for c, b in zip(columns, m.coefficients)], "fold int, feature string, coefficient double")
-    coefficients = table.groupBy("feature").agg(
-        F.avg("coefficient").alias("mean_coefficient"), F.avg(F.abs("coefficient")).alias("mean_absolute_coefficient"), F.stddev_samp("coefficient").alias("coefficient_std"),
-        (100 * F.avg((F.col("coefficient") > 0).cast("double"))).alias("positive_fold_pct"),
-    ).orderBy(F.desc("mean_absolute_coefficient"))
-    metrics = _overall(predictions, right, persists, feature_set, len(columns), count, transaction_cost_bps)
-    return WalkForwardResult(folds, predictions, symbols, coefficients, metrics)
+    metrics = _overall(predictions, _right(), _persists(), feature_set, len(columns), count, transaction_cost_bps)
+    return WalkForwardResult(folds, predictions, symbol_report(predictions, transaction_cost_bps), coefficient_report(table), metrics)
 
 
 def _overall(predictions: DataFrame, right: Column, persists: Column, feature_set: str, n_features: int, count, cost_bps: float) -> dict[str, object]:

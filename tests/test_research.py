@@ -80,9 +80,17 @@ def test_fit_is_the_exact_optimum(spark):
     g = np.random.default_rng(0)
     x = g.normal(0, 1, (400, 3)) * [1, 5, 0.1] + [0, 2, 1]
     y = (x[:, 0] + 0.3 * x[:, 1] + g.normal(0, 1, 400) > 1.2).astype(int)
-    rows = [(fold, *map(float, r), int(t)) for fold in (1, 2) for r, t in zip(x, y)]
-    frame = spark.createDataFrame(rows, "fold int, a double, b double, c double, target_up int").repartition(3)
-    models = walkforward.fit_folds(frame, ("a", "b", "c"))
+    # places 0 to 3 in turn; both folds train on 1 and 2, the rows of x, and neither on 0 and 3
+    rows = [(1 + k % 2, *map(float, r), int(t)) for k, (r, t) in enumerate(zip(x, y))] + [(p, 9.0, 9.0, 9.0, 1) for p in (0, 3)]
+    frame = spark.createDataFrame(rows, "place int, a double, b double, c double, target_up int").repartition(3).withColumn("session_date", F.date_add(F.lit("2026-01-01").cast("date"), F.col("place")))
+    moments, spans = walkforward.session_moments(frame, ("a", "b", "c")), {1: (1, 3), 2: (1, 3)}
+    one = walkforward.fold_statistics(moments.where("place IN (1, 2)").withColumn("place", F.col("place") - 1), 1, 2, 1, ("a", "b", "c"))
+    both = one.unionByName(one.withColumn("fold", F.lit(2)))
+    models = walkforward.fit_folds(frame, ("a", "b", "c"), both, spans)
+    np.testing.assert_allclose(models[1].means, x.mean(0))
+    np.testing.assert_allclose(models[1].scales, x.std(0))
+    with pytest.raises(RuntimeError, match="not settled"):
+        walkforward.fit_folds(frame, ("a", "b", "c"), both, spans, most_steps=1)
     z = np.column_stack([np.ones(400), (x - x.mean(0)) / x.std(0)])
     w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
     b = np.zeros(4)
@@ -93,7 +101,7 @@ def test_fit_is_the_exact_optimum(spark):
     for fold in (1, 2):
         np.testing.assert_allclose([models[fold].intercept, *models[fold].coefficients], b, atol=1e-8)
     with pytest.raises(ValueError, match="one target class"):
-        walkforward.fit_folds(frame.withColumn("target_up", F.lit(1)), ("a", "b", "c"))
+        walkforward.fit_folds(frame, ("a", "b", "c"), both.withColumn("up", F.col("n")), spans)
 
 
 def test_training_rows_are_those_of_each_fold(spark):
