@@ -19,7 +19,7 @@ from tapeloom.plans.catalog import Archive
 from tapeloom.session import session
 from tapeloom.sources import legacy, prices, provider
 
-NOTICE = "Educational use only; this is not financial advice."
+NOTICE = "Results describe the past of the given prices. They are no advice to trade."
 
 
 def show(**lines: object) -> None:
@@ -36,7 +36,7 @@ def gib(n: int) -> str:
 
 
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="tapeloom", description="Analyze OHLCV prices and run an educational next-bar backtest.")
+    top = argparse.ArgumentParser(prog="tapeloom", description="Indicators, signals and backtests of price series; archives of prices; walk-forward studies.")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, run, *groups) -> argparse.ArgumentParser:
@@ -51,51 +51,51 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--transaction-cost-bps", type=float, default=5.0)
 
     def archive(p):
-        p.add_argument("database", type=Path, help="Archive folder")
+        p.add_argument("database", type=Path, help="the archive's folder")
 
     def chosen(p):
         group = p.add_mutually_exclusive_group(required=True)
-        group.add_argument("--symbols", help="Comma-separated ticker symbols")
-        group.add_argument("--all-symbols", action="store_true", help="Every symbol already in the archive")
+        group.add_argument("--symbols", help="tickers, with commas between")
+        group.add_argument("--all-symbols", action="store_true", help="all tickers the archive has")
         p.add_argument("--feed", choices=provider.FEEDS, default="iex")
         p.add_argument("--batch-size", type=int, default=50)
 
     def interval(p):
         p.add_argument("--interval", type=int, choices=INTERVALS, default=15)
 
-    p = command("demo", "Run an offline demonstration", run_demo, money)
+    p = command("demo", "score and trade a made-up series", run_demo, money)
     p.add_argument("--rows", type=int, default=260)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--output", type=Path)
-    p = command("analyze", "Analyze an OHLCV CSV file", run_analyze, money)
+    p = command("analyze", "score and trade the series of a price file", run_analyze, money)
     p.add_argument("csv_file", type=Path)
     p.add_argument("--output", type=Path, default=Path("reports/analysis.csv"))
-    command("archive-inspect", "Inspect a legacy directory or ZIP", run_inspect).add_argument("source", type=Path)
-    p = command("archive-build", "Build an archive from a legacy directory or ZIP", run_build)
+    command("archive-inspect", "count the price files of a folder or ZIP file", run_inspect).add_argument("source", type=Path)
+    p = command("archive-build", "import a folder or ZIP file of price files as a new archive", run_build)
     p.add_argument("source", type=Path)
     archive(p)
     p.add_argument("--replace", action="store_true")
-    command("archive-info", "Show statistics of an archive", run_info, archive)
-    p = command("archive-update", "Download daily bars into an archive", run_update, archive, chosen)
-    p.add_argument("--start", help="Inclusive YYYY-MM-DD; default: after the oldest last date of the symbols")
-    p.add_argument("--end", help="Inclusive YYYY-MM-DD; default: yesterday")
-    p = command("archive-backfill-minutes", "Download one-minute bars with resumable checkpoints", run_backfill, archive, chosen)
+    command("archive-info", "what an archive holds", run_info, archive)
+    p = command("archive-update", "fetch daily bars and merge them", run_update, archive, chosen)
+    p.add_argument("--start", help="first day (YYYY-MM-DD); else where the ticker that is furthest behind goes on")
+    p.add_argument("--end", help="last day (YYYY-MM-DD); else yesterday")
+    p = command("archive-backfill-minutes", "fetch minute bars, job by job, leaving out what is there", run_backfill, archive, chosen)
     p.add_argument("--start", required=True)
     p.add_argument("--end")
     p.add_argument("--chunk-days", type=int, default=7)
-    command("archive-minute-info", "Show one-minute counts and coverage", run_minute_info, archive)
-    p = command("research-build", "Build regular-session bars and features", run_research_build, archive, interval)
+    command("archive-minute-info", "what an archive holds of minute bars", run_minute_info, archive)
+    p = command("research-build", "make the feature table of one bar length", run_research_build, archive, interval)
     p.add_argument("--feed", choices=provider.FEEDS, default="sip")
     p.add_argument("--start")
     p.add_argument("--end")
-    p = command("research-evaluate", "Run a chronological walk-forward evaluation", run_research_evaluate, archive, interval)
+    p = command("research-evaluate", "fit and test a model fold by fold in time", run_research_evaluate, archive, interval)
     for name, value in (("--train-sessions", 126), ("--test-sessions", 21), ("--holdout-sessions", 21)):
         p.add_argument(name, type=int, default=value)
     p.add_argument("--feature-set", choices=tuple(FEATURE_SETS), default="baseline")
     for name, value in (("--target-move-bps", 5.0), ("--confidence", 0.55), ("--transaction-cost-bps", 5.0)):
         p.add_argument(name, type=float, default=value)
     p.add_argument("--output", type=Path)
-    p = command("archive-analyze", "Analyze one ticker of an archive", run_archive_analyze, archive, money)
+    p = command("archive-analyze", "score and trade one ticker's days", run_archive_analyze, archive, money)
     p.add_argument("ticker")
     p.add_argument("--start")
     p.add_argument("--end")
@@ -108,14 +108,14 @@ def _analyzed(frame, a) -> None:
     try:
         result: BacktestResult = run_backtest(rows, a.initial_cash, a.transaction_cost_bps)
         if a.output:
-            show(Analysis_saved_to=prices.save_csv(rows.orderBy("Date"), a.output))
+            show(Written_to=prices.save_csv(rows.orderBy("Date"), a.output))
         last = rows.agg(F.max_by(F.struct("signal", "signal_score"), "Date").alias("x")).first()["x"]
     finally:
         rows.unpersist()
     m = result.metrics
     show(
-        Latest_signal=f"{last.signal} (score {last.signal_score:+d})", Initial_cash=f"${m['initial_cash']:,.2f}", Final_equity=f"${m['final_equity']:,.2f}",
-        Strategy_return=f"{m['total_return_pct']:+.2f}%", **{"Buy-and-hold_return": f"{m['buy_and_hold_return_pct']:+.2f}%"}, Executed_trades=m["trade_count"],
+        Signal_now=f"{last.signal} (score {last.signal_score:+d})", Initial_cash=f"${m['initial_cash']:,.2f}", Final_equity=f"${m['final_equity']:,.2f}",
+        Return=f"{m['total_return_pct']:+.2f}%", **{"Return_if_held": f"{m['buy_and_hold_return_pct']:+.2f}%"}, Trades=m["trade_count"],
     )
     print(NOTICE)
 
@@ -139,12 +139,12 @@ def run_inspect(a) -> None:
 
 def run_build(a) -> None:
     r = legacy.build_archive(a.source, a.database, replace=a.replace)
-    show(Archive_created=r.database, Files_imported=f"{r.files_imported:,}", Validated_rows=f"{r.rows_imported:,}", Rejected_rows=f"{r.rows_rejected:,}", Symbols=f"{r.symbols:,}", Daily_bars=f"{r.daily_rows:,}")
+    show(Archive=r.database, Files_read=f"{r.files_imported:,}", Rows_kept=f"{r.rows_imported:,}", Rows_refused=f"{r.rows_rejected:,}", Symbols=f"{r.symbols:,}", Daily_bars=f"{r.daily_rows:,}")
 
 
 def run_info(a) -> None:
     s = archives.archive_statistics(Archive(a.database))
-    show(Symbols=f"{s['symbols']:,}", Raw_rows=f"{s['raw_rows']:,}", Daily_bars=f"{s['daily_rows']:,}", Date_range=f"{s['first_date']} through {s['last_date']}", Database_size=gib(s["database_bytes"]))
+    show(Symbols=f"{s['symbols']:,}", Raw_rows=f"{s['raw_rows']:,}", Daily_bars=f"{s['daily_rows']:,}", Days=f"{s['first_date']} to {s['last_date']}", Size=gib(s["database_bytes"]))
 
 
 def _symbols(a, archive: Archive) -> list[str]:
@@ -155,7 +155,7 @@ def run_update(a) -> None:
     client, archive = provider.MarketDataClient(), Archive(a.database)
     symbols = _symbols(a, archive)
     start, end = a.start or archives.next_update_start(archive, symbols), a.end or yesterday()
-    print(f"Requesting daily bars for {len(symbols):,} symbols: {start} through {end}")
+    print(f"Daily bars of {len(symbols):,} tickers from {start} to {end}")
     merged = merge.merge_provider_daily_bars(archive, client.fetch_daily_bars(symbols, start=start, end=end, feed=a.feed, batch_size=a.batch_size))
     show(Rows_merged=f"{merged['rows_merged']:,}", Symbols_updated=f"{merged['symbols_updated']:,}")
 
@@ -165,8 +165,8 @@ def run_backfill(a) -> None:
 
     def said(p: backfill.MinuteBackfillProgress) -> None:
         if p.position == 1 or p.position % 10 == 0 or p.position == p.total:
-            state = "already complete" if p.skipped else f"{p.rows:,} rows"
-            print(f"Job {p.position:,}/{p.total:,}: {p.start} through {p.end}; {p.symbol_count:,} symbols; {state}")
+            state = "nothing left to fetch" if p.skipped else f"{p.rows:,} rows"
+            print(f"Job {p.position:,}/{p.total:,}: {p.start} to {p.end}; {p.symbol_count:,} symbols; {state}")
 
     r = backfill.backfill_minute_bars(archive, _symbols(a, archive), client, start=a.start, end=a.end or yesterday(), feed=a.feed, batch_size=a.batch_size, chunk_days=a.chunk_days, progress=said)
     show(Jobs_completed=f"{r.jobs_completed:,}", Jobs_skipped=f"{r.jobs_skipped:,}", Rows_merged=f"{r.rows_merged:,}", Symbols_updated=f"{r.symbols_updated:,}")
@@ -174,15 +174,15 @@ def run_backfill(a) -> None:
 
 def run_minute_info(a) -> None:
     s = backfill.minute_archive_statistics(Archive(a.database))
-    span = f"{s['first_timestamp']} through {s['last_timestamp']}" if s["first_timestamp"] else "not started"
-    show(Minute_rows=f"{s['rows']:,}", Symbols=f"{s['symbols']:,}", Timestamp_range=span, Coverage_records=f"{s['coverage_records']:,}", Database_size=gib(s["database_bytes"]))
+    span = f"{s['first_timestamp']} to {s['last_timestamp']}" if s["first_timestamp"] else "not started"
+    show(Minute_rows=f"{s['rows']:,}", Symbols=f"{s['symbols']:,}", Span=span, Ranges_covered=f"{s['coverage_records']:,}", Size=gib(s["database_bytes"]))
 
 
 def run_research_build(a) -> None:
     r = dataset.build_research_dataset(Archive(a.database), interval_minutes=a.interval, feed=a.feed, start=a.start, end=a.end)
     show(
-        Research_table=r.table, Interval=f"{r.interval_minutes} minutes", **{"Regular-session_bars": f"{r.bars:,}", "Baseline-ready_rows": f"{r.feature_ready_rows:,}", "Technical-ready_rows": f"{r.technical_ready_rows:,}"},
-        Symbols=f"{r.symbols:,}", Trading_sessions=f"{r.sessions:,}", Session_range=f"{r.first_session} through {r.last_session}",
+        Table=r.table, Interval=f"{r.interval_minutes} minutes", **{"Regular-session_bars": f"{r.bars:,}", "Baseline-ready_rows": f"{r.feature_ready_rows:,}", "Technical-ready_rows": f"{r.technical_ready_rows:,}"},
+        Symbols=f"{r.symbols:,}", Sessions=f"{r.sessions:,}", Session_span=f"{r.first_session} to {r.last_session}",
     )
 
 
@@ -196,7 +196,7 @@ def run_research_evaluate(a) -> None:
     for key, value in r.metrics.items():
         show(**{key: value})
     show(**{k: p for k, (_, p) in reports.items()})
-    print("Educational research only; no orders are submitted.")
+    print("A study of past bars; nothing was traded.")
 
 
 def main(argv: Sequence[str] | None = None) -> int:

@@ -96,6 +96,8 @@ def backfill_minute_bars(archive: Archive, symbols: list[str], client, *, start:
                 low, high = clock.day_bounds(a, b)
                 bars = client.fetch_minute_bars(missing, start=low.isoformat(), end=high.isoformat(), feed=feed, batch_size=len(missing))
                 merged, tickers = _merge_job(archive, spark, bars, missing, feed, a, b)
+                if hasattr(client, "forget"):
+                    client.forget()  # pages saved for this job have been merged
                 done, rows = done + 1, rows + merged
                 updated |= tickers
             else:

@@ -101,3 +101,57 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as stop:
         main(["analyze", str(tmp_path / "none.csv")])
     assert stop.value.code == 2
+
+
+def numbered_pages(calls, broken):
+    """A server of four pages a request; while a file `broken` is there, page 2 cannot be had. Each call leaves its time."""
+
+    def get(parameters):
+        import time
+        import uuid
+        from pathlib import Path
+
+        n = int(parameters.get("page_token") or 0)
+        (Path(calls) / f"{time.time():.6f}-{parameters['symbols']}-{n}-{uuid.uuid4().hex}").touch()
+        if n == 2 and Path(broken).exists():
+            raise RuntimeError("the line is cut")
+        bar = {"t": f"2026-01-05T15:0{n}:00Z", "o": 1, "h": 2, "l": 0.5, "c": 1.5, "v": 10}
+        return {"bars": {s: [bar] for s in parameters["symbols"].split(",")}, "next_page_token": str(n + 1) if n < 3 else None}
+
+    return get
+
+
+def asked(calls):
+    return sorted(tuple(f.name.split("-")[1:3]) for f in calls.iterdir())
+
+
+def test_a_fetch_goes_on_after_its_last_saved_page(spark, tmp_path):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    calls.mkdir()
+    broken.touch()
+    client = provider.MarketDataClient(get=numbered_pages(str(calls), str(broken)), spark=spark, saved_pages=str(tmp_path / "saved"))
+    fetch = lambda: client.fetch_minute_bars(["AAA", "BBB"], start="2026-01-05", end="2026-01-06", batch_size=1)
+    with pytest.raises(Exception, match="the line is cut"):
+        fetch().count()
+    assert {"0", "1"} <= {n for s, n in asked(calls) if s in ("AAA", "BBB")}
+    saved = {(s, n) for s, n in asked(calls) if n in "01"}
+    for f in calls.iterdir():
+        f.unlink()
+    broken.unlink()
+    assert fetch().count() == 8
+    assert not set(asked(calls)) & {x for x in saved if x[0] == "AAA"} and ("AAA", "2") in asked(calls)  # page k + 1 is the first one asked for
+    n = len(asked(calls))
+    assert fetch().count() == 8 and len(asked(calls)) == n  # all pages are saved now
+    client.forget()
+    assert not (tmp_path / "saved").exists() and fetch().count() == 8 and len(asked(calls)) == n + 8
+
+
+def test_all_tasks_keep_to_one_budget(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    client = provider.MarketDataClient(get=numbered_pages(str(calls), str(tmp_path / "no")), spark=spark, requests_per_minute=600)
+    assert client.fetch_minute_bars([f"T{k}" for k in range(6)], start="2026-01-05", end="2026-01-06", batch_size=1).count() == 24
+    times = sorted(float(f.name.split("-")[0]) for f in calls.iterdir())
+    assert len(times) == 24 and all(sum(t <= x < t + 1 for x in times) <= 10 + 6 for t in times) and times[-1] - times[0] > 1.5
+    with pytest.raises(ValueError, match="budget"):
+        provider.MarketDataClient(get=lambda p: {}, requests_per_minute=0)
