@@ -147,7 +147,9 @@ def repair(ids: np.ndarray, last: np.ndarray, n_terminals: int, min_count: int =
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Symbols fit 24 bits; one plane for each byte compresses better."""
+    """One plane for each byte compresses better. Symbols have 24 bits; a block whose grammar needs more is an error."""
+    if len(x) and x.max() >= 1 << 24:
+        raise OverflowError(f"A block of {len(x)} symbols has more than {1 << 24} terminals and rules")
     return b"".join(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, k]).tobytes() for k in range(3))
 
 

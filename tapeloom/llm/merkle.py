@@ -89,19 +89,23 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     height = height_of(a, b)
     mine, theirs = tree(a, height, "tree-a"), tree(b, height, "tree-b")
     bad: DataFrame | None = None
+    differing: dict[int, DataFrame] = {}
     for level in range(height, -1, -1):
         x, y = mine[level].select("node", F.col("hash").alias("_x")), theirs[level].select("node", F.col("hash").alias("_y"))
         if bad is not None:
             below = F.shiftright("node", FANOUT_BITS)
             up = bad.select(F.col("node").alias("_up"))
             x, y = x.join(up, below == F.col("_up"), "left_semi"), y.join(up, below == F.col("_up"), "left_semi")
-        bad = store.written(x.join(y, "node", "full").where("not (_x <=> _y)").select("node"), "differ")
-    # the way down from the root gives each leaf its start: bytes of earlier siblings on every level
+        bad = differing[level] = store.written(x.join(y, "node", "full").where("not (_x <=> _y)").select("node"), "differ")
+    # the way down from the root gives each differing leaf its start: bytes of earlier siblings on every level, below differing nodes only
     start = None
     for level in range(height, -1, -1):
         up = F.shiftright("node", FANOUT_BITS)
         siblings = Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1) if level < height else Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-        here = mine[level].withColumn("up", up).withColumn("start", F.coalesce(F.sum("n_bytes").over(siblings), F.lit(0)))
+        here = mine[level].withColumn("up", up)
+        if level < height:
+            here = here.join(differing[level + 1].select(F.col("node").alias("up")), "up", "left_semi")
+        here = here.withColumn("start", F.coalesce(F.sum("n_bytes").over(siblings), F.lit(0)))
         if start is not None:
             here = here.join(start.select(F.col("node").alias("up"), F.col("start").alias("_s")), "up").withColumn("start", F.col("start") + F.col("_s"))
         start = here.select("node", "start", "n_bytes")
