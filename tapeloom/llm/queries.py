@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,8 @@ def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_count_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache is a folder of the shared storage that lasts between runs."""
-    return token_cache.count_tokens(_documents(spark, sf_dir), f"{store.shared_folder(spark)}/token-counts")
+    """The cache is a folder of the shared storage that lasts between runs, one for each place of documents."""
+    return token_cache.count_tokens(_documents(spark, sf_dir), f"{store.shared_folder(spark)}/token-counts/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
 
 
 def op10_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
