@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 from datetime import date, timedelta
+from os.path import splitext
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -66,10 +67,10 @@ def parser() -> argparse.ArgumentParser:
     p = command("demo", "score and trade a made-up series", run_demo, money)
     p.add_argument("--rows", type=int, default=260)
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--output", type=Path)
+    p.add_argument("--output")
     p = command("analyze", "score and trade the series of a price file", run_analyze, money)
-    p.add_argument("csv_file", type=Path)
-    p.add_argument("--output", type=Path, default=Path("reports/analysis.csv"))
+    p.add_argument("csv_file")
+    p.add_argument("--output", default="reports/analysis.csv")
     command("archive-inspect", "count the price files of a folder or ZIP file", run_inspect).add_argument("source", type=Path)
     p = command("archive-build", "import a folder or ZIP file of price files as a new archive", run_build)
     p.add_argument("source", type=Path)
@@ -94,12 +95,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--feature-set", choices=tuple(FEATURE_SETS), default="baseline")
     for name, value in (("--target-move-bps", 5.0), ("--confidence", 0.55), ("--transaction-cost-bps", 5.0)):
         p.add_argument(name, type=float, default=value)
-    p.add_argument("--output", type=Path)
+    p.add_argument("--output")
     p = command("archive-analyze", "score and trade one ticker's days", run_archive_analyze, archive, money)
     p.add_argument("ticker")
     p.add_argument("--start")
     p.add_argument("--end")
-    p.add_argument("--output", type=Path)
+    p.add_argument("--output")
     return top
 
 
@@ -189,8 +190,9 @@ def run_research_build(a) -> None:
 def run_research_evaluate(a) -> None:
     rows = dataset.load_research_dataset(Archive(a.database), interval_minutes=a.interval)
     r = walkforward.evaluate(rows, train_sessions=a.train_sessions, test_sessions=a.test_sessions, holdout_sessions=a.holdout_sessions, feature_set=a.feature_set, target_move_bps=a.target_move_bps, confidence=a.confidence, transaction_cost_bps=a.transaction_cost_bps)
-    target = a.output or Path(f"reports/walk-forward-{a.interval}m-{a.feature_set}.csv")
-    reports = {"Fold_report": (r.folds, target), "Symbol_report": (r.symbols, target.with_name(f"{target.stem}-symbols{target.suffix}")), "Coefficient_report": (r.coefficients, target.with_name(f"{target.stem}-coefficients{target.suffix}"))}
+    target = a.output or f"reports/walk-forward-{a.interval}m-{a.feature_set}.csv"
+    stem, suffix = splitext(target)
+    reports = {"Fold_report": (r.folds, target), "Symbol_report": (r.symbols, f"{stem}-symbols{suffix}"), "Coefficient_report": (r.coefficients, f"{stem}-coefficients{suffix}")}
     for frame, path in reports.values():
         prices.save_csv(frame, path)
     for key, value in r.metrics.items():

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import time
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,9 +32,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tapeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def located(spark: SparkSession, path: str | os.PathLike) -> tuple[JavaObject, JavaObject]:
+    """The file system that holds a path, and the path as it knows it. A relative path on the local one starts at this process's folder."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    where = make(os.fspath(path))
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file" and where.toUri().getScheme() is None:
+        where = make(os.path.abspath(os.fspath(path)))
+    return system, system.makeQualified(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = located(spark, path)
+    system.delete(where, True)
 
 
 def written_to(df: DataFrame, path: str) -> DataFrame:

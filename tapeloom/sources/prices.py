@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import os
+import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.bars import keep_last
 from tapeloom.operators.validate import raise_first
+from tapeloom.shared import delete, located
 
 PRICE_COLUMNS = ("Date", "Open", "High", "Low", "Close", "Volume")
 DATE_NAMES = ("date", "datetime", "timestamp")
@@ -50,26 +53,72 @@ def normalize_prices(frame: DataFrame) -> DataFrame:
     return kept.orderBy("Date")
 
 
-def load_prices(path: str | Path, spark: SparkSession | None = None) -> DataFrame:
-    """A CSV file with a header. All columns are read as text, by name, and typed by normalize_prices()."""
-    if not Path(path).is_file():
-        raise FileNotFoundError(f"Price file not found: {path}")
+def load_prices(path: str | os.PathLike, spark: SparkSession | None = None) -> DataFrame:
+    """A CSV file with a header, in any store that Spark reads. All columns are read as text, by name, and typed by normalize_prices()."""
     spark = spark or SparkSession.active()
-    return normalize_prices(spark.read.csv(str(path), header=True, inferSchema=False))
-
-
-def save_csv(frame: DataFrame, path: str | Path) -> Path:
-    """One CSV file with a header, for reports. Spark writes it as one part in the file's folder, which then takes the name."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    folder = target.with_name(f".{target.name}.parts")
-    frame.coalesce(1).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ssXXX").csv(str(folder))
-    (part,) = folder.glob("part-*.csv")
-    part.replace(target)
-    for left in folder.iterdir():
-        left.unlink()
-    folder.rmdir()
-    return target
+    system, where = located(spark, path)
+    if not system.exists(where) or not system.getFileStatus(where).isFile():
+        raise FileNotFoundError(f"Price file not found: {path}")
+    return normalize_prices(spark.read.csv(where.toString(), header=True, inferSchema=False))
+
+
+def save_csv(frame: DataFrame, path: str | os.PathLike) -> str | os.PathLike:
+    """One CSV file with a header, in the frame's order, in any store that Spark writes; for reports. Returns the path as it was given.
+
+    Tasks write the parts, committed by Spark, to a hidden folder beside the file. They are then joined there, one after the other, as a stream of
+    bytes, and the whole takes the file's name, in place of a file that has it. If anything fails the folder goes and an earlier file stays as it was.
+    """
+    spark = frame.sparkSession
+    system, target = located(spark, path)
+    folder = f"{target.getParent().toString()}/.{target.getName()}.{uuid.uuid4().hex}"
+    write = lambda rows, name: rows.write.option("timestampFormat", "yyyy-MM-dd HH:mm:ssXXX").csv(f"{folder}/{name}")
+    try:
+        write(frame, "rows")
+        write(spark.range(1).select(*[F.lit(c).alias(f"c{k}") for k, c in enumerate(frame.columns)]), "header")
+        if system.getUri().getScheme() == "file":
+            system = system.getRaw()  # no file of checksums, which a later edit by hand would belie
+        whole = system.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{target.getName()}"))
+        _join(spark, system, [*_parts(spark, system, f"{folder}/header"), *_parts(spark, system, f"{folder}/rows")], whole)
+        _take_name(spark, system, whole, target)
+    finally:
+        delete(spark, folder)
+    return path
+
+
+def _parts(spark: SparkSession, system: JavaObject, folder: str) -> list[JavaObject]:
+    """The data files that Spark wrote, in the order of their partitions."""
+    found = [s.getPath() for s in system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))]
+    numbered = [(int(p.getName().split("-")[1]), p.getName(), p) for p in found if p.getName().startswith("part-")]
+    return [p for _, _, p in sorted(numbered, key=lambda n: n[:2])]
+
+
+def _join(spark: SparkSession, system: JavaObject, parts: list[JavaObject], whole: JavaObject) -> None:
+    copy = spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = system.create(whole, True)
+    try:
+        for part in parts:
+            stream = system.open(part)
+            try:
+                copy(stream, out, 1 << 16, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+
+
+def _take_name(spark: SparkSession, system: JavaObject, whole: JavaObject, target: JavaObject) -> None:
+    """Rename, replacing a file of that name."""
+    if system.exists(target) and system.getFileStatus(target).isDirectory():
+        raise FileExistsError(f"A folder has the name of the file: {target.toString()}")
+    if system.getUri().getScheme() == "file":
+        system.rename(whole, target)
+        system.delete(system.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(f"{target.getParent().toString()}/.{target.getName()}.crc")), False)
+        return
+    jvm = spark._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    replacing = spark.sparkContext._gateway.new_array(kind, 1)
+    replacing[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(whole, target, replacing)
 
 
 def generate_demo_prices(rows: int = 260, seed: int = 42, spark: SparkSession | None = None) -> DataFrame:

@@ -40,7 +40,30 @@ def test_csv_round_trip(spark, tmp_path):
     made = generate_demo_prices(60)
     saved = prices.save_csv(made, tmp_path / "deep" / "out.csv")
     assert [tuple(r) for r in prices.load_prices(saved, spark).collect()] == [tuple(r) for r in made.collect()]
-    assert [p.name for p in saved.parent.iterdir() if not p.name.endswith(".crc")] == ["out.csv"]
+    assert [p.name for p in saved.parent.iterdir()] == ["out.csv"]
+
+
+def test_one_file_of_many_parts(spark, tmp_path):
+    frame = spark.range(5000).selectExpr("id", "concat('a \"b\", ', id) AS `te,xt`", "CASE WHEN id % 3 > 0 THEN id / 7 END AS x").repartition(7).orderBy("id")
+    for target in (tmp_path / "many.csv", f"file://{tmp_path}/uri.csv"):
+        assert prices.save_csv(frame, target) == target
+    frame.coalesce(1).write.option("header", True).csv(str(tmp_path / "single"))
+    (single,) = (tmp_path / "single").glob("part-*.csv")
+    assert (tmp_path / "many.csv").read_bytes() == (tmp_path / "uri.csv").read_bytes() == single.read_bytes()
+    prices.save_csv(frame.limit(0), tmp_path / "many.csv")  # replaces the file
+    assert (tmp_path / "many.csv").read_text() == 'id,"te,xt",x\n'
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["many.csv", "single", "uri.csv"]
+
+
+def test_failed_csv_leaves_the_earlier_file(spark, tmp_path):
+    target = tmp_path / "kept.csv"
+    target.write_text("earlier\n")
+    with pytest.raises(Exception, match="row 77"):
+        prices.save_csv(spark.range(0, 100, 1, 4).selectExpr("if(id = 77, raise_error('row 77'), id) AS id"), target)
+    assert [p.name for p in tmp_path.iterdir()] == ["kept.csv"] and target.read_text() == "earlier\n"
+    (tmp_path / "folder").mkdir()
+    with pytest.raises(FileExistsError):
+        prices.save_csv(spark.range(1), tmp_path / "folder")
 
 
 def test_day_pages_are_bounded(spark):
