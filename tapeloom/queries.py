@@ -348,6 +348,7 @@ def backtest_metrics(spark, sf_dir):
 
 #: All trades one after another as one instrument's bars, cut into blocks of so many rows.
 ONE_BLOCK = 4_096
+BAR_BLOCK = 256
 
 
 def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,6 +424,13 @@ def features_technical(spark, sf_dir):
     return rounded(featured(spark, sf_dir).select("ticker", "timestamp", *features.TECHNICAL_ONLY), 6)
 
 
+@query(f"{FEATURED} SELECT ticker, timestamp, {_r(*features.FEATURE_SETS['technical'], 'future_return', places=6)} FROM feat")
+def long_series_features(spark, sf_dir):
+    """All features and the target, over blocks of time."""
+    found = features.research_features_in_blocks(bars.intraday_bars(minutes(spark, sf_dir), 15), 15, BAR_BLOCK)
+    return rounded(found.select("ticker", "timestamp", *features.FEATURE_SETS["technical"], "future_return"), 6)
+
+
 @query(f"{FEATURED} SELECT ticker, timestamp, session_date, {_r('future_return', places=8)} FROM feat")
 def next_bar_target(spark, sf_dir):
     return rounded(featured(spark, sf_dir).select("ticker", "timestamp", "session_date", "future_return"), 8)

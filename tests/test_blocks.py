@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import frames
 from tapeloom.functions.frames import Names
-from tapeloom.operators import backtest, blocks, indicators, signals
+from tapeloom.operators import backtest, blocks, features, indicators, signals
 from tests.test_indicators import NAMES, series
 
 FLAT = [(100, 400), (600, 640)]
@@ -64,6 +64,32 @@ def test_signals_and_backtest_do_not_depend_on_blocks(spark, prices):
         backtest.simulate_in_blocks(scored, transaction_cost_bps=10_000, names=NAMES)
 
 
+def test_research_features_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    tables = []
+    for ticker, n in (("A", 700), ("B", 61), ("C", 3), (None, 150)):
+        close = 50 + rng.normal(0, 1, n).cumsum().round(2) / 10
+        day = pd.Timestamp("2026-01-05 09:30") + pd.to_timedelta(np.arange(n) // 26, "D") + pd.to_timedelta(np.arange(n) % 26 * 15, "min")
+        tables.append(pd.DataFrame({
+            "ticker": ticker, "timestamp": day, "session_date": day.date, "open": close - 0.1, "high": close + 0.3, "low": close - 0.4, "close": close,
+            "volume": np.where(rng.random(n) < 0.1, 0.0, rng.integers(1, 900, n)), "trade_count": rng.integers(1, 50, n).astype(float), "vwap": close + 0.05, "source_minutes": 15,
+        }))
+    made = pd.concat(tables)
+    made = made[rng.random(len(made)) > 0.05]
+    bars = spark.createDataFrame(made).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).withColumn("volume", F.when(F.rand(3) > 0.03, F.col("volume"))).withColumn("extra", F.lit("x"))
+    bars = spark.createDataFrame(bars.collect(), bars.schema)
+    columns = (*features.FEATURE_SETS["technical"], "future_return")
+    ordered = lambda df: df.toPandas().sort_values(["ticker", "timestamp"]).reset_index(drop=True)
+    want = features.research_features(bars, 15)
+    whole = ordered(want)
+    assert whole[list(columns)].notna().any().all()
+    for block_rows in (64, 130):
+        got = features.research_features_in_blocks(bars, 15, block_rows)
+        assert got.columns == want.columns
+        same(ordered(got), whole, columns)
+    assert features.research_features_in_blocks(bars.where("false"), 15).count() == 0
+
+
 def test_one_ticker_spreads_over_all_tasks(spark):
     n = 200_000
     hot = spark.range(n).select(F.lit("HOT").alias("ticker"), F.col("id").alias("t"), *[(100 + F.sin(F.col("id") / 50)).alias(c) for c in ("open", "close")], (102 + F.sin(F.col("id") / 50)).alias("high"), (98 + F.sin(F.col("id") / 50)).alias("low"), F.lit(1.0).alias("volume"))
