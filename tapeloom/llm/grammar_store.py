@@ -89,32 +89,40 @@ def _frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     return ordered[at[often]], counts[often]
 
 
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+
+
 def repair(ids: np.ndarray, last: np.ndarray, n_terminals: int, min_count: int = 16) -> tuple[np.ndarray, np.ndarray, Grammar]:
-    """Compress ids; last marks the final id of each document. Returns the symbols, their own last marks, and the grammar."""
+    """Compress ids; last marks the final id of each document. Returns the symbols, their own last marks, and the grammar.
+
+    A pair that is not frequent stays so until one of its symbols is replaced, so a round looks only at the pairs that were
+    frequent in the round before and at those beside a new symbol.
+    """
     symbols = ids.astype(np.uint32)
     last = last.copy()
     left, right, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
     grammar = Grammar(n_terminals, left[0], right[0], lengths[0])
     n_rules, bits = 0, 19
-    while len(symbols) > 1:
-        keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        with np.errstate(over="ignore"):
-            slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        slots[last[:-1]] = 0  # a slot of its own for what may not be replaced
-        # only places in well-filled slots can hold a frequent pair; the rest is neither sorted nor looked at again
-        filled = np.bincount(slots, minlength=1 << bits) >= min_count
-        filled[0] = False
-        places = np.flatnonzero(filled[slots])
-        pairs, counts = _frequent_pairs(keys[places], min_count)
+    places = np.flatnonzero(~last[:-1])
+    while len(places):
+        keys = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
+        slots = _slots(keys, bits)
+        # only places in well-filled slots can hold a frequent pair; the rest is not sorted
+        often = (np.bincount(slots, minlength=1 << bits) >= min_count)[slots]
+        places, keys, slots = places[often], keys[often], slots[often]
+        pairs, counts = _frequent_pairs(keys, min_count)
         if not len(pairs):
             break
         # more frequent pairs get higher marks; two pairs that share a slot meet again next round
         pairs = pairs[np.argsort(counts, kind="stable")]
         table = np.zeros(1 << bits, dtype=np.int32)
-        with np.errstate(over="ignore"):
-            table[((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)] = np.arange(1, len(pairs) + 1)
-        marks = table[slots[places]]
-        true = (marks > 0) & (pairs[marks - 1] == keys[places])
+        table[_slots(pairs, bits)] = np.arange(1, len(pairs) + 1)
+        marks = table[slots]
+        true = (marks > 0) & (pairs[marks - 1] == keys)
+        again = np.zeros(len(symbols), dtype=bool)
+        again[places] = True
         places, marks = places[true], marks[true]
         mark = np.zeros(len(symbols) + 1, dtype=np.int32)
         mark[places] = marks
@@ -138,9 +146,11 @@ def repair(ids: np.ndarray, last: np.ndarray, n_terminals: int, min_count: int =
         lengths.append(grammar.sizes(left[-1]) + grammar.sizes(right[-1]))
         symbols[at] = name[marks]
         last[at] = last[at + 1]
+        again[at] = again[at[at > 0] - 1] = True
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         symbols, last = symbols[stay], last[stay]
+        places = np.flatnonzero(again[stay][:-1] & ~last[:-1])
         n_rules += len(new)
         grammar = Grammar(n_terminals, np.concatenate(left), np.concatenate(right), np.concatenate(lengths))
     return symbols, last, grammar
