@@ -78,6 +78,17 @@ def contents(db):
     return [sorted(map(str, strip(a.read(t)).collect() if t != "daily_prices" else a.read(t).collect())) for t in ("prices", "daily_prices", "import_log", "import_rejections")]
 
 
+def test_all_rows_of_one_instant_can_be_kept(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "CurrentData(AAA).csv").write_text(lines("AAA") + "".join(lines("AAA", 5).splitlines(True)[1:]))
+    r = build_archive(src, tmp_path / "first")
+    assert (r.rows_imported, Archive(tmp_path / "first").read("daily_prices").agg(F.sum("source_rows")).first()[0]) == (70, 70)
+    r = build_archive(src, tmp_path / "all", one_per_instant=False)
+    assert (r.rows_imported, Archive(tmp_path / "all").read("daily_prices").agg(F.sum("source_rows")).first()[0]) == (75, 75)
+    assert Archive(tmp_path / "all").read("prices").groupBy("ticker", "timestamp").count().where("count = 2").count() == 5
+
+
 def test_zip_and_folder_builds_are_equal_and_broken_files_keep_their_rows(spark, tmp_path, monkeypatch):
     from tapeloom.sources import legacy
 
