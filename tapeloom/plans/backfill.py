@@ -47,10 +47,10 @@ def coverage_rows(requested: DataFrame, batch: DataFrame) -> DataFrame:
     return requested.join(batch.groupBy("ticker").agg(F.count("*").alias("row_count")), "ticker", "left").select("ticker", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
-def _merge_job(archive: Archive, spark: SparkSession, bars: DataFrame, requested: list[str], feed: str, start: date, end: date) -> tuple[int, set[str]]:
+def _merge_job(archive: Archive, spark: SparkSession, bars: DataFrame, requested: list[str], feed: str, start: date, end: date, one_per_instant: bool) -> tuple[int, set[str]]:
     """Merge one job's bars. They are read once, and nothing but them is written."""
     with archive.landed(bars) as landed:
-        batch = validate.provider_bars(landed, feed)
+        batch = validate.provider_bars(landed, feed, one_per_instant)
         symbols = spark.createDataFrame([(s,) for s in requested], "ticker string")
         counts = {r.ticker: r["count"] for r in batch.groupBy("ticker").count().collect()}  # of one batch of symbols
         job = [F.lit(feed).alias("feed"), F.lit(start).alias("start_date"), F.lit(end).alias("end_date")]
@@ -65,8 +65,11 @@ def _merge_job(archive: Archive, spark: SparkSession, bars: DataFrame, requested
     return sum(counts.values()), set(counts)
 
 
-def backfill_minute_bars(archive: Archive, symbols: list[str], client, *, start: str | date, end: str | date, feed: str = "iex", batch_size: int = 50, chunk_days: int = 7, progress: Callable[[MinuteBackfillProgress], None] | None = None) -> MinuteBackfillResult:
-    """Fetch and merge what no earlier run covered. A range that gave no bars is covered too. client needs fetch_minute_bars()."""
+def backfill_minute_bars(archive: Archive, symbols: list[str], client, *, start: str | date, end: str | date, feed: str = "iex", batch_size: int = 50, chunk_days: int = 7, progress: Callable[[MinuteBackfillProgress], None] | None = None, one_per_instant: bool = True) -> MinuteBackfillResult:
+    """Fetch and merge what no earlier run covered. A range that gave no bars is covered too. client needs fetch_minute_bars().
+
+    Of a job's bars of one ticker and instant the last is kept, or, without one_per_instant, all.
+    """
     archive.require()
     names = normalized_symbols(symbols)
     first, last = clock.as_date(start, "Start date"), clock.as_date(end, "End date")
@@ -95,7 +98,7 @@ def backfill_minute_bars(archive: Archive, symbols: list[str], client, *, start:
             if missing:
                 low, high = clock.day_bounds(a, b)
                 bars = client.fetch_minute_bars(missing, start=low.isoformat(), end=high.isoformat(), feed=feed, batch_size=len(missing))
-                merged, tickers = _merge_job(archive, spark, bars, missing, feed, a, b)
+                merged, tickers = _merge_job(archive, spark, bars, missing, feed, a, b, one_per_instant)
                 if hasattr(client, "forget"):
                     client.forget()  # pages saved for this job have been merged
                 done, rows = done + 1, rows + merged

@@ -184,6 +184,20 @@ def parts(archive, table):
     return found
 
 
+def test_a_backfill_can_keep_all_bars_of_one_instant(spark, tmp_path):
+    class Twice(FakeClient):
+        def fetch_minute_bars(self, *args, **options):
+            bars = super().fetch_minute_bars(*args, **options)
+            return bars.unionByName(bars)
+
+    for name, keep_one, n in (("one", True, 1), ("all", False, 2)):
+        a = Archive(tmp_path / name)
+        a.commit({"import_log": spark.createDataFrame([], "source_file string, ticker string, imported_rows long, rejected_rows long, error string")})
+        r = backfill.backfill_minute_bars(a, ["AAA"], Twice(spark), start="2026-01-05", end="2026-01-05", one_per_instant=keep_one)
+        assert (r.rows_merged, a.read("provider_minute_bars").count(), backfill.minute_archive_statistics(a)["rows"]) == (n, n, n)
+        assert [x.row_count for x in a.read("provider_minute_coverage").collect()] == [n]
+
+
 def test_merges_write_only_the_parts_they_touch(spark, tmp_path):
     a = Archive(tmp_path / "db")
     a.commit({"import_log": spark.createDataFrame([], "source_file string, ticker string, imported_rows long, rejected_rows long, error string")})
