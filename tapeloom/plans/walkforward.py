@@ -30,12 +30,14 @@ class WalkForwardResult:
     metrics: dict[str, object]
 
 
-def labelled(dataset: DataFrame, columns: tuple[str, ...], target_move_bps: float) -> DataFrame:
-    """Complete rows that move by more than the threshold, and whether they move up. Infinite values are missing."""
+def labelled(dataset: DataFrame, columns: tuple[str, ...], target_move_bps: float, infinite: bool = False) -> DataFrame:
+    """Complete rows that move by more than the threshold, and whether they move up. Infinite values are missing, unless they are asked for."""
     threshold = target_move_bps / 10_000
     complete = F.abs("future_return") > threshold
     for c in ("future_return", *columns):
-        complete = complete & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+        complete = complete & F.col(c).isNotNull()
+        if not infinite:
+            complete = complete & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rows = dataset.select("ticker", "timestamp", F.col("session_date").cast("date").alias("session_date"), "future_return", *columns)
     return rows.where(complete).withColumn("target_up", (F.col("future_return") > threshold).cast("int"))
 
@@ -97,6 +99,16 @@ def fold_statistics(moments: DataFrame, folds: int, train: int, test: int, colum
     return around.agg(*[F.sqrt(spread(c) / F.col("rows")).alias(f"s_{c}") for c in columns]).withColumnsRenamed({"rows": "n", "ups": "up", **{f"a_{c}": f"m_{c}" for c in columns}})
 
 
+def fold_outline(placed: DataFrame, folds: int, train: int, test: int) -> DataFrame:
+    """What of each fold's report does not depend on a model."""
+    spans = training_rows(session_moments(placed, ()), folds, train, test).groupBy("fold").agg(F.min("session_date").alias("train_start"), F.max("session_date").alias("train_end"), F.sum("n").alias("train_rows"))
+    persists = F.col("target_up") == (F.col("return_1") > 0).cast("int")
+    tested = placed.where("test_fold is not null").groupBy(F.col("test_fold").alias("fold")).agg(
+        F.min("session_date").alias("test_start"), F.max("session_date").alias("test_end"), F.count("*").alias("test_rows"), (100 * F.avg("target_up")).alias("up_target_pct"), _accuracy(persists).alias("persistence_accuracy")
+    )
+    return spans.join(tested, "fold")
+
+
 def _curvature(columns: tuple[str, ...], spans: dict[int, tuple[int, int]], models: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]]):
     """Sums of a batch for each fold: loss, gradient and curvature of the weighted logistic loss at the fold's present coefficients."""
 

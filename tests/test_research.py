@@ -62,6 +62,21 @@ def sessions(spark):
     return spark.createDataFrame(made, "ticker string, timestamp timestamp_ntz, session_date date, future_return double, " + ", ".join(f"{c} double" for c in features.BASELINE))
 
 
+def test_ratios_to_a_price_of_zero(spark):
+    at = [datetime(2026, 1, 5, 9, 30) + timedelta(minutes=15 * i) for i in range(4)]
+    made = [("AAA", t, t.date(), o, 3.0, 0.0, c, 5.0, 1.0, 1.0, 15) for t, o, c in zip(at, (1.0, 0.0, 0.0, 2.0), (0.0, 1.0, 0.0, 2.0))]
+    rows = spark.createDataFrame(made, "ticker string, timestamp timestamp_ntz, session_date date, open double, high double, low double, close double, volume double, trade_count double, vwap double, source_minutes long")
+    names = ("intrabar_return", "range_pct", "return_1", "future_return")
+    found = lambda df: [tuple("nan" if x != x else x for x in r) for r in df.orderBy("timestamp").select(*names).collect()]
+    inf, nan = float("inf"), "nan"
+    plain = [(-1.0, 3.0, None, None), (None, None, None, None), (None, None, -1.0, 0.0), (0.0, 1.5, None, None)]
+    floating = [(-1.0, 3.0, None, inf), (inf, inf, inf, nan), (nan, inf, -1.0, 0.0), (0.0, 1.5, inf, None)]
+    for make in (features.research_features, features.research_features_in_blocks):
+        assert found(make(rows, 15)) == plain and found(make(rows, 15, infinite=True)) == floating
+    ready = features.research_features(rows, 15, infinite=True)
+    assert walkforward.labelled(ready, ("range_pct",), 5.0).count() == 0 and walkforward.labelled(ready, ("range_pct",), 5.0, infinite=True).count() == 2
+
+
 def test_walk_forward(spark):
     r = walkforward.evaluate(sessions(spark), train_sessions=20, test_sessions=10, holdout_sessions=10)
     assert (r.metrics["folds"], r.metrics["test_rows"], r.metrics["holdout_rows"]) == (3, 180, 60)
