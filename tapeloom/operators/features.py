@@ -125,11 +125,11 @@ def research_features_in_blocks(bars: DataFrame, minutes: int, block_rows: int =
     rows = blocks.scanned(rows, {
         "_up": blocks.Mean(F.col("_gain"), 1 / 14, 14), "_down": blocks.Mean(F.col("_loss"), 1 / 14, 14), "_fast": blocks.Mean(c, 2 / 13), "_slow": blocks.Mean(c, 2 / 27),
         "_atr": blocks.Mean(F.col("_range"), 1 / 14, 14), "_count": blocks.Total(F.when(signed.isNotNull(), 1.0)),
+        "_signal": blocks.MeanOfSpread(c, 2 / 13, 2 / 27, 2 / 10),
     }, own)
     # the on-balance volume of four rows before is there if a value came before the last four
     rows = rows.withColumns({
         "rsi_14": ind.strength(F.col("_up"), F.col("_down")), "_macd": F.col("_fast") - F.col("_slow"),
         "obv_pressure_4": F.when(F.col("_count") > F.col("_count_4"), F.try_divide(F.col("_signed_4"), F.col("_volume_4"))),
     })
-    rows = blocks.without_halos(blocks.scanned(rows, {"_signal": blocks.Mean(F.col("_macd"), 2 / 10)}, own)).withColumns(_by_price(_ratio(infinite)))
-    return rows.select(*bars.columns, *FEATURE_SETS["technical"], "future_return")
+    return rows.withColumns(_by_price(_ratio(infinite))).select(*bars.columns, *FEATURE_SETS["technical"], "future_return")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import ANALYSIS, Names
 from tapeloom.operators import blocks
-from tapeloom.operators.indicators import add_indicators, add_indicators_in_blocks
+from tapeloom.operators.indicators import add_indicators, indicator_blocks
 from tapeloom.operators.validate import require_columns
 
 
@@ -59,7 +59,11 @@ def analyze_prices(bars: DataFrame, names: Names = ANALYSIS) -> DataFrame:
 
 def analyze_prices_in_blocks(bars: DataFrame, names: Names = ANALYSIS, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """The same for instruments of any length, in blocks of time."""
-    rows, own = blocks.in_blocks(add_indicators_in_blocks(bars, names, block_rows), names, block_rows, halo=1)
-    before = F.lag("macd_histogram").over(own.series())
+    return blocks.without_blocks(signal_blocks(bars, names, block_rows)[0])
+
+
+def signal_blocks(bars: DataFrame, names: Names, block_rows: int) -> tuple[DataFrame, Names]:
+    """Indicators and signals in blocks of time, without halos; and names whose windows stay within blocks."""
+    rows, own = indicator_blocks(bars, names, block_rows)
     needed = [names.close, "sma_50", "bollinger_percent_b", "rsi_14", "macd_histogram", "stochastic_k", "cmf_20"]
-    return blocks.without_halos(_scored(rows.withColumn("_before", before), names, needed)).drop(blocks.BLOCK, blocks.IS_HALO)
+    return _scored(blocks.earlier(rows, {"_before": ("macd_histogram", 1)}, own, block_rows), names, needed), own

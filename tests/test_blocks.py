@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom import shared
 from tapeloom.functions import frames
 from tapeloom.functions.frames import Names
 from tapeloom.operators import backtest, blocks, features, indicators, signals
@@ -122,3 +123,23 @@ def test_null_keys_no_key_and_no_rows(spark, prices):
     assert indicators.add_indicators_in_blocks(prices.where("false"), NAMES).count() == 0
     with pytest.raises(ValueError, match="halo"):
         blocks.in_blocks(prices, NAMES, 10)
+
+
+def test_means_over_missing_values_do_not_depend_on_blocks(spark, prices):
+    """Before the first value, inside and over whole blocks."""
+    gone = F.col("t").between(0, 70) | F.col("t").between(200, 340) | (F.col("t") % 7 == 3)
+    holes = prices.withColumn("close", F.when(~gone, F.col("close")))
+    columns = ("macd", "macd_signal", "rsi_14", "sma_20", "bollinger_upper", "cmf_20", "obv")
+    want = rows(indicators.add_indicators(holes, NAMES), columns)
+    for block_rows in (64, 1000):
+        same(rows(indicators.add_indicators_in_blocks(holes, NAMES, block_rows), columns), want, columns)
+
+
+def test_earlier_rows_come_over_block_starts(spark, prices):
+    cut, own = blocks.in_blocks(prices, NAMES, 2, halo=0)
+    found = blocks.earlier(cut, {"one": ("close", 1), "two": ("close", 2)}, own, 2)
+    w = NAMES.series()
+    want = prices.withColumns({"one": F.lag("close", 1).over(w), "two": F.lag("close", 2).over(w)})
+    same(rows(found, ("one", "two")), rows(want, ("one", "two")), ("one", "two"))
+    with pytest.raises(ValueError, match="looked back"):
+        blocks.earlier(cut, {"three": ("close", 3)}, own, 2)
