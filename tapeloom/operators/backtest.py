@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.frames import ANALYSIS, Names, so_far
-from tapeloom.operators import blocks
+from tapeloom.operators import blocks, signals
 from tapeloom.operators.validate import require_columns
 
 
@@ -63,17 +63,28 @@ def simulate(rows: DataFrame, initial_cash: float = 10_000.0, transaction_cost_b
 def simulate_in_blocks(rows: DataFrame, initial_cash: float = 10_000.0, transaction_cost_bps: float = 5.0, names: Names = ANALYSIS, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """simulate() for instruments of any length, in blocks of time. Costs of all that is traded or more (10,000 basis points) are simulate()'s alone."""
     _check(rows.columns, names, initial_cash, transaction_cost_bps)
+    keys = [names.key] if names.key else []
+    cut, own = blocks.in_blocks(rows.select(*keys, names.time, names.open, names.close, "signal"), names, block_rows, halo=0)
+    return _simulate_blocks(cut, own, initial_cash, transaction_cost_bps, names, block_rows)
+
+
+def analyze_and_simulate_in_blocks(bars: DataFrame, initial_cash: float = 10_000.0, transaction_cost_bps: float = 5.0, names: Names = ANALYSIS, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """simulate() of the bars' own signals for instruments of any length; a history is cut into blocks once for both."""
+    _check([*bars.columns, "signal"], names, initial_cash, transaction_cost_bps)
+    return _simulate_blocks(*signals.signal_blocks(bars, names, block_rows), initial_cash, transaction_cost_bps, names, block_rows)
+
+
+def _simulate_blocks(rows: DataFrame, own: Names, initial_cash: float, transaction_cost_bps: float, names: Names, block_rows: int) -> DataFrame:
     cost = transaction_cost_bps / 10_000
     if cost >= 1:
         raise ValueError("Transaction cost must be less than what is traded")
     keys = [names.key] if names.key else []
-    slim = rows.select(*keys, names.time, F.col(names.open).cast("double").alias("_open"), F.col(names.close).cast("double").alias("_close"), "signal")
-    out, own = blocks.in_blocks(slim, names, block_rows, halo=2)
-    asked = lambda back: F.when(F.lag("signal", back).over(own.series()) == "Buy", 1).when(F.lag("signal", back).over(own.series()) == "Sell", 0)
-    out = blocks.scanned(out.withColumns({"_asked": asked(1), "_asked_before": asked(2)}), {"_now": blocks.Last(F.col("_asked")), "_then": blocks.Last(F.col("_asked_before"))}, own)
+    asked = F.when(F.col("signal") == "Buy", 1).when(F.col("signal") == "Sell", 0)
+    out = rows.select(*keys, names.time, F.col(names.open).cast("double").alias("_open"), F.col(names.close).cast("double").alias("_close"), asked.alias("_asked"), blocks.PLACE, blocks.BLOCK, blocks.IS_HALO)
+    out = blocks.earlier(blocks.scanned(out, {"_wanted": blocks.Last(F.col("_asked"))}, own), {"_now": ("_wanted", 1), "_then": ("_wanted", 2)}, own, block_rows)
     out = out.withColumns({"_held": F.coalesce("_now", F.lit(0)), "action": F.coalesce("_now", F.lit(0)) - F.coalesce("_then", F.lit(0))})
     factor = F.when(F.col("action") == 1, 1 / (F.col("_open") * (1 + cost))).when(F.col("action") == -1, F.col("_open") * (1 - cost)).otherwise(F.lit(1.0))
-    out = blocks.without_halos(blocks.scanned(out.withColumn("_step", F.ln(F.nullif(factor, F.lit(0.0)))), {"_grown": blocks.Total(F.col("_step"))}, own))
+    out = blocks.scanned(out.withColumn("_step", F.ln(F.nullif(factor, F.lit(0.0)))), {"_grown": blocks.Total(F.col("_step"))}, own)
     units = initial_cash * F.exp("_grown")
     out = out.withColumns({
         "cash": F.when(F.col("_held") == 1, 0.0).otherwise(units), "shares": F.when(F.col("_held") == 1, units).otherwise(0.0),

@@ -135,6 +135,23 @@ def test_means_over_missing_values_do_not_depend_on_blocks(spark, prices):
         same(rows(indicators.add_indicators_in_blocks(holes, NAMES, block_rows), columns), want, columns)
 
 
+def test_a_backtest_cuts_its_series_once(spark, prices, monkeypatch):
+    """Signals and backtest share their blocks, the signal line needs no scan of its own, and no window runs from a block's start on."""
+    made, plans = [], []
+
+    def noted(df, name):
+        made.append(name)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return shared.written(df, name)
+
+    monkeypatch.setattr(blocks, "written", noted)
+    found = backtest.analyze_and_simulate_in_blocks(prices, names=NAMES, block_rows=64)
+    assert sorted(made) == ["carry"] * 3 + ["local"] * 3 + ["series"]
+    assert not any("unboundedpreceding" in line and "_block" in line for plan in plans for line in plan.splitlines())
+    columns = ("action", "cash", "shares", "equity", "traded", "fee")
+    same(rows(found, columns), rows(backtest.simulate(signals.analyze_prices(prices, NAMES), names=NAMES), columns), columns)
+
+
 def test_earlier_rows_come_over_block_starts(spark, prices):
     cut, own = blocks.in_blocks(prices, NAMES, 2, halo=0)
     found = blocks.earlier(cut, {"one": ("close", 1), "two": ("close", 2)}, own, 2)
