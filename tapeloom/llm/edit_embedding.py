@@ -9,7 +9,8 @@ are joined in the first level), and keeps four bits of a hash of each character;
 length share their times. likeness() is the share of equal samples, each level weighted by the time it stands for.
 
 Banding draws samples of one level at a time: of a text's last level, where the text reaches the drawn times, and of the level before, which is always
-full; texts that agree on a band meet and are verified by likeness (similar_classes()). Walks of many texts are stepped side by side.
+full; texts that agree on a band meet and are verified by likeness (similar_classes()), after a bound on it from a few words of each (mark_of()) that turns
+most pairs away where they meet. Walks of many texts are stepped side by side.
 
 Defined cases: a null text is empty; the fingerprint of an empty text is "" and two empty texts have likeness 1, an empty and another 0;
 rows with equal doc_id are ordered by xxhash64 of their text, so that long texts need not be compared; a null doc_id comes last in
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import components, store
@@ -169,6 +170,44 @@ def band_keys(fingerprint: str) -> list[int]:
     return keys
 
 
+MARK = "struct<weight:bigint,full:int,rest:int,f0:bigint,f1:bigint,p0:bigint,p1:bigint>"
+
+
+def mark_of(fingerprint: str) -> tuple[int, ...]:
+    """What bounds a text's likeness to others: the weight of its samples, its number of full levels and of samples past them, and two bits of each sample of
+    the last full level and of the one after it."""
+    full, rest = divmod(len(fingerprint.rstrip("-")), SAMPLES)
+    bits = []
+    for level in (full - 1, full):
+        said = fingerprint[level * SAMPLES : (level + 1) * SAMPLES].rstrip("-") if level >= 0 else ""
+        for plane in (0, 1):
+            word = sum((int(c, 16) >> plane & 1) << i for i, c in enumerate(said))
+            bits.append(word - (1 << 64) if word >> 63 else word)
+    return (SAMPLES * (full and 2 << full) + rest * (2 << max(full, 1)), full, rest, *bits)
+
+
+def _marks(fingerprints: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([mark_of(f) for f in fingerprints], columns=["weight", "full", "rest", "f0", "f1", "p0", "p1"])
+
+
+def may_be_alike(least: float):
+    """Whether two texts with these marks can have likeness `least`: what is unequal for sure, by length and by the two bits, is held against it."""
+
+    def may(a: Column, b: Column) -> Column:
+        below = lambda m: F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), m))
+        unequal = lambda x, y, m: F.bit_count((x[0].bitwiseXOR(y[0])).bitwiseOR(x[1].bitwiseXOR(y[1])).bitwiseAND(m))
+        part, level = (lambda m: (m["p0"], m["p1"])), (lambda m: (m["f0"], m["f1"]))
+        weight = lambda k: F.call_function("shiftleft", F.lit(2).cast("long"), F.greatest(k, F.lit(1)))  # noqa: E731  of a sample of level k
+        same = weight(a["full"] - 1) * unequal(level(a), level(b), F.lit(-1).cast("long")) + weight(a["full"]) * unequal(part(a), part(b), below(F.least(a["rest"], b["rest"])))
+        longer = weight(a["full"]) * unequal(part(a), level(b), below(a["rest"]))  # b's last full level is a's last one
+        shorter = weight(b["full"]) * unequal(part(b), level(a), below(b["rest"]))
+        step = b["full"] - a["full"]
+        lost = F.when(step == 0, same).when(step == 1, longer).when(step == -1, shorter).otherwise(0)
+        return F.least(a["weight"], b["weight"]) - lost >= (least - 1e-9) * F.greatest(a["weight"], b["weight"])
+
+    return may
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive bucket by bucket in descending order, each bucket closed by a copy of the next bucket's first row."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -307,10 +346,11 @@ def similar_classes(fingerprints: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) for rows (doc_id, fingerprint): classes are joined by pairs that share a band
     and whose likeness is at least `least`. Equal fingerprints are one class; an empty one links with empty ones only; a null doc_id is linked like any
     other, and a class without any id has a null class_id; an empty table gives no rows."""
-    bands, alike = F.pandas_udf(_bands, "array<long>"), F.pandas_udf(_likeness, "double")
+    bands, alike, mark = F.pandas_udf(_bands, "array<long>"), F.pandas_udf(_likeness, "double"), F.pandas_udf(_marks, MARK)
     rows = store.written(fingerprints.select("doc_id", "fingerprint"), "fingerprints")
     marks = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     nodes = store.written(marks.select("fingerprint", "first_id", F.monotonically_increasing_id().alias("node")), "marks")
+    marked = store.written(nodes.where("fingerprint != ''").select("node", mark("fingerprint").alias("mark")), "bounds")
     members = store.written(nodes.where("fingerprint != ''").select("node", F.explode(bands("fingerprint")).alias("band")), "bands")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -319,10 +359,10 @@ def similar_classes(fingerprints: DataFrame, least: float = 0.8) -> DataFrame:
         return both.where(alike("_a", "_b") >= least).select("a", "b")
 
     def similar_in_tiles(tiled: DataFrame) -> DataFrame:
-        marked = tiled.join(nodes.select("node", "fingerprint"), "node")
-        return marked.groupBy("band", "i", "j").applyInPandas(_links_in_tile(least), "a long, b long").distinct()
+        with_fingerprints = tiled.join(nodes.select("node", "fingerprint"), "node")
+        return with_fingerprints.groupBy("band", "i", "j").applyInPandas(_links_in_tile(least), "a long, b long").distinct()
 
-    labels = components.linked_classes(members, similar, similar_in_tiles)
+    labels = components.linked_classes(members, similar, similar_in_tiles, marks=marked, may=may_be_alike(least))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_ids = store.written(labelled.groupBy("label").agg(F.min("first_id").alias("class_id")), "class-ids")
     classes = store.written(labelled.join(least_ids, "label").select("fingerprint", "class_id"), "classes")

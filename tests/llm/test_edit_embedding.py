@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tapeloom.llm import edit_embedding, queries
 from tests.llm.conftest import DOCS, ODD
@@ -189,3 +190,42 @@ def test_classes_of_the_sample(spark, sample):
         want.setdefault(top(i), []).append(d)
     got = {r.doc_id: r.class_id for r in queries.edit_embedding_classes(spark, "/root/testdata/sf0.001").collect()}
     assert got == {d: min(m) for m in want.values() for d in m}
+
+
+def test_marks_turn_away_no_pair_that_is_alike(spark):
+    """The bound holds for all pairs, and turns away nearly all that share a band but are not alike."""
+    g = random.Random(7)
+    texts = []
+    for n in (3, 30, 90, 128, 200, 500, 900, 1800, 4000):
+        for _ in range(5):
+            text = "".join(g.choice("abcdefghij klmno.") for _ in range(g.randint(n, 2 * n)))
+            texts += [text, edited(g, text, max(1, n // 40)), text[: int(len(text) * g.uniform(0.7, 1))]]
+    marks = edit_embedding.fingerprints(texts)
+    rows = spark.createDataFrame([(i, m, edit_embedding.mark_of(m)) for i, m in enumerate(marks)], f"i long, f string, mark {edit_embedding.MARK}")
+    other = rows.toDF("j", "g", "other")
+    for least in (0.5, 0.8, 0.95):
+        kept = {(r.i, r.j) for r in rows.crossJoin(other).where(edit_embedding.may_be_alike(least)(F.col("mark"), F.col("other"))).select("i", "j").collect()}
+        alike = {(i, j) for i in range(len(marks)) for j in range(len(marks)) if likeness(marks[i], marks[j]) >= least}
+        assert alike <= kept
+        assert len(kept) < len(alike) + 0.1 * (len(marks) ** 2 - len(alike)) or least < 0.8
+
+
+def test_fingerprints_are_fetched_for_likely_pairs_only(spark, sample, monkeypatch):
+    g = random.Random(3)
+    texts = ["".join(g.choice("ab") for _ in range(g.randint(300, 600))) for _ in range(150)]
+    marks = edit_embedding.fingerprints(texts)
+    keys = [set(edit_embedding.band_keys(m)) for m in marks]
+    met = sum(bool(keys[i] & keys[j]) for i in range(len(marks)) for j in range(i))
+    seen, plain = [], edit_embedding.components.linked_classes
+
+    def noted(members, similar, *more, **named):
+        def counted(pairs):
+            seen.append(pairs.count())
+            return similar(pairs)
+
+        return plain(members, counted, *more, **named)
+
+    monkeypatch.setattr(edit_embedding.components, "linked_classes", noted)
+    rows = spark.createDataFrame(list(enumerate(marks)), "doc_id long, fingerprint string")
+    assert edit_embedding.similar_classes(rows).count() == len(texts)
+    assert met > 1000 and sum(seen) < met / 20
