@@ -208,3 +208,27 @@ def test_overlaps():
     lists = [g.choice(9000, n, replace=False).astype(np.int32) for n in (1, 50, 3000, 8000)]
     out = dart_minhash.overlaps(lists)
     assert all(out[i, j] == len(set(lists[i]) & set(lists[j])) for i in range(4) for j in range(4))
+
+
+def test_links_are_contracted_in_tasks(spark, monkeypatch):
+    """A table that fits one share is settled without star rounds; of several shares, each task hands on stars, and labels are the same."""
+    g = random.Random(2)
+    edges = [(i, i + 1) for i in range(400) if i % 50] + [(g.randrange(1000, 1400), g.randrange(1000, 1400)) for _ in range(200)] + [(7, 7)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    up = {}
+
+    def top(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges[:-1]:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    want = {i: top(i) for i in up if top(i) != i or any(top(j) == i for j in up if j != i)}
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda now, large: rounds.append(large) or star(now, large))
+    labels = lambda: {r.node: r.label for r in components.smallest_labels(links).collect()}
+    assert labels() == want and not rounds
+    monkeypatch.setattr(components, "LINKS_PER_TASK", 90)
+    assert labels() == want and rounds
