@@ -152,7 +152,10 @@ def _frames(how: Trailing, column: pa.Array) -> pa.Array:
     if how.how == "stddev_pop":
         found = (last - last[:, :1]).std(axis=1)  # from the first value on, so that constant values have no deviation at all
     else:
-        found = last.mean(axis=1) if how.how == "avg" else last.sum(axis=1)
+        found = last[:, 0].copy()
+        for k in range(1, how.rows):  # in the frame's order, as a window adds them up: a mean is compared with values that may equal it
+            found += last[:, k]
+        found = found / how.rows if how.how == "avg" else found
     gone = np.lib.stride_tricks.sliding_window_view(missing, how.rows).any(axis=1)
     return pa.array(np.concatenate([np.zeros(pad), found]), mask=np.concatenate([np.ones(pad, bool), gone]))
 
