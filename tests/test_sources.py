@@ -2,8 +2,12 @@ import io
 import json
 from urllib.error import HTTPError, URLError
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql
+from __spark_entry__ import queries as registered
 from tapeloom import generate_demo_prices, queries
 from tapeloom.cli import main
 from tapeloom.sources import prices, provider
@@ -93,6 +97,25 @@ def test_pages_and_flattening(spark):
             provider.MarketDataClient(get=get, spark=spark).fetch_daily_bars(["A"], start="a", end="b", **bad)
 
 
+def test_a_fetch_can_keep_all_bars_of_one_instant(spark):
+    bar = {"t": "2026-01-05T15:00:00Z", "o": 1, "h": 2, "l": 0.5, "v": 10}
+    pages = {"": {"bars": {"AAA": [{**bar, "c": 1.25}, {**bar, "c": 1.5}]}, "next_page_token": "p2"}, "p2": {"bars": {"AAA": [{**bar, "c": 1.75}], "BBB": [{**bar, "c": 1}]}}}
+    for options, want in (({}, [("AAA", 1.75), ("BBB", 1.0)]), ({"one_per_instant": False}, [("AAA", 1.25), ("AAA", 1.5), ("AAA", 1.75), ("BBB", 1.0)])):
+        client = provider.MarketDataClient(get=lambda p: pages[p.get("page_token", "")], spark=spark, **options)
+        assert sorted((r.ticker, r.close) for r in client.fetch_minute_bars(["AAA", "BBB"], start="2026-01-05", end="2026-01-06").collect()) == want
+
+
+@pytest.mark.parametrize("name", ["provider_fetch"])
+def test_provider_queries_count_every_event_of_one_instant(spark, tmp_path, name):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.unionByName(events.withColumn("event_id", F.col("event_id") + 1_000_003)).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as engine:
+        engine.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        found = engine.execute(oracle_sql()[name])
+        columns, want = [d[0] for d in found.description], found.fetchall()
+    assert sorted(tuple(r) for r in registered()[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(want)
+
+
 def test_retries():
     tries, waits = [], []
 
