@@ -105,7 +105,7 @@ def test_a_fetch_can_keep_all_bars_of_one_instant(spark):
         assert sorted((r.ticker, r.close) for r in client.fetch_minute_bars(["AAA", "BBB"], start="2026-01-05", end="2026-01-06").collect()) == want
 
 
-@pytest.mark.parametrize("name", ["provider_fetch"])
+@pytest.mark.parametrize("name", ["provider_fetch", "provider_validation"])
 def test_provider_queries_count_every_event_of_one_instant(spark, tmp_path, name):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.unionByName(events.withColumn("event_id", F.col("event_id") + 1_000_003)).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
